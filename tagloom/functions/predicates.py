@@ -42,7 +42,7 @@ def epc_without_suffix(suffix: str) -> Column:
 
 def epc_not_matching(pattern: str) -> Column:
     """No match anywhere in the EPC, ignoring case."""
-    return ~F.col("epc").rlike(f"(?i){pattern}")
+    return ~F.col("epc").rlike(f"(?iu){pattern}")
 
 
 def day_not_operating(days: Iterable[str], tz: str | Column, ts: Column | None = None) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 SLICE_BITS = 22
 
-_SLICE, _FIRST, _LAST, _PREV = "_slice", "_slice_first", "_slice_last", "_slice_prev"
+_SLICE, _FIRST, _LAST, _PREV = "_ord_slice", "_ord_slice_first", "_ord_slice_last", "_ord_slice_prev"
 
 
 def slice_of(order: str, slice_bits: int = SLICE_BITS) -> Column:
@@ -34,20 +34,20 @@ def with_previous(df: DataFrame, keys: Sequence[Column], value: Column, out: str
     row of each group are shuffled a second time to look across the border.
     """
     active = F.lit(True) if active is None else active
-    named = {f"_key{i}": key for i, key in enumerate(keys)}
-    staged = df.withColumns({**named, "_active": active, _SLICE: slice_of(order, slice_bits), "_value": value})
-    within = Window.partitionBy("_active", *named, _SLICE).orderBy(order)
+    named = {f"_ord_key{i}": key for i, key in enumerate(keys)}
+    staged = df.withColumns({**named, "_ord_active": active, _SLICE: slice_of(order, slice_bits), "_ord_value": value})
+    within = Window.partitionBy("_ord_active", *named, _SLICE).orderBy(order)
     staged = staged.withColumns({
-        _PREV: F.lag("_value").over(within),
+        _PREV: F.lag("_ord_value").over(within),
         _FIRST: F.lag(order).over(within).isNull(),
         _LAST: F.lead(order).over(within).isNull(),
     })
-    border = F.col("_active") & (F.col(_FIRST) | F.col(_LAST))
+    border = F.col("_ord_active") & (F.col(_FIRST) | F.col(_LAST))
     across = Window.partitionBy(*named).orderBy(order) if named else Window.partitionBy(F.lit(0)).orderBy(order)
     inner = staged.where(~border).withColumn(out, F.col(_PREV))
-    edges = staged.where(border).withColumn("_across", F.lag("_value").over(across)).withColumn(
-        out, F.when(F.col(_FIRST), F.col("_across")).otherwise(F.col(_PREV))).drop("_across")
-    return inner.unionByName(edges).drop(*named, "_active", _SLICE, "_value", _PREV, _FIRST, _LAST)
+    edges = staged.where(border).withColumn("_ord_across", F.lag("_ord_value").over(across)).withColumn(
+        out, F.when(F.col(_FIRST), F.col("_ord_across")).otherwise(F.col(_PREV))).drop("_ord_across")
+    return inner.unionByName(edges).drop(*named, "_ord_active", _SLICE, "_ord_value", _PREV, _FIRST, _LAST)
 
 
 def with_first_flag(df: DataFrame, keys: Sequence[Column], out: str, *, order: str = "seq",
@@ -58,28 +58,28 @@ def with_first_flag(df: DataFrame, keys: Sequence[Column], out: str, *, order: s
     shuffled again to find the first of the key.
     """
     active = F.lit(True) if active is None else active
-    named = {f"_key{i}": key for i, key in enumerate(keys)}
-    staged = df.withColumns({**named, "_active": active, _SLICE: slice_of(order, slice_bits)})
-    within = Window.partitionBy("_active", *named, _SLICE).orderBy(order)
+    named = {f"_ord_key{i}": key for i, key in enumerate(keys)}
+    staged = df.withColumns({**named, "_ord_active": active, _SLICE: slice_of(order, slice_bits)})
+    within = Window.partitionBy("_ord_active", *named, _SLICE).orderBy(order)
     staged = staged.withColumn(_FIRST, F.lag(order).over(within).isNull())
-    candidate = F.col("_active") & F.col(_FIRST)
+    candidate = F.col("_ord_active") & F.col(_FIRST)
     across = Window.partitionBy(*named).orderBy(order)
     others = staged.where(~candidate).withColumn(out, F.lit(False))
     candidates = staged.where(candidate).withColumn(out, F.lag(order).over(across).isNull())
-    return others.unionByName(candidates).drop(*named, "_active", _SLICE, _FIRST)
+    return others.unionByName(candidates).drop(*named, "_ord_active", _SLICE, _FIRST)
 
 
 def slice_totals(df: DataFrame, keys: Sequence[str], total: Column, *, order: str = "seq",
                  slice_bits: int = SLICE_BITS) -> DataFrame:
-    """One row per (key, slice) with ``_total`` and ``_before``, the sum over earlier slices.
+    """One row per (key, slice) with ``_ord_total`` and ``_ord_before``, the sum over earlier slices.
 
     Partial aggregation shrinks the input ahead of the shuffle, so this table has
     one row per group rather than per input row.
     """
-    totals = df.groupBy(*keys, slice_of(order, slice_bits).alias(_SLICE)).agg(total.alias("_total"))
+    totals = df.groupBy(*keys, slice_of(order, slice_bits).alias(_SLICE)).agg(total.alias("_ord_total"))
     earlier = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(_SLICE) \
         .rowsBetween(Window.unboundedPreceding, -1)
-    return totals.withColumn("_before", F.coalesce(F.sum("_total").over(earlier), F.lit(0)))
+    return totals.withColumn("_ord_before", F.coalesce(F.sum("_ord_total").over(earlier), F.lit(0)))
 
 
 def with_running_total(df: DataFrame, keys: Sequence[str], value: Column, out: str, *, order: str = "seq",
@@ -89,29 +89,29 @@ def with_running_total(df: DataFrame, keys: Sequence[str], value: Column, out: s
     Keys must not be NULL.  The join runs on (key, slice), the partitioning the
     in-slice window already has, so the rows are shuffled once.
     """
-    staged = df.withColumns({_SLICE: slice_of(order, slice_bits), "_value": value})
+    staged = df.withColumns({_SLICE: slice_of(order, slice_bits), "_ord_value": value})
     within = Window.partitionBy(*keys, _SLICE).orderBy(order)
     frame = within.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    running = staged.withColumn("_running", F.coalesce(F.sum("_value").over(frame), F.lit(0)))
-    offsets = slice_totals(df.withColumn("_value", value), keys, F.sum("_value"), order=order, slice_bits=slice_bits)
-    joined = running.join(offsets.select(*keys, _SLICE, "_before"), [*keys, _SLICE])
-    return joined.withColumn(out, F.col("_before") + F.col("_running")).drop(_SLICE, "_value", "_running", "_before")
+    running = staged.withColumn("_ord_running", F.coalesce(F.sum("_ord_value").over(frame), F.lit(0)))
+    offsets = slice_totals(df.withColumn("_ord_value", value), keys, F.sum("_ord_value"), order=order, slice_bits=slice_bits)
+    joined = running.join(offsets.select(*keys, _SLICE, "_ord_before"), [*keys, _SLICE])
+    return joined.withColumn(out, F.col("_ord_before") + F.col("_ord_running")).drop(_SLICE, "_ord_value", "_ord_running", "_ord_before")
 
 
 def with_row_number(df: DataFrame, keys: Sequence[str], out: str, *, order: str = "seq",
                     offsets: DataFrame | None = None, slice_bits: int = SLICE_BITS) -> DataFrame:
     """Add ``out``: the 1-based position of the row among its key's rows.
 
-    ``offsets`` (key columns, ``_slice``, ``_before``) replaces the plain counts
+    ``offsets`` (key columns, ``_ord_slice``, ``_ord_before``) replaces the plain counts
     of earlier slices where a caller starts numbering elsewhere.
     """
     if offsets is None:
         offsets = slice_totals(df, keys, F.count(F.lit(1)), order=order, slice_bits=slice_bits)
     staged = df.withColumn(_SLICE, slice_of(order, slice_bits))
     within = Window.partitionBy(*keys, _SLICE).orderBy(order)
-    numbered = staged.withColumn("_rn", F.row_number().over(within).cast("bigint"))
-    joined = numbered.join(offsets.select(*keys, _SLICE, "_before"), [*keys, _SLICE])
-    return joined.withColumn(out, F.col("_before") + F.col("_rn")).drop(_SLICE, "_rn", "_before")
+    numbered = staged.withColumn("_ord_rn", F.row_number().over(within).cast("bigint"))
+    joined = numbered.join(offsets.select(*keys, _SLICE, "_ord_before"), [*keys, _SLICE])
+    return joined.withColumn(out, F.col("_ord_before") + F.col("_ord_rn")).drop(_SLICE, "_ord_rn", "_ord_before")
 
 
 def with_running_extreme(df: DataFrame, value: str, out: str, *, order: str, slice_bits: int = SLICE_BITS) -> DataFrame:
@@ -119,7 +119,7 @@ def with_running_extreme(df: DataFrame, value: str, out: str, *, order: str, sli
     staged = df.withColumn(_SLICE, slice_of(order, slice_bits))
     frame = Window.partitionBy(_SLICE).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(F.lit(0)).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    lows = staged.groupBy(_SLICE).agg(F.min(value).alias("_low")).withColumn(
-        "_before", F.min("_low").over(earlier)).drop("_low")
-    return staged.withColumn("_running", F.min(value).over(frame)).join(lows, _SLICE).withColumn(
-        out, F.least("_running", "_before")).drop(_SLICE, "_running", "_before")
+    lows = staged.groupBy(_SLICE).agg(F.min(value).alias("_ord_low")).withColumn(
+        "_ord_before", F.min("_ord_low").over(earlier)).drop("_ord_low")
+    return staged.withColumn("_ord_running", F.min(value).over(frame)).join(lows, _SLICE).withColumn(
+        out, F.least("_ord_running", "_ord_before")).drop(_SLICE, "_ord_running", "_ord_before")
