@@ -114,12 +114,14 @@ def with_row_number(df: DataFrame, keys: Sequence[str], out: str, *, order: str
     return joined.withColumn(out, F.col("_ord_before") + F.col("_ord_rn")).drop(_SLICE, "_ord_rn", "_ord_before")
 
 
-def with_running_extreme(df: DataFrame, value: str, out: str, *, order: str, slice_bits: int = SLICE_BITS) -> DataFrame:
-    """Add ``out``: the minimum of ``value`` over all rows up to this one, in ``order``."""
+def with_running_minimum(df: DataFrame, keys: Sequence[str], value: str, out: str, *, order: str,
+                         slice_bits: int = SLICE_BITS) -> DataFrame:
+    """Add ``out``: the minimum of ``value`` over this key's rows up to this one."""
     staged = df.withColumn(_SLICE, slice_of(order, slice_bits))
-    frame = Window.partitionBy(_SLICE).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(F.lit(0)).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    lows = staged.groupBy(_SLICE).agg(F.min(value).alias("_ord_low")).withColumn(
+    frame = Window.partitionBy(*keys, _SLICE).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(_SLICE) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    lows = staged.groupBy(*keys, _SLICE).agg(F.min(value).alias("_ord_low")).withColumn(
         "_ord_before", F.min("_ord_low").over(earlier)).drop("_ord_low")
-    return staged.withColumn("_ord_running", F.min(value).over(frame)).join(lows, _SLICE).withColumn(
+    return staged.withColumn("_ord_running", F.min(value).over(frame)).join(lows, [*keys, _SLICE]).withColumn(
         out, F.least("_ord_running", "_ord_before")).drop(_SLICE, "_ord_running", "_ord_before")
