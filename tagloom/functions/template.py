@@ -33,7 +33,7 @@ DATE_DIRECTIVES = {
     "b": "MMM", "B": "MMMM", "a": "EEE", "A": "EEEE", "L": "SSS", "F": "yyyy-MM-dd", "T": "HH:mm:ss",
 }
 
-_MARK = re.compile(r"(\{\{-?.*?-?\}\}|\{%-?.*?-?%\})", re.S)
+_MARK = re.compile(r"(\{\{.*?\}\}|\{%.*?%\})", re.S)
 _FOR = re.compile(r"for\s+(\w+)\s+in\s+tags$", re.I)
 _CONDITION = re.compile(r"(if\s+not|if|unless)\s+forloop\.(last|first)$", re.I)
 _INDEXED = re.compile(r"tags\[(\d+)\]\.(\w+)$", re.I)
@@ -124,9 +124,9 @@ def _block(parts: list[str], at: int, end: tuple[str, ...], scope: _Scope) -> tu
     while at < len(parts):
         part = parts[at]
         if part.startswith("{{"):
-            pieces.append(scope.value(part.strip("{}").strip("-").strip()))
+            pieces.append(scope.value(part[2:-2].strip()))
         elif part.startswith("{%"):
-            tag = part[2:-2].strip("-").strip()
+            tag = part[2:-2].strip()
             if tag.lower() in end:
                 return _joined(pieces), at
             loop, test = _FOR.match(tag), _CONDITION.match(tag)
@@ -154,8 +154,8 @@ def _loop(parts: list[str], at: int, name: str) -> tuple[int, Column]:
         body, closed[0] = _block(parts, at + 1, ("endfor",), _Scope(name, tag, index, F.size("tags")))
         return body
 
-    return_value = F.array_join(F.transform("tags", render), "")
-    return closed[0], return_value
+    text = F.array_join(F.transform("tags", render), "")
+    return closed[0], text
 
 
 def _joined(pieces: list[Column]) -> Column:
@@ -164,6 +164,8 @@ def _joined(pieces: list[Column]) -> Column:
 
 def compile_template(source: str) -> Column:
     """Column that renders the template for a row with ``tags``, ``transaction_id`` and the reader columns."""
+    # A dash inside a mark swallows the white space next to it.
+    source = re.sub(r"-([}%]\})\s*", r"\1", re.sub(r"\s*(\{[{%])-", r"\1", source))
     if "{{" in re.sub(_MARK, "", source) or "{%" in re.sub(_MARK, "", source):
         raise ValueError("unclosed template mark")
     column, _ = _block(_MARK.split(source), 0, (), _Scope())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 READS_SQL = """
@@ -88,3 +88,91 @@ def status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derive(spark, sf_dir, LINES_SQL, "events")
+
+
+def vendor_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads(spark, sf_dir).select("seq", "reader_id", "epc", "rssi", "antenna_port", "tid")
+
+
+def mqtt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).select(
+        "seq", F.concat(F.lit("gate/"), F.col("seq") % 5).alias("topic"), F.col("line").alias("payload"))
+
+
+def _byte_hex(value: Column) -> Column:
+    return F.lpad(F.hex(value), 2, "0")
+
+
+def _signal(rssi: str = "rssi") -> Column:
+    """Signal strength without its sign, as a whole number."""
+    return F.floor(-F.col(rssi)).cast("bigint")
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed-layout frames; every eleventh is cut short."""
+    whole = F.unhex(F.concat(F.lit("AA55"), _byte_hex(_signal()), _byte_hex(F.col("antenna_port").cast("bigint")),
+                             F.col("epc")))
+    return reads(spark, sf_dir).select(
+        "seq", "reader_id", F.when(F.col("seq") % 11 == 0, F.substring(whole, 1, 15)).otherwise(whole).alias("frame"))
+
+
+def _report_hex() -> Column:
+    """One tag report: every fifth read states its EPC in the long form."""
+    antenna = F.lpad(F.hex(F.col("antenna_port").cast("bigint")), 4, "0")
+    tail = F.concat(F.lit("DA"), _byte_hex(256 - _signal()), F.lit("DD"), antenna)
+    return F.when(F.col("seq") % 5 == 0, F.concat(F.lit("00F0001B" + "00F100120060"), F.col("epc"), tail)) \
+        .otherwise(F.concat(F.lit("00F000168D"), F.col("epc"), tail))
+
+
+def _as_report(parts: Column, message_no: Column) -> Column:
+    body = F.array_join(F.transform(F.array_sort(parts), lambda p: p["part"]), "")
+    size = F.lpad(F.hex((F.length(body) / 2 + 10).cast("bigint")), 8, "0")
+    return F.concat(F.lit("043D"), size, F.lpad(F.hex(message_no), 8, "0"), body)
+
+
+def report_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report messages of four reads each; ``seq`` is the number of the message."""
+    parts = reads(spark, sf_dir).select(F.floor(F.col("seq") / 4).alias("message_no"),
+                                        F.struct("seq", _report_hex().alias("part")).alias("p"))
+    return parts.groupBy("message_no").agg(F.collect_list("p").alias("parts")).select(
+        F.col("message_no").alias("seq"), F.unhex(_as_report(F.col("parts"), F.col("message_no"))).alias("message"))
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of sixteen messages each, behind ten bytes of noise."""
+    part = F.struct("seq", F.hex("message").alias("part"))
+    grouped = report_messages(spark, sf_dir).groupBy(F.floor(F.col("seq") / 16).alias("n")).agg(
+        F.array_sort(F.collect_list(part)).alias("parts"))
+    text = F.array_join(F.transform("parts", lambda p: p["part"]), "")
+    return grouped.select(F.concat(F.lit("capture-"), F.col("n")).alias("path"),
+                          F.unhex(F.concat(F.lit("FF" * 10), text)).alias("content"))
+
+
+CHUNKS_SQL = """
+SELECT CASE WHEN event_id % 3 = 0 THEN 'port-0' ELSE concat('port-', event_id % 5) END AS stream_id,
+       event_id AS chunk_no,
+       CASE event_id % 4 WHEN 0 THEN concat(user_id, '.') WHEN 1 THEN concat(user_id, chr(10), ' TAG')
+                         WHEN 2 THEN concat(user_id, chr(10), event_id, chr(10), 'X')
+                         ELSE concat(user_id, ' ', chr(10)) END AS data
+FROM events"""
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derive(spark, sf_dir, CHUNKS_SQL, "events")
+
+
+def mixed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw messages of several providers in one table, with ids in mixed case."""
+    kind = F.col("seq") % 6
+    frame = F.unhex(F.concat(F.lit("AA55"), _byte_hex(_signal()), _byte_hex(F.col("antenna_port").cast("bigint")),
+                             F.col("epc")))
+    report = F.unhex(_as_report(F.array(F.struct("seq", _report_hex().alias("part"))), F.col("seq")))
+    json = F.to_json(F.struct("epc", F.col("antenna_port").alias("antenna")))
+    return reads(spark, sf_dir).select(
+        "seq", "reader_id", "eval_ts",
+        F.element_at(F.array(*map(F.lit, ("TCP-Socket", "mqtt-broker", "Identium", "LLRP", "zebra", "no-such"))),
+                     (kind + 1).cast("int")).alias("provider_id"),
+        F.when(kind == 0, F.col("epc")).when(kind == 1, json).alias("text"),
+        F.when(kind == 1, F.concat(F.lit("gate/"), F.col("seq") % 5)).alias("topic"),
+        F.when(kind == 2, frame).when(kind == 3, report).alias("body"),
+        F.when(kind == 4, F.struct("epc", "rssi", "antenna_port", "tid")).alias("report"))
