@@ -40,13 +40,48 @@ def batch_instant(df: DataFrame, *, order: str = "seq") -> DataFrame:
     return df.withColumns({"batch_id": F.col(order).cast("string"), "batch_pos": F.lit(1).cast("bigint")})
 
 
+def queue_positions(df: DataFrame, keys: Sequence[str], *, base: DataFrame | None = None, order: str = "seq",
+                    slice_bits: int = SLICE_BITS) -> DataFrame:
+    """Add ``_at``: the 1-based position of a read among those of its gateway and ``tick``.
+
+    ``base`` (keys, ``tick``, ``before``) tells how many reads stand in front of
+    the first one of a tick.
+    """
+    by = [*keys, "tick"]
+    counts = df.groupBy(*by, slice_of(order, slice_bits).alias("_ord_slice")).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy("_ord_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_ord_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    if base is not None:
+        offsets = offsets.join(base, by, "left").withColumn(
+            "_ord_before", F.col("_ord_before") + F.coalesce("before", F.lit(0)))
+    return with_row_number(df, by, "_at", order=order, offsets=offsets, slice_bits=slice_bits)
+
+
+def with_tick(df: DataFrame, mode: str, period_ms: int, origin_us: int = 0) -> DataFrame:
+    """Add the ``tick`` whose queue a read joins; a pure count trigger has a single queue."""
+    return df.withColumn("tick", F.lit(0).cast("bigint") if mode == "count"
+                         else tick_of(F.col("eval_ts"), period_ms, origin_us))
+
+
+def place(queued: DataFrame, mode: str, size: int) -> DataFrame:
+    """Turn the queue position ``_at`` into ``batch_id`` and ``batch_pos``.
+
+    A full batch leaves a count queue at every ``size`` reads.  In hybrid mode
+    that holds within each tick.  In periodic mode every tick takes one batch, so
+    a read leaves ``(_at - 1) div size`` ticks after its own.
+    """
+    part = _div(F.col("_at") - 1, size)
+    batch_id = {"count": part.cast("string"),
+                "hybrid": F.concat_ws("-", F.col("tick"), part),
+                "periodic": (F.col("tick") + part).cast("string")}[mode]
+    return queued.withColumns({"batch_id": batch_id, "batch_pos": (F.col("_at") - 1) % size + 1})
+
+
 def batch_count(df: DataFrame, max_size: int, *, keys: Sequence[str] = (), order: str = "seq",
                 slice_bits: int = SLICE_BITS) -> DataFrame:
     """A batch per ``max_size`` reads; the remainder leaves at the end."""
-    size = _size(max_size)
-    numbered = with_row_number(df, keys, "_at", order=order, slice_bits=slice_bits)
-    return numbered.withColumns({"batch_id": _div(F.col("_at") - 1, size).cast("string"),
-                                 "batch_pos": (F.col("_at") - 1) % size + 1}).drop("_at")
+    queued = queue_positions(with_tick(df, "count", 0), keys, order=order, slice_bits=slice_bits)
+    return place(queued, "count", _size(max_size)).drop("_at", "tick")
 
 
 def batch_hybrid(df: DataFrame, max_size: int, period_ms: int, *, origin_us: int = 0, keys: Sequence[str] = (),
@@ -56,12 +91,9 @@ def batch_hybrid(df: DataFrame, max_size: int, period_ms: int, *, origin_us: int
     Fewer than ``max_size`` reads wait at a tick, so each tick empties the
     buffer and positions restart after it.
     """
-    size = _size(max_size)
-    ticked = df.withColumn("tick", tick_of(F.col("eval_ts"), period_ms, origin_us))
-    numbered = with_row_number(ticked, [*keys, "tick"], "_at", order=order, slice_bits=slice_bits)
-    part = _div(F.col("_at") - 1, size)
-    return numbered.withColumns({"batch_id": F.concat_ws("-", F.col("tick"), part),
-                                 "batch_pos": (F.col("_at") - 1) % size + 1}).drop("_at")
+    ticked = with_tick(df, "hybrid", period_ms, origin_us)
+    queued = queue_positions(ticked, keys, order=order, slice_bits=slice_bits)
+    return place(queued, "hybrid", _size(max_size)).drop("_at")
 
 
 def tick_backlog(counts: DataFrame, max_size: int, *, keys: Sequence[str] = (),
@@ -77,7 +109,7 @@ def tick_backlog(counts: DataFrame, max_size: int, *, keys: Sequence[str] = (),
                                  slice_bits=slice_bits)
     levels = earlier.withColumn("_level", F.col("_earlier") - (F.col("tick") - 1) * max_size)
     floors = with_running_minimum(levels, keys, "_level", "_floor", order="tick", slice_bits=slice_bits)
-    return floors.select(*keys, "tick", (F.col("_level") - F.col("_floor")).alias("backlog"))
+    return floors.select(*keys, "tick", (F.col("_level") - F.col("_floor")).alias("before"))
 
 
 def batch_periodic(df: DataFrame, max_size: int, period_ms: int, *, origin_us: int = 0, keys: Sequence[str] = (),
@@ -88,18 +120,11 @@ def batch_periodic(df: DataFrame, max_size: int, period_ms: int, *, origin_us: i
     max_size`` ticks later, whatever arrives after it.
     """
     size = _size(max_size)
-    ticked = df.withColumn("tick", tick_of(F.col("eval_ts"), period_ms, origin_us))
-    counts = ticked.groupBy(*keys, "tick", slice_of(order, slice_bits).alias("_ord_slice")).agg(
-        F.count(F.lit(1)).alias("_n"))
-    arrivals = counts.groupBy(*keys, "tick").agg(F.sum("_n").alias("arrived"))
-    backlog = tick_backlog(arrivals, size, keys=keys, slice_bits=slice_bits)
-    earlier = Window.partitionBy(*keys, "tick").orderBy("_ord_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_in_tick", F.coalesce(F.sum("_n").over(earlier), F.lit(0))) \
-        .join(backlog, [*keys, "tick"]) \
-        .withColumn("_ord_before", F.col("backlog") + F.col("_in_tick"))
-    queued = with_row_number(ticked, [*keys, "tick"], "_at", order=order, offsets=offsets, slice_bits=slice_bits)
-    return queued.withColumns({"batch_id": (F.col("tick") + _div(F.col("_at") - 1, size)).cast("string"),
-                               "batch_pos": (F.col("_at") - 1) % size + 1}).drop("_at")
+    ticked = with_tick(df, "periodic", period_ms, origin_us)
+    arrivals = ticked.groupBy(*keys, "tick").agg(F.count(F.lit(1)).alias("arrived"))
+    waiting = tick_backlog(arrivals, size, keys=keys, slice_bits=slice_bits)
+    queued = queue_positions(ticked, keys, base=waiting, order=order, slice_bits=slice_bits)
+    return place(queued, "periodic", size).drop("_at")
 
 
 def batch(df: DataFrame, config: DispatchConfig, *, origin_us: int = 0, keys: Sequence[str] = (),
