@@ -298,6 +298,13 @@ SELECT reader_id, count(*) AS reads, min(skew_us) AS min_skew_us, max(skew_us) A
 REGEX = f"""WITH {READS} SELECT seq, epc, substr(epc, 22, 1) = '0' AND substr(epc, 23, 1) BETWEEN '0' AND '4'
     AND substr(epc, 24, 1) IN ('A', 'B', 'C') AS is_match FROM reads"""
 
+# -- streams
+
+CLOSED = f"""WITH {READS}, n AS (SELECT seq, {TICK} AS tick, row_number() OVER (PARTITION BY {TICK} ORDER BY seq) AS i,
+    count(*) OVER (PARTITION BY {TICK}) AS c FROM reads)
+SELECT seq, concat(tick, '-', CAST(floor((i - 1) / 20) AS BIGINT)) AS batch_id, (i - 1) % 20 + 1 AS batch_pos FROM n
+WHERE tick < (SELECT max(tick) FROM n) OR i <= c - c % 20"""
+
 ORACLES: dict[str, str] = {
     "decode_text_lines": DECODED_TEXT,
     "decode_mqtt_messages": DECODED_MQTT,
@@ -366,4 +373,8 @@ ORACLES: dict[str, str] = {
     "antenna_distribution": ANTENNAS,
     "clock_skew": SKEW,
     "regex_test": REGEX,
+    "sliding_dedup_stream": SLIDING,
+    "daily_unique_stream": DAILY,
+    "filter_pipeline_stream": DROPS,
+    "batch_stream": CLOSED,
 }

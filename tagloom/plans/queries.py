@@ -23,6 +23,8 @@ from ..sources import frames as SF
 from ..sources import llrp as SL
 from ..sources import routing as SR
 from ..sources import text as ST
+from ..streaming import carry as SC
+from ..streaming import dedup as SD
 from . import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -439,6 +441,48 @@ def regex_test(spark, sf):
     return M.regex_test(T.reads(spark, sf).select("seq", "epc"), "0[0-4][a-c]$")
 
 
+# -- streams, run over the files the source holds
+
+def _streamed(stream: DataFrame, run) -> DataFrame:
+    """Result of a ``foreachBatch`` job: ``run(state folder, sink)`` makes the function."""
+    spark = stream.sparkSession
+    folder = SC.shared_folder(spark, "stream")
+    SC.run_available(stream, run(f"{folder}/state", SC.parquet_sink(f"{folder}/out")), f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/out").drop("micro_batch")
+
+
+def _stored(stream: DataFrame) -> DataFrame:
+    """Result of a stream appended to a table."""
+    folder = SC.shared_folder(stream.sparkSession, "stream")
+    stream.writeStream.format("parquet").option("path", f"{folder}/out").option(
+        "checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.parquet(f"{folder}/out")
+
+
+def sliding_dedup_stream(spark, sf):
+    return _stored(SD.sliding_dedup_stream(T.reads_stream(spark, sf), SlidingRule(6 * HOUR, "global"))).select(
+        "seq", "epc")
+
+
+def daily_unique_stream(spark, sf):
+    kept = _stored(SD.daily_unique_stream(T.reads_stream(spark, sf), SHIFT))
+    return kept.select("seq", "epc", shift_id(F.col("eval_ts"), KOLKATA, time(6)).alias("shift_id"))
+
+
+def filter_pipeline_stream(spark, sf):
+    rules = C.default_rules(CHAIN)
+    out = _streamed(T.reads_stream(spark, sf), lambda state, sink: SC.chain_stream(rules, state, sink))
+    return C.drop_report(out)
+
+
+def batch_stream(spark, sf):
+    """Batches closed so far; the reads of the open tick still wait."""
+    config = DispatchConfig(trigger_mode="hybrid", max_batch_size=BATCH_SIZE, period_ms=PERIOD_MS)
+    out = _streamed(T.reads_stream(spark, sf),
+                    lambda state, sink: SC.batch_stream(config, state, sink, origin_us=ORIGIN_US))
+    return out.select("seq", "batch_id", "batch_pos")
+
+
 QUERIES: dict[str, Query] = {
     "decode_text_lines": decode_text_lines,
     "decode_mqtt_messages": decode_mqtt_messages,
@@ -507,4 +551,8 @@ QUERIES: dict[str, Query] = {
     "antenna_distribution": antenna_distribution,
     "clock_skew": clock_skew,
     "regex_test": regex_test,
+    "sliding_dedup_stream": sliding_dedup_stream,
+    "daily_unique_stream": daily_unique_stream,
+    "filter_pipeline_stream": filter_pipeline_stream,
+    "batch_stream": batch_stream,
 }

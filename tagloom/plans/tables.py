@@ -58,9 +58,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _derive(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def _derive(spark: SparkSession, sf_dir: str, sql: str, *names: str, source=table) -> DataFrame:
     """Run a derivation over the given tables without registering views in the session."""
-    frames = {name: table(spark, sf_dir, name) for name in names}
+    frames = {name: source(spark, sf_dir, name) for name in names}
     for name in names:
         sql = sql.replace(f"FROM {name}", f"FROM {{{name}}}").replace(f"JOIN {name}", f"JOIN {{{name}}}")
     return spark.sql(sql.replace("{\"", "{{\"").replace("}'", "}}'"), **frames)
@@ -70,6 +76,10 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _instants(_derive(spark, sf_dir, READS_SQL, "events"))
 
 
+def reads_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _instants(_derive(spark, sf_dir, READS_SQL, "events", source=table_stream))
+
+
 def lineitem_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _instants(_derive(spark, sf_dir, LINEITEM_READS_SQL, "lineitem"))
 

@@ -14,6 +14,7 @@ from ..functions.clock import shift_id
 from ..operators.dedup import window_micros
 from ..schema import DailyRule, SlidingRule
 
+# Keyed state with several variables per key needs this store; the stream switches it on in its session.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -44,7 +45,10 @@ class DedupProcessor(StatefulProcessor):
         self.seen = handle.getMapState("seen", text("scope", "shift_id"), text("mark"), ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        reads = pd.concat(list(rows), ignore_index=True).sort_values("_order", kind="stable")
+        # Names that begin with an underscore do not reach the processor, so they are set by position.
+        names = [*self.columns, "_order", "_us", "_scope", "_daily_scope", "_shift", "_key"]
+        reads = pd.concat([r.set_axis(names, axis=1) for r in rows], ignore_index=True)
+        reads = reads.sort_values("_order", kind="stable")
         last: dict[str, int] = {}
         stages = []
         for scope, at, daily_scope, shift in zip(reads["_scope"], reads["_us"], reads["_daily_scope"], reads["_shift"]):
@@ -81,12 +85,14 @@ def dedup_stream(reads: DataFrame, sliding: SlidingRule | None = None, daily: Da
     ``state_ttl_s`` evicts keys that were idle that long by the wall clock; it
     must exceed the window and any delay of the stream.
     """
+    reads.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     columns = reads.columns
     staged = reads.withColumns({
-        "_key": F.upper("epc"), "_order": F.col(order), "_us": F.unix_micros("eval_ts"),
+        "_order": F.col(order), "_us": F.unix_micros("eval_ts"),
         "_scope": scope_text(sliding.scope) if sliding else F.lit(""),
         "_daily_scope": scope_text(daily.scope) if daily else F.lit(""),
-        "_shift": shift_id(F.col("eval_ts"), daily.tz, daily.shift_start) if daily else F.lit("")})
+        "_shift": shift_id(F.col("eval_ts"), daily.tz, daily.shift_start) if daily else F.lit(""),
+        "_key": F.upper("epc")})
     processor = DedupProcessor(window_micros(sliding.window_seconds) if sliding else None, daily is not None, columns,
                                int(state_ttl_s * 1000) if state_ttl_s else None)
     schema = T.StructType([*reads.schema.fields, T.StructField("dedup_stage", T.StringType())])
