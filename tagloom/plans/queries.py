@@ -109,9 +109,9 @@ def normalize_reads(spark, sf):
 
 # -- stateless filters
 
-def _kept(dropped: Column) -> Query:
+def _kept(dropped: Callable[[], Column]) -> Query:
     def query(spark, sf):
-        return T.reads(spark, sf).where(~dropped).select("seq", "epc", "antenna_port", rounded("rssi"))
+        return T.reads(spark, sf).where(~dropped()).select("seq", "epc", "antenna_port", rounded("rssi"))
     return query
 
 
@@ -493,15 +493,15 @@ QUERIES: dict[str, Query] = {
     "split_lines": split_lines,
     "route_by_provider": route_by_provider,
     "normalize_reads": normalize_reads,
-    "filter_min_rssi": _kept(P.rssi_below(-75.0)),
-    "filter_antenna_mask": _kept(P.antenna_masked(5)),
-    "filter_epc_length": _kept(P.epc_shorter(10) | P.epc_longer(24)),
-    "filter_epc_prefix": _kept(P.epc_without_prefix("e280")),
-    "filter_epc_suffix": _kept(P.epc_without_suffix("a")),
-    "filter_epc_regex": _kept(P.epc_not_matching("0[0-7]f$")),
+    "filter_min_rssi": _kept(lambda: P.rssi_below(-75.0)),
+    "filter_antenna_mask": _kept(lambda: P.antenna_masked(5)),
+    "filter_epc_length": _kept(lambda: P.epc_shorter(10) | P.epc_longer(24)),
+    "filter_epc_prefix": _kept(lambda: P.epc_without_prefix("e280")),
+    "filter_epc_suffix": _kept(lambda: P.epc_without_suffix("a")),
+    "filter_epc_regex": _kept(lambda: P.epc_not_matching("0[0-7]f$")),
     "metadata_filter": metadata_filter,
-    "schedule_days": _kept(P.day_not_operating(("Monday", "Wednesday", "Friday"), KOLKATA)),
-    "schedule_time_window": _kept(P.outside_hours(time(8), time(18), KOLKATA)),
+    "schedule_days": _kept(lambda: P.day_not_operating(("Monday", "Wednesday", "Friday"), KOLKATA)),
+    "schedule_time_window": _kept(lambda: P.outside_hours(time(8), time(18), KOLKATA)),
     "schedule_filter": schedule_filter,
     "sliding_dedup": sliding_dedup,
     "sliding_dedup_reader": sliding_dedup_reader,

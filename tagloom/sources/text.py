@@ -39,7 +39,7 @@ def split_lines(chunks: DataFrame, *, stream: str = "stream_id", order: str = "c
     return lines.withColumn("line", trim_whitespace(F.col("line")))
 
 
-def _fields(document: Column, name: str, case_insensitive: bool) -> Column:
+def _member(document: Column, name: str, case_insensitive: bool) -> Column:
     """A top-level member of the wrapped document as a variant."""
     if not case_insensitive:
         return F.try_variant_get(document, f"$[0].{name}", "variant")
@@ -60,37 +60,38 @@ def decode_text_lines(df: DataFrame, line: str = "line", *, case_insensitive_key
     counts, which needs the session setting switched on here.
     """
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    text = trim_whitespace(F.col(line))
-    raw = df.withColumn("_text", text).where("_text != ''")
-    looks_json = F.col("_text").startswith("{")
-    parsed = raw.withColumn("_doc", F.when(looks_json, F.try_parse_json(F.concat(F.lit("["), "_text", F.lit("]")))))
+    names = ("epc", "tid", "rssi", "antenna")
+    trimmed = df.withColumn("_text", trim_whitespace(F.col(line)))
+    parsed = trimmed.withColumn("_doc", F.when(
+        F.col("_text").startswith("{"), F.try_parse_json(F.concat(F.lit("["), "_text", F.lit("]")))))
     single = F.col("_doc").isNotNull() & F.try_variant_get("_doc", "$[1]", "variant").isNull()
-    kinds = {n: F.schema_of_variant(_fields(F.col("_doc"), n, case_insensitive_keys))
-             for n in ("epc", "tid", "rssi", "antenna")}
-    typed = parsed.withColumns({"_single": single, **{f"_{n}_kind": kind for n, kind in kinds.items()}})
+    members = parsed.withColumns({"_single": single, **{
+        f"_{n}": _member(F.col("_doc"), n, case_insensitive_keys) for n in names}})
+    typed = members.withColumns({f"_{n}_kind": F.schema_of_variant(f"_{n}") for n in names})
 
     def textual(kind: str) -> Column:
         return F.col(kind).isNull() | F.col(kind).isin("STRING", "VOID")
 
     def numeric(kind: str) -> Column:
-        return F.col(kind).isNull() | F.col(kind).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
+        return F.col(kind).isNull() | F.col(kind).isin("BIGINT", "DOUBLE", "FLOAT") | F.col(kind).startswith("DECIMAL")
 
     valid = F.col("_single") & textual("_epc_kind") & textual("_tid_kind") \
         & numeric("_rssi_kind") & numeric("_antenna_kind")
-    member = {n: _fields(F.col("_doc"), n, case_insensitive_keys) for n in kinds}
     judged = typed.withColumn("_valid", F.coalesce(valid, F.lit(False)))
+    whole = F.col("_valid") & (F.col("_antenna_kind") == "BIGINT")
     fields = judged.withColumns({
-        "epc": F.when(F.col("_valid"), F.try_variant_get(member["epc"], "$", "string")).otherwise(F.col("_text")),
-        "tid": F.when(F.col("_valid"), F.try_variant_get(member["tid"], "$", "string")),
-        "rssi": F.coalesce(F.when(F.col("_valid"), F.try_variant_get(member["rssi"], "$", "double")),
-                           F.lit(DECODE_DEFAULT_RSSI)).cast("float"),
-        "antenna_port": F.coalesce(
-            F.when(F.col("_valid") & (F.col("_antenna_kind") == "BIGINT"),
-                   F.try_variant_get(member["antenna"], "$", "int")),
-            F.lit(DECODE_DEFAULT_ANTENNA)),
+        "_epc_text": F.when(F.col("_valid"), F.try_variant_get("_epc", "$", "string")).otherwise(F.col("_text")),
+        "_tid_text": F.when(F.col("_valid"), F.try_variant_get("_tid", "$", "string")),
+        "_rssi_number": F.coalesce(F.when(F.col("_valid"), F.try_variant_get("_rssi", "$", "double")),
+                                   F.lit(DECODE_DEFAULT_RSSI)).cast("float"),
+        "_port": F.coalesce(F.when(whole, F.try_variant_get("_antenna", "$", "int")), F.lit(DECODE_DEFAULT_ANTENNA)),
     })
-    helpers = [c for c in fields.columns if c.startswith("_") and c not in df.columns]
-    return fields.where("epc != ''").drop(line, *helpers)
+    read = F.struct(F.col("_epc_text").alias("epc"), F.col("_tid_text").alias("tid"),
+                    F.col("_rssi_number").alias("rssi"), F.col("_port").alias("antenna_port"))
+    # A filter on the EPC would be pushed below these projections and parse the text again for every
+    # reference; a generator stays where it is.
+    return fields.select(*[c for c in df.columns if c != line],
+                         F.inline(F.when(F.col("_epc_text") != "", F.array(read))))
 
 
 def decode_mqtt_messages(df: DataFrame, topic: str = "topic", payload: str = "payload", **options) -> DataFrame:
