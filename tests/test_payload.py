@@ -90,12 +90,14 @@ def test_templates_outside_the_subset_are_refused(spark, template):
 
 
 def test_headers(spark):
-    df = spark.createDataFrame([({"A": "x {{ Transaction_Id }}", "a": "$1 {{ timestamp_utc }}", "B": "{{transaction_id}}"},
-                                 r"t$1\2", AT), (None, "t", AT), ({"x-idempotency-key": "own"}, "t", AT)],
-                               "h map<string,string>, tx string, now timestamp")
-    got = [r.x for r in df.select(inject_headers(F.col("h"), F.col("tx"), F.col("now")).alias("x")).collect()]
-    assert got[0] == {"A": "$1 2026-07-20T08:30:05.000000Z", "B": "{{transaction_id}}", "X-Idempotency-Key": r"t$1\2"}
-    assert got[1:] == [{"X-Idempotency-Key": "t"}, {"x-idempotency-key": "own"}]
+    pairs = [("A", "x {{ Transaction_Id }}"), ("a", "$1 {{ timestamp_utc }}"), ("B", "{{transaction_id}}")]
+    given = F.create_map(*[F.lit(text) for pair in pairs for text in pair])
+    own = F.create_map(F.lit("x-idempotency-key"), F.lit("own"))
+    none = F.lit(None).cast("map<string,string>")
+    row = spark.createDataFrame([(r"t$1\2", AT)], "tx string, now timestamp").select(
+        *[inject_headers(h, F.col("tx"), F.col("now")).alias(n) for h, n in ((given, "a"), (none, "b"), (own, "c"))]).first()
+    assert row.a == {"A": "$1 2026-07-20T08:30:05.000000Z", "B": "{{transaction_id}}", "X-Idempotency-Key": r"t$1\2"}
+    assert (row.b, row.c) == ({"X-Idempotency-Key": r"t$1\2"}, {"x-idempotency-key": "own"})
 
 
 @pytest.mark.parametrize("url,payload,expected", [
