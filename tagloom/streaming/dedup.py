@@ -83,7 +83,8 @@ def dedup_stream(reads: DataFrame, sliding: SlidingRule | None = None, daily: Da
     micro-batch are sorted by ``order``; the source's rate limit
     (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) bounds how many those are.
     ``state_ttl_s`` evicts keys that were idle that long by the wall clock; it
-    must exceed the window and any delay of the stream.
+    must exceed the window and any delay of the stream, and asks for a running
+    trigger: with a time to live an ``availableNow`` query would not end.
     """
     reads.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     columns = reads.columns

@@ -96,11 +96,27 @@ def test_keyed_state_survives_a_restart(spark, feed):
     for low, high in ((0, 150), (150, 330)):
         df.where(F.col("seq").between(low + 3, high + 2)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
         source = spark.readStream.schema(df.schema).parquet(f"{folder}/in")
-        stored(sliding_dedup_stream(source, SlidingRule(4, "global"), state_ttl_s=3600), folder)
+        stored(sliding_dedup_stream(source, SlidingRule(4, "global")), folder)
     expected = filter_pipeline(df, [SlidingRule(4, "global")]).where("drop_stage IS NULL")
     assert rows(spark.read.parquet(f"{folder}/out").select("seq")) == rows(expected.select("seq"))
 
 
+def test_state_with_a_time_to_live(spark, feed):
+    """Needs a running trigger, so the query is stopped once its output is complete."""
+    df, stream = feed
+    folder = shared_folder(spark, "ttl")
+    expected = rows(filter_pipeline(df, [SlidingRule(4, "global")]).where("drop_stage IS NULL").select("seq"))
+    query = sliding_dedup_stream(stream(), SlidingRule(4, "global"), state_ttl_s=3600).writeStream.format(
+        "memory").queryName("ttl_out").option("checkpointLocation", folder).trigger(processingTime="1 second").start()
+    try:
+        deadline = time.time() + 60
+        while time.time() < deadline and spark.table("ttl_out").count() < len(expected):
+            time.sleep(1)
+        assert rows(spark.table("ttl_out").select("seq")) == expected
+    finally:
+        query.stop()
+
+
 def test_throughput_on_a_stream(spark, feed):
     df, stream = feed
     folder = shared_folder(spark, "gauge")
