@@ -39,6 +39,15 @@ def storm(spark: SparkSession, rows: int) -> DataFrame:
         (-50 - i % 15).cast("float").alias("rssi"))
 
 
+def parked_tag_storm(spark: SparkSession, rows: int) -> DataFrame:
+    """The same storm with one tag parked at an antenna that makes a third of all reads."""
+    parked = F.col("seq") % 3 == 0
+    return storm(spark, rows).withColumns({
+        "epc": F.when(parked, F.lit("E280PARKED")).otherwise(F.col("epc")),
+        "reader_id": F.when(parked, F.lit("reader-1")).otherwise(F.col("reader_id")),
+        "antenna_port": F.when(parked, F.lit(1)).otherwise(F.col("antenna_port"))})
+
+
 def seconds(df: DataFrame) -> float:
     started = time.perf_counter()
     df.write.format("noop").mode("overwrite").save()
@@ -65,6 +74,9 @@ def main() -> None:
         took = seconds(pipeline_counters(filter_pipeline(storm(spark, rows), rules)))
         timings[f"storm_{rows}"] = round(took, 3)
         rates[f"storm_{rows}"] = round(rows / took)
+        took = seconds(pipeline_counters(filter_pipeline(parked_tag_storm(spark, rows), rules)))
+        timings[f"parked_tag_storm_{rows}"] = round(took, 3)
+        rates[f"parked_tag_storm_{rows}"] = round(rows / took)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(timings.values()), 3), "unit": "sec",
                       "queries": timings, "reads_per_sec": rates, "cores": int(cpus),
                       "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))

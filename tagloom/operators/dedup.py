@@ -14,9 +14,9 @@ from .ordering import SLICE_BITS, slice_of, with_first_flag, with_previous, with
 
 
 def dedup_key(scope: str) -> list[Column]:
-    """Case-insensitive key columns of a dedup scope."""
-    epc, reader = F.upper("epc"), F.upper("reader_id")
-    return {"antenna": [epc, reader, F.col("antenna_port")],
+    """Case-insensitive key columns of a dedup scope, with a stand-in for a missing part."""
+    epc, reader = (F.coalesce(F.upper(c), F.lit("\0")) for c in ("epc", "reader_id"))
+    return {"antenna": [epc, reader, F.coalesce("antenna_port", F.lit(-2**31))],
             "reader": [epc, reader],
             "global": [epc]}[scope]
 
@@ -26,7 +26,7 @@ def window_micros(seconds: float) -> int:
 
 
 def sliding_verdict(df: DataFrame, rule: SlidingRule, out: str = "gap_us", *, active: Column | None = None,
-                    order: str = "seq", slice_bits: int = SLICE_BITS) -> DataFrame:
+                    order: str = "seq", rescan: bool = True, slice_bits: int = SLICE_BITS) -> DataFrame:
     """Add ``out``: microseconds since the previous read of the key when that read suppresses this one, else NULL.
 
     A suppressed read extends the window, so only the gap to the read directly
@@ -34,45 +34,46 @@ def sliding_verdict(df: DataFrame, rule: SlidingRule, out: str = "gap_us", *, ac
     window.
     """
     marked = with_previous(df, dedup_key(rule.scope), F.unix_micros("eval_ts"), "_before_us",
-                           order=order, active=active, slice_bits=slice_bits)
+                           order=order, active=active, rescan=rescan, slice_bits=slice_bits)
     gap = F.unix_micros("eval_ts") - F.col("_before_us")
     return marked.withColumn(out, F.when((gap >= 0) & (gap < window_micros(rule.window_seconds)), gap)) \
         .drop("_before_us")
 
 
-def sliding_dedup(df: DataFrame, rule: SlidingRule | None = None, *, order: str = "seq",
+def sliding_dedup(df: DataFrame, rule: SlidingRule | None = None, *, order: str = "seq", rescan: bool = True,
                   slice_bits: int = SLICE_BITS) -> DataFrame:
     """Reads that survive the refreshing window."""
-    marked = sliding_verdict(df, rule or SlidingRule(), "_gap", order=order, slice_bits=slice_bits)
+    marked = sliding_verdict(df, rule or SlidingRule(), "_gap", order=order, rescan=rescan, slice_bits=slice_bits)
     return marked.where(F.col("_gap").isNull()).drop("_gap")
 
 
 def with_shift(df: DataFrame, rule: DailyRule, *, order: str = "seq", active: Column | None = None,
-               slice_bits: int = SLICE_BITS) -> tuple[DataFrame, list[str]]:
+               rescan: bool = True, slice_bits: int = SLICE_BITS) -> tuple[DataFrame, list[str]]:
     """Add ``shift_id`` and the columns that separate one registry from the next."""
     shifted = df.withColumn("shift_id", shift_id(F.col("eval_ts"), rule.tz, rule.shift_start))
     if rule.rollover == "shift":
         return shifted, ["shift_id"]
     shifted = shifted.withColumn("_alive", F.lit(True) if active is None else active)
     marked = with_previous(shifted, [], F.col("shift_id"), "_shift_before", order=order, active=F.col("_alive"),
-                           slice_bits=slice_bits)
+                           rescan=rescan, slice_bits=slice_bits)
     changed = F.col("_alive") & F.col("_shift_before").isNotNull() & (F.col("shift_id") != F.col("_shift_before"))
     runs = with_running_total(marked, [], changed.cast("bigint"), "_shift_run", order=order, slice_bits=slice_bits)
     return runs.drop("_shift_before", "_alive"), ["_shift_run"]
 
 
 def daily_verdict(df: DataFrame, rule: DailyRule, out: str, *, active: Column | None = None, order: str = "seq",
-                  slice_bits: int = SLICE_BITS) -> DataFrame:
+                  rescan: bool = True, slice_bits: int = SLICE_BITS) -> DataFrame:
     """Add ``shift_id`` and ``out``: whether the read is the first of its key in its shift."""
-    shifted, registry = with_shift(df, rule, order=order, active=active, slice_bits=slice_bits)
+    shifted, registry = with_shift(df, rule, order=order, active=active, rescan=rescan, slice_bits=slice_bits)
     keys = [F.col(c) for c in registry] + dedup_key(rule.scope)
-    return with_first_flag(shifted, keys, out, order=order, active=active, slice_bits=slice_bits).drop("_shift_run")
+    return with_first_flag(shifted, keys, out, order=order, active=active, rescan=rescan and rule.rollover == "shift",
+                           slice_bits=slice_bits).drop("_shift_run")
 
 
-def daily_unique(df: DataFrame, rule: DailyRule | None = None, *, order: str = "seq",
+def daily_unique(df: DataFrame, rule: DailyRule | None = None, *, order: str = "seq", rescan: bool = True,
                  slice_bits: int = SLICE_BITS) -> DataFrame:
     """First read of each key per shift, with its ``shift_id``."""
-    return daily_verdict(df, rule or DailyRule(), "_first", order=order, slice_bits=slice_bits) \
+    return daily_verdict(df, rule or DailyRule(), "_first", order=order, rescan=rescan, slice_bits=slice_bits) \
         .where("_first").drop("_first")
 
 

@@ -26,38 +26,70 @@ def slice_of(order: str, slice_bits: int = SLICE_BITS) -> Column:
 
 
 def with_previous(df: DataFrame, keys: Sequence[Column], value: Column, out: str, *, order: str = "seq",
-                  active: Column | None = None, slice_bits: int = SLICE_BITS) -> DataFrame:
-    """Add ``out``: ``value`` of the preceding row of the same key, NULL if none.
-
-    Only rows where ``active`` holds take part; for the others ``out`` is
-    meaningless.  All rows are shuffled once by (key, slice); the first and last
-    row of each group are shuffled a second time to look across the border.
+                  active: Column | None = None, rescan: bool = True, slice_bits: int = SLICE_BITS) -> DataFrame:
+    """Add ``out``: ``value`` of the preceding active row of the same key, NULL if none.
+
+    Rows are shuffled once, by (key, slice), and look back within their slice.
+    For the first row of a slice there are two ways.  With ``rescan`` the input
+    is read a second time for the last value of every (key, slice), which
+    partial aggregation reduces ahead of its shuffle, and the summary is joined
+    on the partitioning the rows already have.  Without it, for inputs that are
+    costly to compute twice, the border rows of the slices are shuffled again.
+    Keys and values must not be NULL.
     """
     active = F.lit(True) if active is None else active
     named = {f"_ord_key{i}": key for i, key in enumerate(keys)}
     staged = df.withColumns({**named, "_ord_active": active, _SLICE: slice_of(order, slice_bits), "_ord_value": value})
-    within = Window.partitionBy("_ord_active", *named, _SLICE).orderBy(order)
+    if rescan:
+        return _previous_by_summary(staged, list(named), out, order)
+    return _previous_by_borders(staged, list(named), out, order)
+
+
+def _key_window(keys: Sequence[str]):
+    return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+
+
+def _previous_by_summary(staged: DataFrame, keys: list[str], out: str, order: str) -> DataFrame:
+    before = Window.partitionBy(*keys, _SLICE).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.last(F.when(F.col("_ord_active"), F.col("_ord_value")), ignorenulls=True).over(before)
+    alive = [F.when(F.col("_ord_active"), F.col(c)) for c in ("_ord_value", order)]
+    groups = staged.groupBy(*keys, _SLICE).agg(F.max_by(*alive).alias("_ord_last"))
+    earlier = _key_window(keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    carried = groups.withColumn("_ord_across", F.last("_ord_last", ignorenulls=True).over(earlier)).drop("_ord_last")
+    joined = staged.withColumn(_PREV, inside).join(carried, [*keys, _SLICE], "left")
+    return joined.withColumn(out, F.coalesce(_PREV, "_ord_across")).drop(
+        *keys, "_ord_active", _SLICE, "_ord_value", _PREV, "_ord_across")
+
+
+def _previous_by_borders(staged: DataFrame, keys: list[str], out: str, order: str) -> DataFrame:
+    within = Window.partitionBy("_ord_active", *keys, _SLICE).orderBy(order)
     staged = staged.withColumns({
         _PREV: F.lag("_ord_value").over(within),
         _FIRST: F.lag(order).over(within).isNull(),
         _LAST: F.lead(order).over(within).isNull(),
     })
     border = F.col("_ord_active") & (F.col(_FIRST) | F.col(_LAST))
-    across = Window.partitionBy(*named).orderBy(order) if named else Window.partitionBy(F.lit(0)).orderBy(order)
+    across = F.lag("_ord_value").over(_key_window(keys).orderBy(order))
     inner = staged.where(~border).withColumn(out, F.col(_PREV))
-    edges = staged.where(border).withColumn("_ord_across", F.lag("_ord_value").over(across)).withColumn(
+    edges = staged.where(border).withColumn("_ord_across", across).withColumn(
         out, F.when(F.col(_FIRST), F.col("_ord_across")).otherwise(F.col(_PREV))).drop("_ord_across")
-    return inner.unionByName(edges).drop(*named, "_ord_active", _SLICE, "_ord_value", _PREV, _FIRST, _LAST)
+    return inner.unionByName(edges).drop(*keys, "_ord_active", _SLICE, "_ord_value", _PREV, _FIRST, _LAST)
 
 
 def with_first_flag(df: DataFrame, keys: Sequence[Column], out: str, *, order: str = "seq",
-                    active: Column | None = None, slice_bits: int = SLICE_BITS) -> DataFrame:
+                    active: Column | None = None, rescan: bool = True, slice_bits: int = SLICE_BITS) -> DataFrame:
     """Add ``out``: whether the row is the first active one of its key.
 
-    The first row of each (key, slice) group is a candidate; only candidates are
-    shuffled again to find the first of the key.
+    With ``rescan`` the input is read twice: the least order value of every key,
+    partially aggregated ahead of the shuffle, is joined back on the order value,
+    which is unique and spreads evenly.  Without it the first row of each (key,
+    slice) group is a candidate, and only candidates are shuffled again.
     """
     active = F.lit(True) if active is None else active
+    if rescan:
+        firsts = df.where(active).groupBy(*[k.alias(f"_ord_key{i}") for i, k in enumerate(keys)]).agg(
+            F.min(order).alias(order)).select(order, F.lit(True).alias("_ord_first"))
+        return df.join(firsts, order, "left").withColumn(out, F.col("_ord_first").isNotNull()).drop("_ord_first")
     named = {f"_ord_key{i}": key for i, key in enumerate(keys)}
     staged = df.withColumns({**named, "_ord_active": active, _SLICE: slice_of(order, slice_bits)})
     within = Window.partitionBy("_ord_active", *named, _SLICE).orderBy(order)

@@ -124,21 +124,21 @@ def start(df: DataFrame) -> DataFrame:
     return df.withColumns({"drop_stage": none, "drop_code": none, "drop_reason": none})
 
 
-def _apply(df: DataFrame, rule: Rule, order: str, slice_bits: int) -> DataFrame:
+def _apply(df: DataFrame, rule: Rule, order: str, rescan: bool, slice_bits: int) -> DataFrame:
     alive = F.expr(ALIVE)
     if isinstance(rule, MetadataRule):
         return _annotate(df, rule.name, _metadata_checks(rule))
     if isinstance(rule, ScheduleRule):
         return _annotate(df, rule.name, _schedule_checks(rule))
     if isinstance(rule, SlidingRule):
-        marked = sliding_verdict(df, rule, "_gap", active=alive, order=order, slice_bits=slice_bits)
+        marked = sliding_verdict(df, rule, "_gap", active=alive, order=order, rescan=rescan, slice_bits=slice_bits)
         window = f"{rule.window_seconds:g}"
         text = F.concat(F.lit("Tag '"), F.col("epc"),
                         F.format_string(f"' deduplicated (last seen %.1fs ago, window: {window}s).",
                                         F.col("_gap") / 1_000_000))
         return _annotate(marked, rule.name, [("sliding", F.col("_gap").isNotNull(), text)]).drop("_gap")
     if isinstance(rule, DailyRule):
-        marked = daily_verdict(df, rule, "_first", active=alive, order=order, slice_bits=slice_bits)
+        marked = daily_verdict(df, rule, "_first", active=alive, order=order, rescan=rescan, slice_bits=slice_bits)
         text = F.concat(F.lit("Tag '"), F.col("epc"), F.lit("' already processed in shift '"),
                         F.col("shift_id"), F.lit("'."))
         return _annotate(marked, rule.name, [("daily", ~F.col("_first"), text)]).drop("_first", "shift_id")
@@ -182,11 +182,18 @@ def commute(rules: Sequence[Rule]) -> list[Rule]:
 
 
 def filter_pipeline(df: DataFrame, rules: Sequence[Rule], *, optimize: bool = False, order: str = "seq",
-                    slice_bits: int = SLICE_BITS) -> DataFrame:
-    """Run the stages in order over one annotated DataFrame."""
+                    rescan: bool = True, slice_bits: int = SLICE_BITS) -> DataFrame:
+    """Run the stages in order over one annotated DataFrame.
+
+    The first dedup stage reads the input twice, with the second pass pruned to
+    its key and clock.  Set ``rescan=False`` if the input is costly to compute,
+    such as text decoded in the same job; later dedup stages never recompute the
+    stages before them.
+    """
     out = start(df)
     for rule in commute(rules) if optimize else rules:
-        out = _apply(out, rule, order, slice_bits)
+        out = _apply(out, rule, order, rescan, slice_bits)
+        rescan = rescan and isinstance(rule, (MetadataRule, ScheduleRule))
     return out
 
 

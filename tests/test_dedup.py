@@ -1,7 +1,7 @@
 from datetime import datetime, time
 
 import pytest
-from cases import UTC, daily_survivors, random_reads, read, reads, sliding_survivors
+from cases import START, UTC, daily_survivors, random_reads, read, reads, sliding_survivors
 from pyspark.sql import functions as F
 
 from tagloom.operators.dedup import (active_key_counts, daily_unique, live_sliding_keys, shift_rollovers,
@@ -31,14 +31,22 @@ def test_scopes_and_case(spark):
     assert kept(sliding_dedup(df, SlidingRule(9, "global"))) == [1]
 
 
+@pytest.mark.parametrize("rescan", [True, False])
 @pytest.mark.parametrize("slice_bits", [22, 4, 0])
 @pytest.mark.parametrize("scope", ["antenna", "reader", "global"])
-def test_sliding_equals_state_machine(spark, scope, slice_bits):
+def test_sliding_equals_state_machine(spark, scope, slice_bits, rescan):
     rows = random_reads(7, 600)
-    got = sliding_dedup(reads(spark, rows), SlidingRule(6, scope), slice_bits=slice_bits)
+    got = sliding_dedup(reads(spark, rows), SlidingRule(6, scope), rescan=rescan, slice_bits=slice_bits)
     assert kept(got) == sliding_survivors(rows, 6, scope)
 
 
+def test_missing_key_parts_are_a_key_of_their_own(spark):
+    rows = [(1, START, "a", None, None, -1.0, 1, None), (2, START, "a", None, None, -1.0, 1, None),
+            (3, START, "a", None, 1, -1.0, 1, None)]
+    for rescan in (True, False):
+        assert kept(sliding_dedup(reads(spark, rows), SlidingRule(5, "antenna"), rescan=rescan, slice_bits=0)) == [1, 3]
+
+
 def test_shift_unique_in_local_time(spark):
     utc = [datetime(2026, 5, 4, 1, 0, tzinfo=UTC), datetime(2026, 5, 4, 9, 0, tzinfo=UTC),
            datetime(2026, 5, 5, 0, 20, tzinfo=UTC), datetime(2026, 5, 5, 0, 40, tzinfo=UTC)]
@@ -49,12 +57,13 @@ def test_shift_unique_in_local_time(spark):
 
 @pytest.mark.parametrize("slice_bits", [22, 3])
 @pytest.mark.parametrize("rollover", ["shift", "arrival"])
+@pytest.mark.parametrize("rescan", [True, False])
 @pytest.mark.parametrize("scope", ["reader", "global"])
-def test_daily_equals_state_machine(spark, scope, rollover, slice_bits):
+def test_daily_equals_state_machine(spark, scope, rollover, slice_bits, rescan):
     rows = [(r[0], datetime.fromtimestamp(r[1].timestamp() + (r[1].timestamp() % 977) * 150, UTC), *r[2:])
             for r in random_reads(11, 400)]
     rule = DailyRule(time(6), "Asia/Kolkata", scope, rollover)
-    got = daily_unique(reads(spark, rows), rule, slice_bits=slice_bits)
+    got = daily_unique(reads(spark, rows), rule, rescan=rescan, slice_bits=slice_bits)
     assert kept(got) == daily_survivors(rows, 5.5, 6, scope, rollover == "arrival")
 
 

@@ -65,21 +65,32 @@ def test_dropped_reads_still_refresh_the_stage_before(spark):
     assert codes(filter_pipeline(df, rules[::-1])) == ["rssi", None]
 
 
+@pytest.mark.parametrize("rescan", [True, False])
 @pytest.mark.parametrize("slice_bits", [22, 3])
-def test_chain_equals_state_machines(spark, slice_bits):
+def test_chain_equals_state_machines(spark, slice_bits, rescan):
     rows = random_reads(5, 500)
-    rules = [SlidingRule(4, "reader"), DailyRule(time(0), "UTC", "reader"), MetadataRule(min_rssi=-70)]
+    rules = [MetadataRule(min_rssi=-200), SlidingRule(4, "reader"), DailyRule(time(0), "UTC", "reader"), MetadataRule(min_rssi=-70)]
     survivors = set(sliding_survivors(rows, 4, "reader"))
     rest = [r for r in rows if r[0] in survivors]
     first = set(daily_survivors(rest, 0, 0, "reader", False))
     expected = sorted(r[0] for r in rest if r[0] in first and r[5] >= -70)
-    got = filter_pipeline(reads(spark, rows), rules, slice_bits=slice_bits)
+    got = filter_pipeline(reads(spark, rows), rules, rescan=rescan, slice_bits=slice_bits)
     assert sorted(r.seq for r in passed(got).collect()) == expected
     counts = pipeline_counters(got).first()
     assert (counts.evaluated, counts.passed, counts.dropped) == (500, len(expected), 500 - len(expected))
     assert sum(r.reads for r in drop_report(got).collect()) == counts.dropped
 
 
+@pytest.mark.parametrize("slice_bits", [22, 2])
+def test_reads_dropped_earlier_leave_no_trace_in_later_stages(spark, slice_bits):
+    rows = random_reads(8, 300)
+    alive = [r for r in rows if r[5] >= -60]
+    for rule, expected in ((SlidingRule(6, "global"), sliding_survivors(alive, 6, "global")),
+                           (DailyRule(), daily_survivors(alive, 0, 0, "global", False))):
+        got = filter_pipeline(reads(spark, rows), [MetadataRule(min_rssi=-60), rule], slice_bits=slice_bits)
+        assert sorted(r.seq for r in passed(got).collect()) == expected
+
+
 def test_custom_stages(spark):
     df = reads(spark, [read(1, antenna=1), read(2, antenna=2), read(3, antenna=3)])
     rules = [CustomRule("odd", F.expr("antenna_port % 2 = 1")),

@@ -47,13 +47,19 @@ def test_stateless_filters_are_pushed_to_the_scan(spark, tmp_path):
     assert "tid" not in re.search(r"ReadSchema: (.*)", plan).group(1)
 
 
-def test_both_halves_of_a_stateful_stage_share_one_shuffle(spark):
-    """Rows are shuffled once per dedup stage, and the border rows of the slices once more."""
-    df = tables.reads(spark, SF)
-    one = final_plan(pipeline_counters(default_pipeline(df, FilterConfig(5, min_rssi=-75.0))))
-    assert one.count("ReusedExchange") == 1 and one.count("FileScan") == 1
-    two = final_plan(pipeline_counters(default_pipeline(df, CHAIN)))
-    assert two.count("ReusedExchange") >= 2 and two.count("FileScan") == 1
+def test_the_first_dedup_stage_scans_again_only_for_key_and_clock(spark):
+    df = tables.reads(spark, SF).withColumn("note", F.concat("epc", "tid"))
+    plan = final_plan(default_pipeline(df, FilterConfig(5, sliding_scope="global")))
+    schemas = sorted(re.findall(r"ReadSchema: (struct<.*?>)(?:\n|$)", plan), key=len)
+    assert len(schemas) == 2 and schemas[0] == "struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint>"
+
+
+def test_later_dedup_stages_do_not_repeat_the_earlier_ones(spark):
+    """Both halves of the second stage read one shuffle, so the first stage runs once."""
+    two = final_plan(pipeline_counters(default_pipeline(tables.reads(spark, SF), CHAIN)))
+    assert two.count("ReusedExchange") >= 1 and two.count("FileScan") == 2
+    once = final_plan(pipeline_counters(default_pipeline(tables.reads(spark, SF), CHAIN, rescan=False)))
+    assert once.count("FileScan") == 1
 
 
 def test_filters_on_the_key_reach_below_the_shuffle(spark):
