@@ -28,14 +28,14 @@ def health_summary(statuses: DataFrame, counters: DataFrame, pending: DataFrame,
     queue.  The list has one entry per reader.
     """
     depth = pending.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    raw = counters.select("evaluated").scalar()
-    filtered = counters.select("passed").scalar()
+    reads = counters.select(F.struct("evaluated", "passed").alias("c")).scalar()
     return statuses.agg(
         F.count_if(F.col("state") == "Connected").alias("connected_readers"),
         F.count(F.lit(1)).alias("total_readers"),
         F.array_sort(F.collect_list(F.struct("reader_id", "provider_id", "state", "last_seen"))).alias("readers"),
     ).select(F.lit(is_running).alias("is_running"), F.lit(uptime_seconds).cast("double").alias("uptime_seconds"),
-             "connected_readers", "total_readers", raw.alias("raw_reads"), filtered.alias("filtered_reads"),
+             "connected_readers", "total_readers", reads["evaluated"].alias("raw_reads"),
+             reads["passed"].alias("filtered_reads"),
              depth.alias("queued_batches"), "readers")
 
 
