@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import shift_id
 from ..schema import DailyRule, SlidingRule
-from .ordering import SLICE_BITS, slice_of, with_first_flag, with_previous, with_running_total
+from .ordering import SLICE_BITS, with_first_flag, with_previous, with_running_total
 
 
 def dedup_key(scope: str) -> list[Column]:
@@ -103,6 +103,3 @@ def live_sliding_keys(df: DataFrame, rule: SlidingRule, as_of: datetime | Column
     age = F.unix_micros(as_of) - F.unix_micros("last_ts")
     return last.agg(F.count_if(age < window_micros(rule.window_seconds)).alias("active_keys"))
 
-
-__all__ = ["active_key_counts", "daily_unique", "daily_verdict", "dedup_key", "live_sliding_keys",
-           "shift_rollovers", "slice_of", "sliding_dedup", "sliding_verdict", "window_micros"]

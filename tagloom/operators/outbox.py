@@ -120,3 +120,9 @@ def idempotent_upsert(received: DataFrame, incoming: DataFrame, key: str = "tran
     fields = [c for c in incoming.columns if c != key]
     first = incoming.groupBy(key).agg(F.min_by(F.struct(*fields), order).alias("_row"))
     return first.join(received.select(key), key, "left_anti").select(key, "_row.*")
+
+
+def first_deliveries(received: DataFrame, keep: str, *, key: str = "transaction_id",
+                     received_at: str = "received_at") -> DataFrame:
+    """The receiver's form for streams: the first delivery of each key, with retries within ``keep`` left out."""
+    return received.withWatermark(received_at, keep).dropDuplicatesWithinWatermark([key])

@@ -10,12 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions.clock import local_time, weekday_name
-from ..functions.text import number_text
 from ..schema import DailyRule, FilterConfig, MetadataRule, ScheduleRule, SlidingRule
 from .dedup import daily_verdict, sliding_verdict
 from .ordering import SLICE_BITS
@@ -230,10 +229,13 @@ def pipeline_counters(annotated: DataFrame) -> DataFrame:
                          F.count_if(~F.expr(ALIVE)).alias("dropped"))
 
 
+def observe_counters(annotated: DataFrame, observation: Observation | str) -> DataFrame:
+    """The same reads, with the counters collected on the way through: no second pass, and usable on streams."""
+    return annotated.observe(observation, F.count(F.lit(1)).alias("evaluated"),
+                             F.count_if(F.expr(ALIVE)).alias("passed"), F.count_if(~F.expr(ALIVE)).alias("dropped"))
+
+
 def drop_report(annotated: DataFrame) -> DataFrame:
     """Dropped reads counted by stage and code."""
     return annotated.where(~F.expr(ALIVE)).groupBy("drop_stage", "drop_code").agg(F.count(F.lit(1)).alias("reads"))
 
-
-__all__ = ["ALIVE", "CustomRule", "commute", "default_pipeline", "default_rules", "drop_report", "filter_pipeline",
-           "metadata_filter", "number_text", "passed", "pipeline_counters", "schedule_filter", "start"]

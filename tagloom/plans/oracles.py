@@ -8,7 +8,7 @@ decoded bytes.
 
 from __future__ import annotations
 
-from .tables import CHUNKS_SQL, LINEITEM_READS_SQL, LINES_SQL, READS_SQL, REGISTRY_SQL, STATUS_SQL
+from .tables import CHUNKS_SQL, LINEITEM_READS_SQL, READS_SQL, REGISTRY_SQL, STATUS_SQL
 
 READS = f"reads AS ({READS_SQL})"
 REGISTRY = f"registry AS ({REGISTRY_SQL})"

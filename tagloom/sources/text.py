@@ -39,14 +39,6 @@ def split_lines(chunks: DataFrame, *, stream: str = "stream_id", order: str = "c
     return lines.withColumn("line", trim_whitespace(F.col("line")))
 
 
-def _member(document: Column, name: str, case_insensitive: bool) -> Column:
-    """A top-level member of the wrapped document as a variant."""
-    if not case_insensitive:
-        return F.try_variant_get(document, f"$[0].{name}", "variant")
-    names = {name, name.upper(), name.capitalize()}
-    return F.coalesce(*[F.try_variant_get(document, f"$[0].{n}", "variant") for n in sorted(names, key=name.__ne__)])
-
-
 def decode_text_lines(df: DataFrame, line: str = "line", *, case_insensitive_keys: bool = False) -> DataFrame:
     """Decode one text message per row into ``epc, tid, rssi, antenna_port``; other columns are kept.
 
@@ -62,11 +54,15 @@ def decode_text_lines(df: DataFrame, line: str = "line", *, case_insensitive_key
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     names = ("epc", "tid", "rssi", "antenna")
     trimmed = df.withColumn("_text", trim_whitespace(F.col(line)))
+    document = F.col("_text")
+    if case_insensitive_keys:
+        for name in names:
+            document = F.regexp_replace(document, rf'(?i)"{name}"(\s*:)', f'"{name}"$1')
     parsed = trimmed.withColumn("_doc", F.when(
-        F.col("_text").startswith("{"), F.try_parse_json(F.concat(F.lit("["), "_text", F.lit("]")))))
+        F.col("_text").startswith("{"), F.try_parse_json(F.concat(F.lit("["), document, F.lit("]")))))
     single = F.col("_doc").isNotNull() & F.try_variant_get("_doc", "$[1]", "variant").isNull()
     members = parsed.withColumns({"_single": single, **{
-        f"_{n}": _member(F.col("_doc"), n, case_insensitive_keys) for n in names}})
+        f"_{n}": F.try_variant_get("_doc", f"$[0].{n}", "variant") for n in names}})
     typed = members.withColumns({f"_{n}_kind": F.schema_of_variant(f"_{n}") for n in names})
 
     def textual(kind: str) -> Column:

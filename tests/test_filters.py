@@ -2,10 +2,11 @@ from datetime import datetime, time
 
 import pytest
 from cases import UTC, daily_survivors, random_reads, read, reads, sliding_survivors
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tagloom.operators.pipeline import (CustomRule, commute, default_pipeline, default_rules, drop_report,
-                                        filter_pipeline, metadata_filter, passed, pipeline_counters, schedule_filter)
+                                        filter_pipeline, metadata_filter, observe_counters, passed, pipeline_counters, schedule_filter)
 from tagloom.schema import (FACTORY_FILTER, DailyRule, DispatchConfig, FilterConfig, MetadataRule, ScheduleRule,
                             SlidingRule)
 
@@ -111,6 +112,12 @@ def test_moving_key_checks_ahead_keeps_the_survivors(spark):
     assert plain == fast
 
 
+def test_counters_on_the_way_through(spark):
+    seen = Observation("chain")
+    df = observe_counters(metadata_filter(reads(spark, [read(1), read(2, rssi=-90)]), MetadataRule(min_rssi=-60)), seen)
+    assert df.count() == 2 and seen.get == {"evaluated": 2, "passed": 1, "dropped": 1}
+
+
 def test_default_rules():
     assert [type(r).__name__ for r in default_rules(FilterConfig())] == ["SlidingRule"]
     assert [type(r).__name__ for r in default_rules(FACTORY_FILTER)] == ["SlidingRule", "MetadataRule"]

@@ -33,8 +33,25 @@ def test_text_messages(spark):
 
 
 def test_keys_may_ignore_case(spark):
-    df = spark.createDataFrame([('{"EPC":"A","Rssi":-1.5}',)], "line string")
-    assert decode_text_lines(df, case_insensitive_keys=True).first().epc == "A"
+    df = spark.createDataFrame([('{"ePC" :"A","Rssi":-1.5}',), ('{"EPC":"\\"TID\\":"}',)], "line string")
+    got = decode_text_lines(df, case_insensitive_keys=True).collect()
+    assert sorted((r.epc, r.rssi) for r in got) == [('"TID":', -50.0), ("A", -1.5)]
+    assert decode_text_lines(df).count() == 0
+
+
+def test_decoders_run_on_streams(spark, tmp_path):
+    (tmp_path / "text").mkdir()
+    (tmp_path / "text" / "a.txt").write_text('{"epc":"A","antenna":2}\n\n B \n')
+    stream = spark.readStream.text(str(tmp_path / "text")).withColumnRenamed("value", "line")
+    decode_text_lines(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.epc, r.antenna_port) for r in got) == [("A", 2), ("B", 1)]
+    spark.createDataFrame([(1, bytearray(REPORTS[4][0]))], "seq long, message binary").write.parquet(str(tmp_path / "msg"))
+    binary = spark.readStream.schema("seq long, message binary").parquet(str(tmp_path / "msg"))
+    decode_llrp_reports(binary).writeStream.format("parquet").option("path", str(tmp_path / "tags")).option(
+        "checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "tags")).count() == 2
 
 
 def test_mqtt_topic_is_kept(spark):

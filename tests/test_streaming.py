@@ -5,6 +5,7 @@ from cases import START, random_reads, reads
 from pyspark.sql import functions as F
 
 from tagloom.operators.batching import batch
+from tagloom.operators.outbox import first_deliveries
 from tagloom.operators.pipeline import filter_pipeline
 from tagloom.operators.telemetry import throughput_per_second
 from tagloom.schema import DailyRule, DispatchConfig, MetadataRule, SlidingRule
@@ -117,6 +118,17 @@ def test_state_with_a_time_to_live(spark, feed):
         query.stop()
 
 
+def test_retries_are_left_out_of_a_stream(spark):
+    folder = shared_folder(spark, "receiver")
+    rows_in = [("a", START), ("b", START), ("a", START)]
+    for part in (rows_in[:2], rows_in[2:]):
+        spark.createDataFrame(part, "transaction_id string, received_at timestamp").coalesce(1).write.mode(
+            "append").parquet(f"{folder}/in")
+        source = spark.readStream.schema("transaction_id string, received_at timestamp").parquet(f"{folder}/in")
+        stored(first_deliveries(source, "1 hour"), folder)
+    assert rows(spark.read.parquet(f"{folder}/out").select("transaction_id")) == [("a",), ("b",)]
+
+
 def test_throughput_on_a_stream(spark, feed):
     df, stream = feed
     folder = shared_folder(spark, "gauge")
