@@ -181,9 +181,12 @@ def commute(rules: Sequence[Rule]) -> list[Rule]:
 
 
 def filter_pipeline(df: DataFrame, rules: Sequence[Rule], *, optimize: bool = False, order: str = "seq",
-                    rescan: bool = True, slice_bits: int = SLICE_BITS) -> DataFrame:
+                    rescan: bool = True, keep_dropped: bool = True, slice_bits: int = SLICE_BITS) -> DataFrame:
     """Run the stages in order over one annotated DataFrame.
 
+    With ``keep_dropped=False`` a dropped read leaves the chain at its stage, so
+    that later shuffles carry survivors only; the result is what passes.
+
     The first dedup stage reads the input twice, with the second pass pruned to
     its key and clock.  Set ``rescan=False`` if the input is costly to compute,
     such as text decoded in the same job; later dedup stages never recompute the
@@ -192,6 +195,7 @@ def filter_pipeline(df: DataFrame, rules: Sequence[Rule], *, optimize: bool = Fa
     out = start(df)
     for rule in commute(rules) if optimize else rules:
         out = _apply(out, rule, order, rescan, slice_bits)
+        out = out if keep_dropped else out.where(ALIVE)
         rescan = rescan and isinstance(rule, (MetadataRule, ScheduleRule))
     return out
 

@@ -92,6 +92,16 @@ def test_reads_dropped_earlier_leave_no_trace_in_later_stages(spark, slice_bits)
         assert sorted(r.seq for r in passed(got).collect()) == expected
 
 
+@pytest.mark.parametrize("rescan", [True, False])
+def test_dropped_reads_can_leave_the_chain_early(spark, rescan):
+    rules = [MetadataRule(min_rssi=-75), SlidingRule(4, "reader"), DailyRule(scope="antenna"), SlidingRule(9, "global")]
+    df = reads(spark, random_reads(12, 400))
+    whole = passed(filter_pipeline(df, rules, rescan=rescan, slice_bits=3))
+    early = filter_pipeline(df, rules, rescan=rescan, keep_dropped=False, slice_bits=3)
+    assert sorted(r.seq for r in early.collect()) == sorted(r.seq for r in whole.collect())
+    assert early.where("drop_stage IS NOT NULL").count() == 0
+
+
 def test_custom_stages(spark):
     df = reads(spark, [read(1, antenna=1), read(2, antenna=2), read(3, antenna=3)])
     rules = [CustomRule("odd", F.expr("antenna_port % 2 = 1")),
