@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .url_filter import url_verdicts
+from .warc import archive_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +21,16 @@ def op8_tree_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op6_url_lm_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(_table(spark, sf_dir, "pages"))
+
+
+def op9_splittable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
+    "op6_url_lm_ratio": op6_url_lm_ratio,
+    "op9_splittable_warc": op9_splittable_warc,
     "op8_tree_merge_dedup": op8_tree_merge_dedup,
 }
