@@ -3,7 +3,7 @@
 Two variable-order Markov models, of accepted and of rejected urls, are smoothed from order to order; their difference in
 log-likelihood per character is compared with a calibrated threshold.  All of it is DataFrame expressions: n-grams are
 counted in hashed cells, the cells become one array of bounded size, and a url is scored by looking its characters up
-in that array, so scoring needs no shuffle.
+in that array.
 """
 
 from __future__ import annotations
@@ -147,24 +147,23 @@ def _as_array(values: DataFrame, spark: SparkSession, settings: LmSettings) -> D
     return dense.select(F.transform("m", lambda x: x["value"]).alias("model"))
 
 
-def _score(text: Column, model: Column, settings: LmSettings) -> Column:
-    """Log-likelihood ratio per predicted character.
+def _scored(urls: DataFrame, model: Column, settings: LmSettings) -> DataFrame:
+    """``urls`` with ``score``, the log-likelihood ratio per predicted character of its column ``text``.
 
-    From the empty context to the longest: a context adds what it leaves to the shorter one, an n-gram that was
-    seen replaces the estimate.  The model occurs once, so that the optimizer can put its subquery in this place.
+    A row per character looks itself up in the model: from the empty context to the longest, a context adds what it leaves
+    to the shorter one, and an n-gram that was seen replaces the estimate.  The characters of a url stand together, so they
+    are summed before the shuffle, which carries a row per url; equal rows are counted and restored.
     """
-    def steps(at: Column) -> Column:
-        out = []
-        for n in range(1, settings.order + 2):
-            context = _cell(F.substring(text, at - (n - 1), F.lit(n - 1)), n - 1, settings) if n > 1 else F.lit(settings.size)
-            out += [F.struct((context + settings.size).alias("cell"), F.lit(1.0).alias("keep")),
-                    F.struct(_cell(F.substring(text, at - (n - 1), F.lit(n)), n, settings).alias("cell"), F.lit(0.0).alias("keep"))]
-        return F.array(*out)
-
-    ends = _ends(text, settings.order)
-    at_end = lambda at: F.aggregate(steps(at), F.lit(0.0), lambda told, s: F.coalesce(
-        F.get(model, s["cell"]) + s["keep"] * told, told))
-    return F.aggregate(ends, F.lit(0.0), lambda total, at: total + at_end(at)) / F.size(ends)
+    told = F.lit(0.0)
+    for n in range(1, settings.order + 2):
+        gram = F.substring("text", F.col("at") - (n - 1), F.lit(n))
+        context = _cell(F.substring("text", F.col("at") - (n - 1), F.lit(n - 1)), n - 1, settings) if n > 1 else F.lit(settings.size)
+        left = F.coalesce(F.get(model, context + settings.size), F.lit(0.0))
+        told = F.coalesce(F.get(model, _cell(gram, n, settings)), left + told)
+    each = urls.select("*", F.explode(_ends(F.col("text"), settings.order)).alias("at")).select(*urls.columns, "at", told.alias("r"))
+    first = F.sum((F.col("at") == settings.order + 1).cast("int"))
+    sums = each.groupBy(*urls.columns).agg(F.avg("r").alias("score"), first.alias("copies"))
+    return sums.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies")
 
 
 def url_verdicts(pages: DataFrame, *, key: str = "page_id", url: str = "url", rules: tuple[UrlRule, ...] = RULES,
@@ -186,14 +185,13 @@ def url_verdicts(pages: DataFrame, *, key: str = "page_id", url: str = "url", ru
     kept_back = F.pmod(F.xxhash64("text"), F.lit(settings.calibration_parts)) == 0
     model = written(_as_array(_smoothed(_tallies(labelled.where(~kept_back), settings), settings), spark, settings),
                     "url-model").scalar()
-    scored = labelled.where(kept_back).withColumn("model", model).select(
-        "good", _score(F.col("text"), F.col("model"), settings).alias("score"))
+    scored = _scored(labelled.where(kept_back), model, settings)
     of = lambda f, good: f(F.when(F.col("good") == good, F.col("score")))
     stats = scored.agg(of(F.mean, True).alias("m1"), of(F.mean, False).alias("m0"),
                        (of(F.stddev_pop, True) + 1e-6).alias("s1"), (of(F.stddev_pop, False) + 1e-6).alias("s0"))
     edge = written(stats.select(((F.col("m1") * F.col("s0") + F.col("m0") * F.col("s1")) / (F.col("s0") + F.col("s1"))).alias("edge")),
                    "url-threshold").select("edge").scalar()
-    judged = base.withColumn("model", model).withColumn("score", _score(F.col("text"), F.col("model"), settings)).drop("model")
+    judged = _scored(base.drop("url"), model, settings)
     return judged.select(
         F.col("page").alias(key), "host", "path", "rule",
         F.coalesce("told", F.when(F.col("score") < edge, "block").otherwise("allow")).alias("verdict"), "score")
