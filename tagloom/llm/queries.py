@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .id_codec import id_round_trip
+from .packing import pack
 from .url_filter import url_verdicts
 from .warc import archive_round_trip
 
@@ -21,6 +24,14 @@ def op8_tree_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_differencing_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_url_lm_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(_table(spark, sf_dir, "pages"))
 
@@ -30,6 +41,8 @@ def op9_splittable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_simple8b_ids": op2_simple8b_ids,
+    "op7_differencing_pack": op7_differencing_pack,
     "op6_url_lm_ratio": op6_url_lm_ratio,
     "op9_splittable_warc": op9_splittable_warc,
     "op8_tree_merge_dedup": op8_tree_merge_dedup,
