@@ -95,8 +95,8 @@ def pack(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "t
     """One row per piece: ``doc_id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``.
 
     A document's ids are those of its whole text (null: none) and ``end_id``.  Of its ids, whole windows go first;
-    the rest is cut in pieces of at most ``piece``, and ``shard_pieces`` of them are dealt together, each task its own.
-    Small pieces make near-equal windows possible.  Rows without an id or with a repeated one are packed like others;
+    the rest is cut in pieces of ``piece`` and what is left, and ``shard_pieces`` of them are dealt together, each task its
+    own.  Small pieces of many sizes make near-equal windows possible.  Rows without an id or with a repeated one are packed like others;
     an empty table gives no rows; other columns are not read.
     """
     base = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -137,9 +137,8 @@ def pack(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "t
                     for at in range(0, n // capacity * capacity, capacity):
                         whole.append((doc, at, capacity, zlib.crc32(coded[4 * at:4 * (at + capacity)]), n))
                     first, rest = n // capacity * capacity, n % capacity
-                    parts = -(-rest // piece)
-                    cuts = [first + rest * i // parts for i in range(parts + 1)] if parts else []
-                    for a, b in zip(cuts[:-1], cuts[1:]):
+                    for a in range(first, first + rest, piece):
+                        b = min(a + piece, n)
                         small.append((doc, a, b - a, zlib.crc32(coded[4 * a:4 * b]), n))
                 if len(whole) >= 1000:
                     yield whole_windows()
