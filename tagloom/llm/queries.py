@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import leak_report
 from .exact_dedup import exact_dedup
 from .id_codec import id_round_trip
 from .packing import pack
@@ -40,7 +41,12 @@ def op9_splittable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("spans")
+
+
 QUERIES: dict[str, Query] = {
+    "op10_fm_decontamination": op10_fm_decontamination,
     "op2_simple8b_ids": op2_simple8b_ids,
     "op7_differencing_pack": op7_differencing_pack,
     "op6_url_lm_ratio": op6_url_lm_ratio,

@@ -196,7 +196,9 @@ def read_warc(archives: DataFrame, *, split_bytes: int = 64 << 20, with_payload:
                 if page:
                     yield _page(page)
 
-    spread = ranges.repartition(F.col("archive"), F.col("start"))
+    # A range is little to shuffle and much to read, so their number is told rather than left to sizes.
+    parts = archives.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
+    spread = ranges.repartition(int(parts), "archive", "start")
     return spread.mapInArrow(scan, _RECORDS)
 
 
