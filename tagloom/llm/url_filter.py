@@ -9,6 +9,7 @@ in that array.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -105,14 +106,17 @@ def _tallies(labelled: DataFrame, settings: LmSettings) -> DataFrame:
     return each.groupBy("n", "gram").agg(held(True).alias("c_good"), held(False).alias("c_bad"))
 
 
-def _smoothed(tallies: DataFrame, settings: LmSettings) -> DataFrame:
-    """Per n-gram the log ratio of its last character, per context the log ratio of what it leaves to shorter ones."""
-    floor, out, lower = 1.0 / settings.alphabet, None, None
+def _smoothed(tallies: DataFrame, settings: LmSettings) -> list[DataFrame]:
+    """Per n-gram the log ratio of its last character, per context the log ratio of what it leaves to shorter ones.
+
+    A table for each order; the estimates of an order are written, since the next one builds on them.
+    """
+    floor, out, lower = 1.0 / settings.alphabet, [], None
     for n in range(1, settings.order + 2):
         context = F.substring("gram", 1, n - 1)
-        over = Window.partitionBy(context)  # as many rows as characters follow a context
-        here = tallies.where(F.col("n") == n).withColumns({
-            "context": context, "all_good": F.sum("c_good").over(over), "all_bad": F.sum("c_bad").over(over)})
+        over = Window.partitionBy("context")  # as many rows as characters follow a context
+        here = tallies.where(F.col("n") == n).withColumn("context", context).withColumns(
+            {"all_good": F.sum("c_good").over(over), "all_bad": F.sum("c_bad").over(over)})
         if lower is None:
             here = here.withColumns({"low_good": F.lit(floor), "low_bad": F.lit(floor)})
         else:
@@ -120,31 +124,27 @@ def _smoothed(tallies: DataFrame, settings: LmSettings) -> DataFrame:
         for c in ("good", "bad"):
             here = here.withColumn(f"p_{c}", (F.col(f"c_{c}") + settings.strength * F.col(f"low_{c}"))
                                    / (F.col(f"all_{c}") + settings.strength))
-        weight = F.col("c_good") + F.col("c_bad")
-        ratios = here.select(_cell(F.col("gram"), n, settings).alias("cell"), weight.alias("weight"),
-                             F.log(F.col("p_good") / F.col("p_bad")).alias("ratio"), F.lit(None).cast("double").alias("left"))
-        # All n-grams of a context share its totals, so the distinct row is one per context; the empty one is cell -1.
-        lefts = here.select(
-            "context", "all_good", "all_bad").distinct().select(
-            (_cell(F.col("context"), n - 1, settings) if n > 1 else F.lit(settings.size)).alias("cell"),
-            (F.col("all_good") + F.col("all_bad")).alias("weight"), F.lit(None).cast("double").alias("ratio"),
-            F.log((F.col("all_bad") + settings.strength) / (F.col("all_good") + settings.strength)).alias("left"))
-        both = ratios.unionByName(lefts)
-        out = both if out is None else out.unionByName(both)
+        here = written(here.select("gram", "context", "c_good", "c_bad", "all_good", "all_bad", "p_good", "p_bad"), "url-order")
         lower = here.select(F.col("gram").alias("suffix"), F.col("p_good").alias("low_good"), F.col("p_bad").alias("low_bad"))
+        ratio = here.select(_cell(F.col("gram"), n, settings).alias("cell"), (F.col("c_good") + F.col("c_bad")).alias("weight"),
+                            F.log(F.col("p_good") / F.col("p_bad")).alias("value"))
+        left = here.select("context", "all_good", "all_bad").distinct().select(
+            ((_cell(F.col("context"), n - 1, settings) if n > 1 else F.lit(settings.size)) + settings.size).alias("cell"),
+            (F.col("all_good") + F.col("all_bad")).alias("weight"),
+            F.log((F.col("all_bad") + settings.strength) / (F.col("all_good") + settings.strength)).alias("value"))
+        out.append(ratio.unionByName(left))
     return out
 
 
-def _as_array(values: DataFrame, spark: SparkSession, settings: LmSettings) -> DataFrame:
+def _as_array(orders: list[DataFrame], spark: SparkSession, settings: LmSettings) -> DataFrame:
     """One row with an array: the ratios by cell, then what contexts leave.  Where several share a cell it holds their
     mean, weighted by occurrences; an empty cell is null."""
-    sides = values.select("weight", F.inline(F.array(
-        F.struct(F.col("cell").alias("cell"), F.col("ratio").alias("value")),
-        F.struct((F.col("cell") + settings.size).alias("cell"), F.col("left").alias("value"))))).where("value IS NOT NULL")
-    cells = sides.groupBy("cell").agg((F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("value"))
-    every = spark.range(2 * settings.size + 1).select(F.col("id").cast("int").alias("cell"))
-    dense = every.join(cells, "cell", "left").agg(F.array_sort(F.collect_list(F.struct("cell", "value"))).alias("m"))
-    return dense.select(F.transform("m", lambda x: x["value"]).alias("model"))
+    cells = reduce(DataFrame.unionByName, orders).groupBy("cell").agg(
+        (F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("value"))
+    every = spark.range(2 * settings.size + 1).select(F.col("id").cast("int").alias("cell"), F.lit(None).cast("double").alias("value"))
+    dense = cells.unionByName(every).groupBy("cell").agg(F.max("value").alias("value"))
+    return dense.agg(F.array_sort(F.collect_list(F.struct("cell", "value"))).alias("m")).select(
+        F.transform("m", lambda x: x["value"]).alias("model"))
 
 
 def _scored(urls: DataFrame, model: Column, settings: LmSettings) -> DataFrame:
@@ -183,8 +183,8 @@ def url_verdicts(pages: DataFrame, *, key: str = "page_id", url: str = "url", ru
         .withColumns({"rule": rule, "told": told}).withColumn("text", _modelled(F.col("url"), settings.order))
     labelled = base.where(F.col("told").isNotNull()).select("text", (F.col("told") == "allow").alias("good"))
     kept_back = F.pmod(F.xxhash64("text"), F.lit(settings.calibration_parts)) == 0
-    model = written(_as_array(_smoothed(_tallies(labelled.where(~kept_back), settings), settings), spark, settings),
-                    "url-model").scalar()
+    tallies = written(_tallies(labelled.where(~kept_back), settings), "url-tallies")
+    model = written(_as_array(_smoothed(tallies, settings), spark, settings), "url-model").scalar()
     scored = _scored(labelled.where(kept_back), model, settings)
     of = lambda f, good: f(F.when(F.col("good") == good, F.col("score")))
     stats = scored.agg(of(F.mean, True).alias("m1"), of(F.mean, False).alias("m0"),
