@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import leak_report
 from .exact_dedup import exact_dedup
 from .id_codec import id_round_trip
+from .lang_id import identify
 from .packing import pack
 from .url_filter import url_verdicts
 from .warc import archive_round_trip
@@ -25,6 +26,10 @@ def op8_tree_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op1_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op2_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -46,6 +51,7 @@ def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_nearest_centroid": op1_nearest_centroid,
     "op10_fm_decontamination": op10_fm_decontamination,
     "op2_simple8b_ids": op2_simple8b_ids,
     "op7_differencing_pack": op7_differencing_pack,
