@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import leak_report
 from .exact_dedup import exact_dedup
 from .id_codec import id_round_trip
 from .lang_id import identify
+from .line_chunks import remove_repeats
 from .packing import pack
 from .url_filter import url_verdicts
 from .warc import archive_round_trip
@@ -38,6 +40,12 @@ def op7_differencing_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without their repeated passages, with the counts of chunks and of what was removed."""
+    done = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), "n")
+    return done.select("doc_id", F.col("n.chunks").alias("n_chunks"), F.col("n.removed").alias("n_removed"), "text")
+
+
 def op6_url_lm_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(_table(spark, sf_dir, "pages"))
 
@@ -51,6 +59,7 @@ def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_line_chunks": op3_line_chunks,
     "op1_nearest_centroid": op1_nearest_centroid,
     "op10_fm_decontamination": op10_fm_decontamination,
     "op2_simple8b_ids": op2_simple8b_ids,
