@@ -13,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .id_codec import id_round_trip
 from .lang_id import identify
 from .line_chunks import remove_repeats
+from .minhash import near_components
 from .packing import pack
 from .url_filter import url_verdicts
 from .warc import archive_round_trip
@@ -46,6 +47,10 @@ def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("n.chunks").alias("n_chunks"), F.col("n.removed").alias("n_removed"), "text")
 
 
+def op5_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(_table(spark, sf_dir, "documents"))
+
+
 def op6_url_lm_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(_table(spark, sf_dir, "pages"))
 
@@ -59,6 +64,7 @@ def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op5_circulant_minhash": op5_circulant_minhash,
     "op3_line_chunks": op3_line_chunks,
     "op1_nearest_centroid": op1_nearest_centroid,
     "op10_fm_decontamination": op10_fm_decontamination,
