@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import leak_report
 from .exact_dedup import exact_dedup
+from .hmm import score_texts
 from .id_codec import id_round_trip
 from .lang_id import identify
 from .line_chunks import remove_repeats
@@ -47,6 +48,10 @@ def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("n.chunks").alias("n_chunks"), F.col("n.removed").alias("n_removed"), "text")
 
 
+def op4_hidden_markov_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op5_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(_table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op4_hidden_markov_lm": op4_hidden_markov_lm,
     "op5_circulant_minhash": op5_circulant_minhash,
     "op3_line_chunks": op3_line_chunks,
     "op1_nearest_centroid": op1_nearest_centroid,
