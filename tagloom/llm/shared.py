@@ -6,8 +6,10 @@ import re
 import sys
 import tempfile
 import uuid
+from array import array
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -100,6 +102,13 @@ class MemoEncoder:
         tail = f"|[{_SPACE}]+" if keep_space else ""
         self.pieces = re.compile(f"{lead}[{_LETTER}]+(?=[{_MARK}{_SPACE}]|\\Z)|{lead}[^{_SPACE}]+{tail}").findall
         self.limit, self.young, self.old = limit, {}, {}
+        self.word = re.compile(f"[{_LETTER}]+").fullmatch
+        vocabulary = self.tokenizer.get_vocab()
+        ends = [i for t, i in vocabulary.items() if t.endswith("</w>")]
+        self.ends = None  # of a vocabulary that marks the ends of words: which ids do
+        if ends and not keep_space:
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[ends] = True
 
     @classmethod
     def of_worker(cls, path: str, keep_space: bool) -> MemoEncoder:
@@ -108,6 +117,29 @@ class MemoEncoder:
             cache[path, keep_space] = cls(path, keep_space)
         return cache[path, keep_space]
 
+    def _each(self, pieces: list[str]) -> Iterable[tuple[str, bytes]]:
+        for piece, coded in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
+            yield piece, array("I", coded.ids).tobytes()
+
+    def _encode_new(self, pieces: list[str]) -> Iterable[tuple[str, bytes]]:
+        """Words in lines of many, which costs less than one by one; a token that ends a word tells them apart."""
+        if self.ends is None:
+            yield from self._each(pieces)
+            return
+        words = [p for p in pieces if self.word(p)]
+        lines = [words[i:i + 256] for i in range(0, len(words), 256)]
+        coded = self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)
+        for line, ids in zip(lines, (np.array(c.ids, np.uint32) for c in coded)):
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(line) or ends[-1] != len(ids):
+                yield from self._each(line)
+                continue
+            flat, at = ids.tobytes(), 0
+            for word, end in zip(line, (4 * ends).tolist()):
+                yield word, flat[at:end]
+                at = end
+        yield from self._each([p for p in pieces if not self.word(p)])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.pieces(t) for t in texts]
@@ -122,9 +154,7 @@ class MemoEncoder:
         found = dict(young) if len(young) + len(missing) > self.limit else young
         new = list(missing)
         for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            for piece, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                found[piece] = b"".join([i.to_bytes(4, "little") for i in coded.ids])
+            found.update(self._encode_new(new[at:at + 20_000]))
         out = [b"".join([found[p] for p in pieces]) for pieces in cut]
         if len(found) > self.limit:
             self.old, self.young = found if len(found) <= 2 * self.limit else young, {}
