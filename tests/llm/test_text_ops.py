@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tagloom.llm.decontaminate import FMIndex, Wavelet, drop_leaks, leak_report, merged, suffix_array
 from tagloom.llm.hmm import Hmm, HmmSettings, Lattice, score_texts
-from tagloom.llm.lang_id import LangSettings, drop_unidentified, identify, letters
+from tagloom.llm.lang_id import drop_unidentified, identify, letters
 from tagloom.llm.url_filter import LmSettings, url_verdicts
 from tagloom.llm.warc import archive_round_trip, members_from, read_warc, record_bytes, write_warc
 
@@ -53,8 +53,7 @@ def test_far_text_is_rejected(spark):
 
 def test_letters():
     assert bytes(letters("A1b--É").astype("uint8")).decode("latin1") == " a b é "
-    assert letters("").tolist() == [32, 32] or letters("").tolist() == [32]
-    assert LangSettings().cells > 0
+    assert letters("").tolist() == letters(" 1").tolist() == [32]
 
 
 def _brute_likelihood(model, seen, weights):
