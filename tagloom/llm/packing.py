@@ -27,47 +27,46 @@ SEQUENCES_PER_TASK = 1 << 40  # sequence ids of a task are its own
 def difference(sizes: np.ndarray, windows: int) -> np.ndarray:
     """The window of each size, by differencing over ``windows`` partitions.
 
-    A partition is kept as its sums in ascending order with, for each sum, the tree of what is in it; the spread orders
-    the heap.  Merging adds the largest sums of one to the smallest of the other.
+    A partition is kept as its sums in ascending order, relative to the smallest and without the zeros in front, so small
+    ones are short; the spread orders the heap.  Merging adds the largest sums of one to the smallest of the other: where
+    there are zeros enough, the sums of both just stand beside each other.
     """
     n = len(sizes)
-    if windows == 1:
-        return np.zeros(n, np.int64)
-    # Sums relative to the smallest; a leaf is one size beside zeros, so only its top window is filled.
     heap = [(-int(s), i) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
-    sums: dict[int, np.ndarray] = {}
-    merges: list[tuple[int, int, np.ndarray]] = []
+    sums: dict[int, np.ndarray] = {i: sizes[i:i + 1] for i in range(n)}
+    merges: list[tuple[int, int, int, int, np.ndarray]] = []
     while len(heap) > 1:
         _, a = heapq.heappop(heap)
         _, b = heapq.heappop(heap)
-        left, right = (sums.pop(x, None) for x in (a, b))
-        if left is None:
-            left = np.zeros(windows, np.int64)
-            left[-1] = sizes[a]
-        if right is None:
-            right = np.zeros(windows, np.int64)
-            right[-1] = sizes[b]
-        both = left + right[::-1]
-        order = np.argsort(both, kind="stable").astype(np.int32)
+        left, right = sums.pop(a), sums.pop(b)
+        if len(left) + len(right) <= windows:
+            both = np.concatenate([left, right])
+        else:
+            both = np.zeros(windows, np.int64)
+            both[windows - len(left):] = left
+            both[:len(right)] += right[::-1]
+        order = np.argsort(both, kind="stable")
         both = both[order]
-        both -= both[0]
-        sums[node := n + len(merges)] = both
-        merges.append((a, b, order))
+        if len(both) == windows:
+            both = both - both[0]
+        node = n + len(merges)
+        sums[node] = both
+        merges.append((a, b, len(left), len(right), order))
         heapq.heappush(heap, (-int(both[-1]), node))
-    # From the last merge down: where the windows of a partition have ended up.
-    window = np.empty(n, np.int64)
-    place: dict[int, np.ndarray] = {heap[0][1]: np.arange(windows)}
+    # From the last merge down: the windows in which the sums of a partition have ended up.
+    window = np.zeros(n, np.int64)
+    top = heap[0][1]
+    place: dict[int, np.ndarray] = {top: np.arange(len(sums[top]))}
     for k in range(len(merges) - 1, -1, -1):
-        a, b, order = merges[k]
-        own = place.pop(n + k)
-        back = np.empty(windows, np.int64)
-        back[order] = own
-        for x, where in ((a, back), (b, back[::-1])):
-            if x < n:
-                window[x] = where[-1]
-            else:
-                place[x] = where
+        a, b, left, right, order = merges[k]
+        back = np.empty(len(order), np.int64)
+        back[order] = place.pop(n + k)
+        beside = left + right <= windows
+        place[a] = back[:left] if beside else back[windows - left:]
+        place[b] = back[left:] if beside else back[right - 1::-1] if right < windows else back[::-1]
+    for i in range(n):
+        window[i] = place[i][0]
     return window
 
 
