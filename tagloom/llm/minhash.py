@@ -20,35 +20,22 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import column_bytes, fresh, worker_cache, written
+from .shared import column_bytes, fresh, slices, word_hashes, written
 
 BANDS, ROWS = 32, 5
-WORDS_KNOWN = 500_000
 #: Odd multipliers that mix word hashes into shingle hashes.
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _END = np.uint64(0xBF58476D1CE4E5B9)
 
 
-class _WordHashes(dict):
-    """xxHash64 of each word met lately."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KNOWN:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 def shingle_set(text: bytes, size: int) -> np.ndarray:
     """The 64-bit hashes of a text's distinct shingles, in ascending order.
 
     A-Z count as lower case and ASCII white space parts words.  A text of fewer words is one shingle, one without words none.
     """
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    known = worker_cache().setdefault("word hashes", _WordHashes())
-    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    hashes = word_hashes(text)
+    if not len(hashes):
+        return hashes
     size = min(size, len(hashes))
     mixed = np.full(len(hashes) - size + 1, size, np.uint64)
     for k in range(size):
@@ -90,7 +77,7 @@ _FEATURES = "id long, n long, node binary, bands array<long>"
 
 def _features(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             counts, sets, keys = [], [], []
             for text in column_bytes(batch.column(1)):
                 shingles = shingle_set(text, size)
@@ -106,7 +93,7 @@ def _features(size: int, bands: int, rows: int):
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(text, size) for text in column_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()),
@@ -146,7 +133,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 200):
             left, right = batch.column(2), batch.column(3)
             keep = []
             for i in range(batch.num_rows):
@@ -176,9 +163,13 @@ def near_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     reps = written(usable.groupBy("node").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"),
                                               F.first("bands").alias("bands")), "minhash-classes")
     members = reps.select("node", F.explode("bands").alias("band"))
-    hubs = members.groupBy("band").agg(F.min("node").alias("hub"), F.min_by("node", F.xxhash64("node", "band")).alias("other"),
-                                       F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    placed = written(members.join(hubs, "band"), "minhash-buckets")
+    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sized = written(members.join(sizes, "band"), "minhash-buckets")
+    # Who stands in the most crowded buckets lies in the middle of what is alike, and most of it links with that hub.
+    crowd = sized.groupBy("node").agg(F.sum("size").alias("crowd"))
+    hubs = sized.join(crowd, "node").groupBy("band").agg(F.max(F.struct("crowd", "node"))["node"].alias("hub"),
+                                                         F.min("node").alias("other"))
+    placed = written(sized.select("node", "band").join(hubs, "band"), "minhash-hubs")
     pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     tested = placed.select(F.explode(F.array(pair("node", "hub"), pair("node", "other"))).alias("p")).select("p.*").where("a <> b").distinct()
     needed = placed.select("node").distinct().join(reps, "node").select(F.col("rep").alias("id")).distinct()
@@ -212,17 +203,21 @@ def keep_one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
 def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of different labels that share one of the rarest shingles of both.
 
-    Of sets in a common order of shingles, from rare to frequent, similar ones share one of the first
-    n - ceil(percent * n / 100) + 1 of each.
+    In a common order of shingles, from rare to frequent, let the first one that two sets share stand at place i of the
+    one and j of the other.  What they share is then at most 1 + min(m - i, n - j), which sets that are similar enough
+    must reach; so places beyond a short prefix need not be looked at, and a row that fails is no first shared shingle
+    of a pair that counts.
     """
     each = sets.select(F.col("node").alias("id"), "label", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     often = each.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
     ranked = each.join(often, "s").groupBy("id", "label", "n").agg(
         F.array_sort(F.collect_list(F.struct("df", "s"))).alias("r"))
     lead = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    prefix = ranked.select("id", "label", "n", F.explode(F.slice("r", F.lit(1), lead.cast("int"))).alias("e")).where("e.df > 1").select(
-        "id", "label", "n", F.col("e.s").alias("s"))
-    a = prefix.select("s", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-    b = prefix.select("s", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-    near = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    return a.join(b, "s").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & near).select("a", "b").distinct()
+    prefix = ranked.select("id", "label", "n", F.posexplode(F.slice("r", F.lit(1), lead.cast("int"))).alias("at", "e")).where(
+        "e.df > 1").select("id", "label", "n", "at", F.col("e.s").alias("s"))
+    a = prefix.select("s", *[F.col(c).alias(f"{c}_a") for c in ("id", "label", "n", "at")])
+    b = prefix.select("s", *[F.col(c).alias(f"{c}_b") for c in ("id", "label", "n", "at")])
+    most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))  # places count from 0
+    enough = most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    return a.join(b, "s").where((F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b")) & enough).select(
+        F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()

@@ -11,6 +11,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +75,30 @@ def column_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+class WordHashes(dict):
+    """xxHash64 of each word met lately, by the word; bounded, and emptied when it is full."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 150_000:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words, A-Z lower-cased, parted by ASCII white space."""
+    known = worker_cache().setdefault("word hashes", WordHashes())
+    words = text.lower().split()
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterable[pa.RecordBatch]:
+    """Record batches in parts, so that little more than a part is held as Python values."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """Names for helper columns that clash with none of ``df``."""
     taken = {c.lower() for c in df.columns}
