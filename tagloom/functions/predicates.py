@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import time
 
-from pyspark.sql import Column
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .clock import local_time, micros_of, micros_of_day, weekday_name
@@ -40,6 +41,17 @@ def epc_without_suffix(suffix: str) -> Column:
     return ~F.upper("epc").endswith(suffix.upper())
 
 
+def check_pattern(pattern: str) -> None:
+    """Refuse a pattern that the engine's regular expressions don't take; checked once a session is there to ask."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return
+    try:
+        spark.sql("SELECT '' RLIKE :pattern", args={"pattern": f"(?iu){pattern}"}).collect()
+    except PySparkException as error:
+        raise ValueError(f"{pattern!r} is not a valid pattern: {error.getCondition()}") from None
+
+
 def epc_not_matching(pattern: str) -> Column:
     """No match anywhere in the EPC, ignoring case."""
     return ~F.col("epc").rlike(f"(?iu){pattern}")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import DispatchConfig
-from .ordering import SLICE_BITS, slice_of, with_row_number, with_running_minimum, with_running_total
+from .ordering import SLICE_BITS, carried, slice_of, with_row_number, with_running_minimum, with_running_total
 
 MIN_PERIOD_MS = 100
 
@@ -49,8 +49,8 @@ def queue_positions(df: DataFrame, keys: Sequence[str], *, base: DataFrame | Non
     """
     by = [*keys, "tick"]
     counts = df.groupBy(*by, slice_of(order, slice_bits).alias("_ord_slice")).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*by).orderBy("_ord_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_ord_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    offsets = carried(counts, by, "_n", "_ord_before", "sum", slice_bits=slice_bits).withColumn(
+        "_ord_before", F.coalesce("_ord_before", F.lit(0)))
     if base is not None:
         offsets = offsets.join(base, by, "left").withColumn(
             "_ord_before", F.col("_ord_before") + F.coalesce("before", F.lit(0)))

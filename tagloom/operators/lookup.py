@@ -5,21 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
-SALTS = 32
 
-
-def lookup(facts: DataFrame, dimension: DataFrame, key: str, *, spread: str, max_rows: int = BROADCAST_ROWS,
-           salts: int = SALTS) -> DataFrame:
+def lookup(facts: DataFrame, dimension: DataFrame, key: str, *, spread: str, salts: int | None = None) -> DataFrame:
     """Left join of a large table with a table that is unique on ``key``.
 
-    The dimension is counted up to ``max_rows`` first.  Within the bound it is
-    broadcast and the facts do not move.  Beyond it both sides are shuffled on
-    the key and a salt taken from the column ``spread``, so that one busy key is
-    spread over ``salts`` tasks.
+    The optimizer broadcasts the dimension by its size in bytes and splits busy
+    keys of the facts at run time.  With ``salts`` both sides are shuffled on the
+    key and a salt taken from the column ``spread``, so that one busy key is
+    spread over so many tasks whatever the settings.
     """
-    if dimension.limit(max_rows + 1).count() <= max_rows:
-        return facts.join(F.broadcast(dimension), key, "left")
+    if salts is None:
+        return facts.join(dimension, key, "left")
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     copies = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [key, "_salt"], "left").drop("_salt")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -38,6 +39,11 @@ class CustomRule:
 Rule = SlidingRule | DailyRule | MetadataRule | ScheduleRule | CustomRule
 
 
+def plain_number(value: float) -> str:
+    """Digits without an exponent and without zeros at the end."""
+    return f"{Decimal(str(value)).normalize():f}"
+
+
 def _cases(pairs: Sequence[tuple[Column, Column]]) -> Column:
     """Value of the first condition that holds, NULL if none does."""
     (condition, value), *rest = pairs
@@ -72,6 +78,7 @@ def _metadata_checks(rule: MetadataRule) -> list[tuple[str, Column, Column]]:
                        F.concat(F.lit("EPC '"), F.col("epc"),
                                 F.lit(f"' does not end with required suffix '{rule.suffix}'."))))
     if rule.regex and rule.regex.strip():
+        P.check_pattern(rule.regex)
         checks.append(("regex", P.epc_not_matching(rule.regex),
                        F.concat(F.lit("EPC '"), F.col("epc"),
                                 F.lit(f"' does not match regex pattern '{rule.regex}'."))))
@@ -131,7 +138,7 @@ def _apply(df: DataFrame, rule: Rule, order: str, rescan: bool, slice_bits: int)
         return _annotate(df, rule.name, _schedule_checks(rule))
     if isinstance(rule, SlidingRule):
         marked = sliding_verdict(df, rule, "_gap", active=alive, order=order, rescan=rescan, slice_bits=slice_bits)
-        window = f"{rule.window_seconds:g}"
+        window = plain_number(rule.window_seconds)
         text = F.concat(F.lit("Tag '"), F.col("epc"),
                         F.format_string(f"' deduplicated (last seen %.1fs ago, window: {window}s).",
                                         F.col("_gap") / 1_000_000))

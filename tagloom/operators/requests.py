@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import queue
+import threading
 import time
 from collections.abc import Callable, Iterator
 
@@ -111,10 +113,33 @@ RESULT_SCHEMA = T.StructType([
 Sender = Callable[[dict], tuple[int, str]]
 
 
-def _attempt(send: Sender, request: dict) -> tuple:
+SEND_TIMEOUT_S = 2.0  # fixed value: how long a delivery may take
+
+
+def _within(send: Sender, request: dict, seconds: float) -> tuple[int, str]:
+    """What the sender returns, or a timeout; a sender that hangs is left behind in its thread."""
+    told: queue.SimpleQueue = queue.SimpleQueue()
+
+    def run() -> None:
+        try:
+            told.put((True, send(request)))
+        except BaseException as error:  # noqa: BLE001 - handed to the caller
+            told.put((False, error))
+
+    threading.Thread(target=run, daemon=True).start()
+    try:
+        fine, outcome = told.get(timeout=seconds)
+    except queue.Empty:
+        raise TimeoutError(f"no answer within {seconds:g} s") from None
+    if not fine:
+        raise outcome
+    return outcome
+
+
+def _attempt(send: Sender, request: dict, timeout_s: float = SEND_TIMEOUT_S) -> tuple:
     started = time.perf_counter()
     try:
-        status, response = send(request)
+        status, response = _within(send, request, timeout_s)
         success = 200 <= status < 300
         outcome = (success, int(status), response, None if success else f"HTTP {status}")
     except Exception as error:  # noqa: BLE001 - any failure of the sender is an outcome
@@ -122,10 +147,12 @@ def _attempt(send: Sender, request: dict) -> tuple:
     return request["transaction_id"], request["target_url"], *outcome, (time.perf_counter() - started) * 1000
 
 
-def dispatch_requests(requests: DataFrame, send: Sender, *, partitions: int | None = None) -> DataFrame:
+def dispatch_requests(requests: DataFrame, send: Sender, *, partitions: int | None = None,
+                      timeout_s: float = SEND_TIMEOUT_S) -> DataFrame:
     """Call ``send(request) -> (status, response)`` once per request; one result row each.
 
-    Success is a 2xx status; an exception becomes status 0 with its message.
+    Success is a 2xx status; an exception, or no answer within ``timeout_s``,
+    becomes status 0 with its message.
     ``partitions`` spreads the requests evenly by transaction id.  A lost task is
     sent again, which receivers recognize by the idempotency key.
     """
@@ -136,7 +163,7 @@ def dispatch_requests(requests: DataFrame, send: Sender, *, partitions: int | No
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [_attempt(send, request) for request in frame.to_dict("records")]
+            rows = [_attempt(send, request, timeout_s) for request in frame.to_dict("records")]
             yield pd.DataFrame(rows, columns=RESULT_SCHEMA.names)
 
     return chosen.mapInPandas(run, RESULT_SCHEMA)

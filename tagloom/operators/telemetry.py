@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lookup import first_registration
-from .ordering import SLICE_BITS, slice_of
+from .ordering import SLICE_BITS, carried, slice_of, with_running_total
 from .pipeline import ALIVE
 
 
@@ -39,6 +39,12 @@ def health_summary(statuses: DataFrame, counters: DataFrame, pending: DataFrame,
              depth.alias("queued_batches"), "readers")
 
 
+def distinct_events(status: DataFrame, *, order: str = "seq") -> DataFrame:
+    """Status events without repeated arrivals: of rows alike in all but ``order`` the first."""
+    same = [c for c in status.columns if c != order]
+    return status.groupBy(*same).agg(F.min(order).alias(order)).select(*status.columns)
+
+
 def backoff_ms(attempt: Column, jitter: Column | None = None, *, base_ms: float = 1000.0,
                max_ms: float = 60000.0) -> Column:
     """Delay before an attempt: doubled from the base, capped, moved by the jitter fraction, at least 500 ms.
@@ -55,21 +61,23 @@ def reconnect_plan(status: DataFrame, *, jitter: Column | None = None, base_ms:
     """Reconnecting events with their ``attempt`` since the reader was last connected and the ``delay_ms``.
 
     Attempts are counted inside slices of the event order; one summary row per
-    (reader, slice) carries the count across slices.  Events must be distinct.
+    (reader, slice) carries the count across slices.  Events that arrive again,
+    alike in all but ``order``, count once.
     """
     trying = F.col("new_state") == "Reconnecting"
+    status = distinct_events(status, order=order)
     staged = status.withColumn("_slice", slice_of(order, slice_bits))
     within = Window.partitionBy("reader_id", "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     counted = staged.withColumn("_tries", F.count_if(trying).over(within)).withColumn(
         "_reset", F.max(F.when(F.col("new_state") == "Connected", F.col("_tries"))).over(within))
-    earlier = Window.partitionBy("reader_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    summary = counted.groupBy("reader_id", "_slice").agg(F.max("_tries").alias("_total"),
-                                                         F.max("_reset").alias("_last_reset"))
-    carried = summary.withColumn("_tries_before", F.coalesce(F.sum("_total").over(earlier), F.lit(0))) \
-        .withColumn("_reset_before", F.coalesce(
-            F.max(F.col("_tries_before") + F.col("_last_reset")).over(earlier), F.lit(0))) \
-        .select("reader_id", "_slice", "_tries_before", "_reset_before")
-    joined = counted.where(trying).join(carried, ["reader_id", "_slice"])
+    summary = counted.groupBy("reader_id", F.col("_slice").alias("_ord_slice")).agg(
+        F.max("_tries").alias("_total"), F.max("_reset").alias("_last_reset"))
+    tries = carried(summary, ["reader_id"], "_total", "_tries_before", "sum", slice_bits=slice_bits).withColumn(
+        "_tries_before", F.coalesce("_tries_before", F.lit(0)))
+    resets = tries.withColumn("_reset_at", F.col("_tries_before") + F.col("_last_reset"))
+    before = carried(resets, ["reader_id"], "_reset_at", "_reset_before", "last", slice_bits=slice_bits).select(
+        "reader_id", F.col("_ord_slice").alias("_slice"), "_tries_before", F.coalesce("_reset_before", F.lit(0)).alias("_reset_before"))
+    joined = counted.where(trying).join(before, ["reader_id", "_slice"])
     reset = F.coalesce(F.col("_tries_before") + F.col("_reset"), F.col("_reset_before"))
     return joined.withColumn("attempt", F.col("_tries_before") + F.col("_tries") - reset) \
         .withColumn("delay_ms", backoff_ms(F.col("attempt"), jitter, base_ms=base_ms, max_ms=max_ms)) \
@@ -106,12 +114,22 @@ def antenna_distribution(df: DataFrame) -> DataFrame:
 
 
 def clock_skew(df: DataFrame, *, reader_ts: str = "first_seen", ingest_ts: str = "eval_ts",
-               accuracy: int = 10000) -> DataFrame:
-    """Per reader: how far its clock is ahead of the host, in microseconds."""
+               slice_bits: int = SLICE_BITS) -> DataFrame:
+    """Per reader: how far its clock is ahead of the host, in microseconds.
+
+    The median is exact, the lower of two: values are counted first, and it is
+    the least one up to which half of the reader's reads lie.
+    """
     skew = (F.unix_micros(reader_ts) - F.unix_micros(ingest_ts)).alias("skew_us")
-    return df.select("reader_id", skew).groupBy("reader_id").agg(
+    counts = df.select("reader_id", skew).where("skew_us IS NOT NULL").groupBy("reader_id", "skew_us").agg(
+        F.count(F.lit(1)).alias("_n"))
+    totals = df.select("reader_id", skew).groupBy("reader_id").agg(
         F.count(F.lit(1)).alias("reads"), F.min("skew_us").alias("min_skew_us"), F.max("skew_us").alias("max_skew_us"),
-        F.percentile_approx("skew_us", 0.5, accuracy).alias("median_skew_us"))
+        F.count("skew_us").alias("_all"))
+    running = with_running_total(counts, ["reader_id"], F.col("_n"), "_upto", order="skew_us", slice_bits=slice_bits)
+    half = running.join(totals.select("reader_id", "_all"), "reader_id").where(F.col("_upto") * 2 >= F.col("_all"))
+    medians = half.groupBy("reader_id").agg(F.min("skew_us").alias("median_skew_us"))
+    return totals.join(medians, "reader_id", "left").select("reader_id", "reads", "min_skew_us", "max_skew_us", "median_skew_us")
 
 
 def regex_test(df: DataFrame, pattern: str, epc: str = "epc") -> DataFrame:

@@ -1,14 +1,19 @@
 """The whole flow as a job of three steps, each of which ends in a table.
 
 A step reads what the step before it wrote, so a lost executor costs one step's
-recomputation at most, and a step that failed is run again on its own.
+recomputation at most, and a step that failed is run again on its own.  The
+outbox and the delivery log only grow: each run and each replay writes a folder
+of its own, and ids go on from the largest that is stored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.batching import batch
 from ..operators.outbox import outbox_pending, replay_send, spill_failed
@@ -20,21 +25,25 @@ from ..schema import DispatchConfig, FilterConfig
 
 @dataclass(frozen=True)
 class Run:
-    """The tables of one run, below a folder that all executors share."""
+    """The tables of one run, below a folder that all executors share.
+
+    Runs with different ``name`` on one folder share the outbox and its log.
+    """
 
     folder: str
+    name: str = "1"
 
     @property
     def silver(self) -> str:
-        return f"{self.folder}/silver"
+        return f"{self.folder}/silver/run={self.name}"
 
     @property
     def requests(self) -> str:
-        return f"{self.folder}/requests"
+        return f"{self.folder}/requests/run={self.name}"
 
     @property
     def results(self) -> str:
-        return f"{self.folder}/results"
+        return f"{self.folder}/results/run={self.name}"
 
     @property
     def outbox(self) -> str:
@@ -52,34 +61,55 @@ def clean(reads: DataFrame, config: FilterConfig, run: Run, **options) -> DataFr
 
 
 def prepare(spark: SparkSession, registry: DataFrame, config: DispatchConfig, run: Run, *, origin_us: int = 0,
-            default_brand: str = "RFID Reader") -> DataFrame:
-    """Batch the surviving reads and write one rendered request per batch."""
+            default_brand: str = "RFID Reader", keys: Sequence[str] = ()) -> DataFrame:
+    """Batch the surviving reads, one queue per gateway of ``keys``, and write one rendered request per batch."""
     survivors = passed(spark.read.parquet(run.silver))
-    batches = collect_batches(batch(survivors, config, origin_us=origin_us), registry, default_brand=default_brand)
+    batched = batch(survivors, config, origin_us=origin_us, keys=keys)
+    batches = collect_batches(batched, registry, default_brand=default_brand, keys=keys)
     build_requests(render(batches, config), config).drop("tags").write.mode("overwrite").parquet(run.requests)
     return spark.read.parquet(run.requests)
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table that may not have been written yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def deliver(spark: SparkSession, send: Sender, run: Run, *, partitions: int | None = None) -> DataFrame:
-    """Send every request once and write the results, and the outbox of what was not delivered."""
+    """Send every request once, write the results, and append what was not delivered to the outbox.
+
+    The first id is one more than the largest of other runs, so repeating the
+    step for the same run replaces its own rows alone.
+    """
     requests = spark.read.parquet(run.requests)
     dispatch_requests(requests, send, partitions=partitions).write.mode("overwrite").parquet(run.results)
-    spill_failed(requests, spark.read.parquet(run.results)).write.mode("overwrite").parquet(run.outbox)
-    return spark.read.parquet(run.outbox)
+    stored = _stored(spark, run.outbox)
+    last = None if stored is None else stored.where(F.col("run").cast("string") != run.name).agg(F.max("id")).first()[0]
+    spilled = spill_failed(requests, spark.read.parquet(run.results), first_id=(last or 0) + 1)
+    spilled.write.mode("overwrite").parquet(f"{run.outbox}/run={run.name}")
+    return spark.read.parquet(f"{run.outbox}/run={run.name}")
+
 
+def pending(spark: SparkSession, run: Run) -> DataFrame:
+    """What the outbox of all runs still holds after all replays."""
+    outbox, log = spark.read.parquet(run.outbox), _stored(spark, run.delivery_log)
+    return outbox if log is None else outbox_pending(outbox, log.select("id", "is_success"))
 
-def pending(spark: SparkSession, run: Run, attempts: int) -> DataFrame:
-    """What the outbox still holds after the given number of replays."""
-    outbox = spark.read.parquet(run.outbox)
-    if attempts == 0:
-        return outbox
-    logs = [f"{run.delivery_log}/attempt={n}" for n in range(1, attempts + 1)]
-    return outbox_pending(outbox, spark.read.parquet(*logs).select("id", "is_success"))
 
+def replay(spark: SparkSession, send: Sender, run: Run, attempt: int, **options) -> DataFrame:
+    """Send what is pending, oldest first per target up to its first failure; ``attempt`` numbers the replays on the folder.
 
-def replay(spark: SparkSession, send: Sender, run: Run, attempt: int) -> DataFrame:
-    """Send what is pending, oldest first per target up to its first failure; ``attempt`` counts from 1."""
-    waiting = pending(spark, run, attempt - 1)
+    What is pending is written first, so an attempt that is repeated sends the same rows.
+    """
+    todo = f"{run.folder}/replays/attempt={attempt}"
+    if _stored(spark, todo) is None:
+        pending(spark, run).write.parquet(todo)
+    waiting = spark.read.parquet(todo)
     again = requests_for(waiting.withColumnRenamed("created_at", "rendered_at"))
-    replay_send(again, send).write.mode("overwrite").parquet(f"{run.delivery_log}/attempt={attempt}")
-    return pending(spark, run, attempt)
+    replay_send(again, send, **options).write.mode("overwrite").parquet(f"{run.delivery_log}/attempt={attempt}")
+    return pending(spark, run)

@@ -120,6 +120,12 @@ SHIFT_IDS = f"WITH {READS} SELECT seq, {SHIFT_ID} AS shift_id FROM reads"
 DAILY = f"""WITH {READS}, s AS (SELECT *, {SHIFT_ID} AS shift_id FROM reads),
 firsts AS (SELECT shift_id, epc, min(seq) AS seq FROM s GROUP BY shift_id, epc)
 SELECT s.seq, s.epc, s.shift_id FROM s JOIN firsts f ON s.seq = f.seq"""
+DECODED_DAILY = f"""WITH {READS},
+m AS (SELECT seq AS old, epc, max(eval_ts) OVER (PARTITION BY CAST(floor(seq / 4) AS BIGINT)) AS eval_ts,
+      row_number() OVER (ORDER BY seq) AS seq FROM reads),
+s AS (SELECT *, {SHIFT_ID} AS shift_id FROM m),
+firsts AS (SELECT min(seq) AS seq FROM s GROUP BY shift_id, epc)
+SELECT s.seq, s.epc, s.shift_id FROM s WHERE seq IN (SELECT seq FROM firsts)"""
 ROLLOVERS = f"""WITH {READS}, s AS (SELECT seq, {SHIFT_ID} AS shift_id FROM reads)
 SELECT b.seq, a.shift_id AS previous_shift_id, b.shift_id FROM s a JOIN s b ON b.seq = a.seq + 1
 WHERE a.shift_id <> b.shift_id"""
@@ -146,12 +152,16 @@ verdicts AS (SELECT c.*, CASE
 staged AS (SELECT *, CASE drop_code WHEN 'sliding' THEN 'SlidingWindowFilter' WHEN 'daily' THEN 'DailyUniqueFilter'
     WHEN 'rssi' THEN 'MetadataFilter' WHEN 'antenna' THEN 'MetadataFilter' WHEN 'hours' THEN 'ScheduleFilter' END
     AS drop_stage FROM verdicts)"""
-DEFAULT_CHAIN = f"""WITH {CHAIN} SELECT seq, epc, drop_stage, drop_code, CASE drop_code
+DEFAULT_CHAIN = f"""WITH {CHAIN}, gaps AS (SELECT seq AS gap_seq, epoch_us(eval_ts)
+    - epoch_us((SELECT arg_max(p.eval_ts, p.seq) FROM reads p WHERE p.epc = r.epc AND p.seq < r.seq)) AS gap_us FROM reads r)
+SELECT seq, epc, drop_stage, drop_code, CASE drop_code
+    WHEN 'sliding' THEN concat('Tag ''', epc, ''' deduplicated (last seen ',
+        CAST(round(CAST(gap_us AS DECIMAL(18, 6)) / 1000000, 1) AS DECIMAL(18, 1)), 's ago, window: 21600s).')
     WHEN 'daily' THEN concat('Tag ''', epc, ''' already processed in shift ''', shift_id, '''.')
     WHEN 'rssi' THEN concat('RSSI ', {RSSI_1}, ' dBm is below threshold -75.0 dBm.')
     WHEN 'antenna' THEN printf('Antenna port %d disabled by bitmask 0x7.', antenna_port)
     WHEN 'hours' THEN concat('Time ', strftime({LOCAL}, '%H:%M:%S'), ' is outside operating window (08:00:00 - 20:00:00).')
-    END AS drop_reason FROM staged"""
+    END AS drop_reason FROM staged JOIN gaps ON gap_seq = seq"""
 COUNTERS = f"""WITH {CHAIN} SELECT (SELECT count(*) FROM reads) AS evaluated, (SELECT count(*) FROM survivors) AS passed,
     (SELECT count(*) FROM reads) - (SELECT count(*) FROM survivors) AS dropped"""
 DROPS = f"""WITH {CHAIN} SELECT drop_stage, drop_code, count(*) AS reads FROM staged WHERE drop_code IS NOT NULL
@@ -300,10 +310,8 @@ REGEX = f"""WITH {READS} SELECT seq, epc, substr(epc, 22, 1) = '0' AND substr(ep
 
 # -- streams
 
-CLOSED = f"""WITH {READS}, n AS (SELECT seq, {TICK} AS tick, row_number() OVER (PARTITION BY {TICK} ORDER BY seq) AS i,
-    count(*) OVER (PARTITION BY {TICK}) AS c FROM reads)
-SELECT seq, concat(tick, '-', CAST(floor((i - 1) / 20) AS BIGINT)) AS batch_id, (i - 1) % 20 + 1 AS batch_pos FROM n
-WHERE tick < (SELECT max(tick) FROM n) OR i <= c - c % 20"""
+CLOSED = f"""WITH {READS}, n AS (SELECT seq, {TICK} AS tick, row_number() OVER (PARTITION BY {TICK} ORDER BY seq) AS i FROM reads)
+SELECT seq, concat(tick, '-', CAST(floor((i - 1) / 20) AS BIGINT)) AS batch_id, (i - 1) % 20 + 1 AS batch_pos FROM n"""
 
 ORACLES: dict[str, str] = {
     "decode_text_lines": DECODED_TEXT,
@@ -330,6 +338,7 @@ ORACLES: dict[str, str] = {
     "sliding_dedup_antenna": SLIDING_ANTENNA,
     "shift_id": SHIFT_IDS,
     "daily_unique": DAILY,
+    "decode_then_daily_unique": DECODED_DAILY,
     "shift_rollovers": ROLLOVERS,
     "active_key_counts": ACTIVE,
     "live_sliding_keys": LIVE,

@@ -18,6 +18,7 @@ from ..operators import payload as Y
 from ..operators import pipeline as C
 from ..operators import requests as R
 from ..operators import telemetry as M
+from ..operators.ordering import number_reads
 from ..schema import DailyRule, DispatchConfig, FilterConfig, MetadataRule, ScheduleRule, SlidingRule
 from ..sources import frames as SF
 from ..sources import llrp as SL
@@ -147,6 +148,13 @@ def daily_unique(spark, sf):
     return D.daily_unique(T.reads(spark, sf), SHIFT).select("seq", "epc", "shift_id")
 
 
+def decode_then_daily_unique(spark, sf):
+    """From raw messages of several tags each to the first read of each tag per shift."""
+    decoded, _ = SR.route_by_provider(T.tag_messages(spark, sf))
+    numbered = number_reads(decoded, ["seq", "tag_no"])
+    return D.daily_unique(numbered, SHIFT, rescan=False).select("seq", "epc", "shift_id")
+
+
 def shift_rollovers(spark, sf):
     return D.shift_rollovers(T.reads(spark, sf), SHIFT).select("seq", "previous_shift_id", "shift_id")
 
@@ -172,8 +180,7 @@ def filter_pipeline(spark, sf):
 
 
 def default_pipeline(spark, sf):
-    return _chain(spark, sf).select("seq", "epc", "drop_stage", "drop_code", "drop_reason").withColumn(
-        "drop_reason", F.when(F.col("drop_code") != "sliding", F.col("drop_reason")))
+    return _chain(spark, sf).select("seq", "epc", "drop_stage", "drop_code", "drop_reason")
 
 
 def pipeline_counters(spark, sf):
@@ -476,11 +483,14 @@ def filter_pipeline_stream(spark, sf):
 
 
 def batch_stream(spark, sf):
-    """Batches closed so far; the reads of the open tick still wait."""
+    """Batches as the trigger closes them, and those that a shutdown flushes when the source has ended."""
     config = DispatchConfig(trigger_mode="hybrid", max_batch_size=BATCH_SIZE, period_ms=PERIOD_MS)
-    out = _streamed(T.reads_stream(spark, sf),
-                    lambda state, sink: SC.batch_stream(config, state, sink, origin_us=ORIGIN_US))
-    return out.select("seq", "batch_id", "batch_pos")
+    folder = SC.shared_folder(spark, "stream")
+    run = SC.batch_stream(config, f"{folder}/state", SC.parquet_sink(f"{folder}/out"), origin_us=ORIGIN_US)
+    query = SC.run_available(T.reads_stream(spark, sf), run, f"{folder}/checkpoint")
+    closed = spark.read.parquet(f"{folder}/out").drop("micro_batch")
+    flushed = SC.waiting_reads(spark, f"{folder}/state", query.lastProgress["batchId"])
+    return closed.unionByName(flushed).select("seq", "batch_id", "batch_pos")
 
 
 QUERIES: dict[str, Query] = {
@@ -508,6 +518,7 @@ QUERIES: dict[str, Query] = {
     "sliding_dedup_antenna": sliding_dedup_antenna,
     "shift_id": shift_ids,
     "daily_unique": daily_unique,
+    "decode_then_daily_unique": decode_then_daily_unique,
     "shift_rollovers": shift_rollovers,
     "active_key_counts": active_key_counts,
     "live_sliding_keys": live_sliding_keys,

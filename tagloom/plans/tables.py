@@ -148,6 +148,16 @@ def report_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("message_no").alias("seq"), F.unhex(_as_report(F.col("parts"), F.col("message_no"))).alias("message"))
 
 
+def tag_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw messages of one dock: reports of four tags each, judged at the time of the last."""
+    clock = reads(spark, sf_dir).groupBy(F.floor(F.col("seq") / 4).alias("seq")).agg(F.max("eval_ts").alias("eval_ts"))
+    none = F.lit(None).cast("string")
+    return report_messages(spark, sf_dir).join(clock, "seq").select(
+        "seq", F.lit("dock-1").alias("reader_id"), "eval_ts", F.lit("LLRP").alias("provider_id"), none.alias("text"), none.alias("topic"),
+        F.col("message").alias("body"),
+        F.lit(None).cast("struct<epc:string,rssi:float,antenna_port:int,tid:string>").alias("report"))
+
+
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures of sixteen messages each, behind ten bytes of noise."""
     part = F.struct("seq", F.hex("message").alias("part"))

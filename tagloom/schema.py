@@ -15,6 +15,8 @@ from urllib.parse import urlsplit
 
 from pyspark.sql import types as T
 
+from .functions.predicates import check_pattern
+
 READ_SCHEMA = T.StructType([
     T.StructField("seq", T.LongType(), False),
     T.StructField("eval_ts", T.TimestampType(), True),
@@ -131,7 +133,7 @@ class MetadataRule:
         if self.antenna_mask is not None and not 0 <= self.antenna_mask <= 0xFFFF:
             raise ValueError("antenna_mask must fit 16 bits")
         if self.regex is not None and self.regex.strip():
-            re.compile(self.regex)
+            check_pattern(self.regex)
 
 
 @dataclass(frozen=True)

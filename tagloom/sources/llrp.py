@@ -11,12 +11,16 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Size of a message header and the range of lengths it may state.
 HEADER_BYTES = 10
 MAX_MESSAGE_BYTES = 1024 * 1024
 
+PAGE_BYTES = 8 * 1024 * 1024  # of frames that leave a task together
+_TAGS = "array<struct<tag_no:int,epc:string,rssi:float,antenna_port:int>>"
+
 
 @dataclass(frozen=True)
 class ReportCodes:
@@ -92,13 +96,14 @@ def _tag(data: bytes, at: int, end: int, codes: ReportCodes, short: dict[int, in
 
 
 def report_tags(data: bytes | None, codes: ReportCodes) -> list[tuple[str, float, int]]:
-    """Every tag of one report message; nothing for other messages and truncated buffers."""
+    """Every tag of one report message, of one that is cut short those that are whole; nothing for other messages."""
     if data is None or len(data) < HEADER_BYTES:
         return []
     data = bytes(data)
     length = int.from_bytes(data[2:6], "big")
-    if _u16(data, 0) & 0x3FF != codes.report or len(data) < length:
+    if _u16(data, 0) & 0x3FF != codes.report:
         return []
+    length = min(length, len(data))
     short = _short_fields(codes)
     try:
         tags = [_tag(data, start, end, codes, short)
@@ -111,55 +116,56 @@ def report_tags(data: bytes | None, codes: ReportCodes) -> list[tuple[str, float
 def decode_llrp_reports(df: DataFrame, message: str = "message", *, codes: ReportCodes | None = None) -> DataFrame:
     """One row per tag of each report message, with its position ``tag_no``; other columns are kept."""
     codes = codes or ReportCodes()
-    kept = [c for c in df.columns if c != message]
-    schema = T.StructType([df.schema[c] for c in kept] + [
-        T.StructField("tag_no", T.IntegerType()), T.StructField("epc", T.StringType()),
-        T.StructField("rssi", T.FloatType()), T.StructField("antenna_port", T.IntegerType())])
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            tags = [report_tags(m, codes) for m in batch[message]]
-            rows = batch[kept].loc[batch.index.repeat([len(t) for t in tags])].reset_index(drop=True)
-            flat = [(n, *tag) for found in tags for n, tag in enumerate(found)]
-            fields = pd.DataFrame(flat, columns=["tag_no", "epc", "rssi", "antenna_port"])
-            yield pd.concat([rows, fields], axis=1)
+    @F.pandas_udf(_TAGS)
+    def decode(messages: pd.Series) -> pd.Series:
+        return messages.map(lambda m: [{"tag_no": n, "epc": epc, "rssi": rssi, "antenna_port": antenna}
+                                       for n, (epc, rssi, antenna) in enumerate(report_tags(m, codes))])
 
-    return df.mapInPandas(decode, schema)
+    # Python sees the messages alone, so the other columns keep their values whatever their types.
+    kept = [c for c in df.columns if c != message]
+    return df.select(*kept, F.inline(decode(F.col(message))))
 
 
-def capture_messages(data: bytes) -> Iterator[bytes]:
-    """Messages of a capture in order; a bad length skips its header only, an unfinished one ends the capture."""
+def capture_messages(data: bytes) -> Iterator[tuple[bytes, bool]]:
+    """Messages of a capture in order, and whether one is cut short; a bad length skips its header only.
+
+    Only the last one can be cut: what is there of it comes as it is.
+    """
     at = 0
     while at + HEADER_BYTES <= len(data):
         size = int.from_bytes(data[at + 2:at + 6], "big")
         if not HEADER_BYTES <= size <= MAX_MESSAGE_BYTES:
             at += HEADER_BYTES
             continue
-        if at + size > len(data):
-            return
-        yield data[at:at + size]
+        yield data[at:at + size], at + size > len(data)
         at += size
 
 
 def split_llrp_capture(df: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """Cut byte captures, such as ``binaryFile`` rows, into ``(path, frame_no, message)``.
+    """Cut byte captures, such as ``binaryFile`` rows, into ``(path, frame_no, message, truncated)``.
 
     Framing is sequential within a capture, so the unit of parallelism is the
-    capture file.  Frames leave the task in small Arrow batches.
+    capture file.  Frames leave the task in Arrow batches of some megabytes.  A last
+    message that is cut short comes with ``truncated``; the decoder takes the
+    tags that are whole in it.
     """
     schema = T.StructType([df.schema[path], T.StructField("frame_no", T.LongType()),
-                           T.StructField("message", T.BinaryType())])
+                           T.StructField("message", T.BinaryType()), T.StructField("truncated", T.BooleanType())])
 
     def frame(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [path, "frame_no", "message", "truncated"]
         for batch in batches:
             for name, data in zip(batch[path], batch[content]):
                 page: list[tuple] = []
-                for n, message in enumerate(capture_messages(bytes(data))):
-                    page.append((name, n, message))
-                    if len(page) == 1000:
-                        yield pd.DataFrame(page, columns=[path, "frame_no", "message"])
-                        page = []
+                held = 0
+                for n, (message, cut) in enumerate(capture_messages(bytes(data))):
+                    page.append((name, n, message, cut))
+                    held += len(message) + 100
+                    if held >= PAGE_BYTES:
+                        yield pd.DataFrame(page, columns=names)
+                        page, held = [], 0
                 if page:
-                    yield pd.DataFrame(page, columns=[path, "frame_no", "message"])
+                    yield pd.DataFrame(page, columns=names)
 
     return df.select(path, content).mapInPandas(frame, schema)

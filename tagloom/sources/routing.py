@@ -31,7 +31,7 @@ def _identium(df: DataFrame) -> DataFrame:
 
 
 def _llrp(df: DataFrame) -> DataFrame:
-    return decode_llrp_reports(df.select(*_carried(df), F.col("body").alias("message"))).drop("tag_no")
+    return decode_llrp_reports(df.select(*_carried(df), F.col("body").alias("message")))
 
 
 def _vendor(df: DataFrame) -> DataFrame:
@@ -60,7 +60,9 @@ def route_by_provider(raw: DataFrame, providers: Mapping[str, Decoder] | None =
 
     The table has ``seq, reader_id, provider_id`` and the message in ``text``,
     ``topic``, ``body`` (binary) or ``report`` (struct).  Returns the decoded
-    reads and the quarantined rows of unknown providers.  Providers that share a
+    reads and the quarantined rows of unknown providers.  Several reads of one
+    message share its ``seq`` and differ in ``tag_no``: number them by both with
+    ``ordering.number_reads`` ahead of the stateful operators.  Providers that share a
     decoder share a scan; a table partitioned by provider is pruned per branch.
     """
     providers = PROVIDERS if providers is None else providers
@@ -81,7 +83,8 @@ def _conform(df: DataFrame) -> DataFrame:
     """The decoded columns in one order, missing ones as NULL."""
     types = {f.name: f.dataType for f in READ_SCHEMA}
     fields = [F.col(c) if c in df.columns else F.lit(None).cast(types[c]).alias(c) for c in _DECODED]
-    return df.select(*_carried(df), *fields)
+    place = F.col("tag_no") if "tag_no" in df.columns else F.lit(0)
+    return df.select(*_carried(df), *fields, place.alias("tag_no"))
 
 
 def normalize_reads(df: DataFrame, ingest_ts: Column | None = None) -> DataFrame:

@@ -32,6 +32,8 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below the cluster's checkpoint folder; a local one where none is configured."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tagloom-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
@@ -65,34 +67,41 @@ class _Slots:
             f"{self.path}/slot={batch_id % 2}")
 
 
-def _last_reads(df: DataFrame, rule: SlidingRule) -> DataFrame:
-    """Last read per sliding key; keys idle for longer than the window before the newest read are left out."""
+def _last_reads(df: DataFrame, rule: SlidingRule, late: float | None) -> DataFrame:
+    """Last read per sliding key; with ``late`` keys idle for longer than it and the window are left out."""
     names = {"antenna": ("epc", "reader_id", "antenna_port"), "reader": ("epc", "reader_id"), "global": ("epc",)}
     keys = [k.alias(n) for k, n in zip(dedup_key(rule.scope), names[rule.scope])]
     last = df.groupBy(*keys).agg(F.max("seq").alias("seq"), F.max_by("eval_ts", "seq").alias("eval_ts"))
+    if late is None:
+        return last
     newest = df.agg(F.max(F.unix_micros("eval_ts")).alias("us")).select("us").scalar()
-    return last.where(F.unix_micros("eval_ts") > newest - window_micros(rule.window_seconds))
+    return last.where(F.unix_micros("eval_ts") > newest - window_micros(rule.window_seconds + late))
 
 
-def _shift_keys(df: DataFrame, rule: DailyRule, keep_shifts: int) -> DataFrame:
-    """One read per key of the latest shifts."""
+def _shift_keys(df: DataFrame, rule: DailyRule, keep_shifts: int | None) -> DataFrame:
+    """One read per key and shift, of the latest shifts if so many are named."""
     names = {"antenna": ("epc", "reader_id", "antenna_port"), "reader": ("epc", "reader_id"), "global": ("epc",)}
     keys = [k.alias(n) for k, n in zip(dedup_key(rule.scope), names[rule.scope])]
     shift = shift_id(F.col("eval_ts"), rule.tz, rule.shift_start)
     seen = df.withColumn("_shift", shift).groupBy(*keys, "_shift").agg(
         F.min("seq").alias("seq"), F.min_by("eval_ts", "seq").alias("eval_ts"))
+    if keep_shifts is None:
+        return seen.drop("_shift")
     newest = df.agg(F.max("eval_ts").alias("ts")).select("ts").scalar()
     oldest = shift_id(newest - F.make_dt_interval(F.lit(keep_shifts - 1)), rule.tz, rule.shift_start)
     return seen.where(F.col("_shift") >= oldest).drop("_shift")
 
 
-def chain_stream(rules: Sequence[Rule], state_path: str, sink: Sink, *, keep_shifts: int = 2,
-                 slice_bits: int = SLICE_BITS) -> Callable[[DataFrame, int], None]:
+def chain_stream(rules: Sequence[Rule], state_path: str, sink: Sink, *, keep_shifts: int | None = None,
+                 late_seconds: float | None = None, slice_bits: int = SLICE_BITS) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that runs the filter chain and hands the annotated reads to ``sink``.
 
     Before a dedup stage the carried reads join the micro-batch, and leave it
-    again afterwards.  Out of order reads older than the carried window pass, as
-    they do with a negative gap.
+    again afterwards.  The verdicts are those of the batch chain, however late a
+    read comes, since every key is kept.  Where the clock of the reads is known to
+    lag by ``late_seconds`` at most, keys older than that and the window are
+    forgotten, and with ``keep_shifts`` keys of older shifts; reads that come later
+    than promised then count as new.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -110,7 +119,7 @@ def chain_stream(rules: Sequence[Rule], state_path: str, sink: Sink, *, keep_shi
             joined = joined.persist()
             held.append(joined)
             alive = joined.where(ALIVE)
-            state = _last_reads(alive, rule) if isinstance(rule, SlidingRule) else _shift_keys(alive, rule, keep_shifts)
+            state = _last_reads(alive, rule, late_seconds) if isinstance(rule, SlidingRule) else _shift_keys(alive, rule, keep_shifts)
             slots.write(state, batch_id)
             annotated = filter_pipeline(joined, [rule], slice_bits=slice_bits).where("NOT _carried").drop("_carried")
         sink(annotated, batch_id)

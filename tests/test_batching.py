@@ -81,13 +81,13 @@ def registry(spark):
     return spark.createDataFrame(REGISTRY, "ordinal long, reader_id string, provider_id string, brand_name string")
 
 
-@pytest.mark.parametrize("max_rows", [100, 0])
-def test_lookup_takes_first_registration_and_defaults(spark, max_rows):
+@pytest.mark.parametrize("salts", [None, 4])
+def test_lookup_takes_first_registration_and_defaults(spark, salts):
     df = reads(spark, [read(1), read(2, reader="GATE"), read(3, reader="dock")])
-    got = enrich_with_reader(df, registry(spark), max_rows=max_rows).orderBy("seq").collect()
+    got = enrich_with_reader(df, registry(spark), salts=salts).orderBy("seq").collect()
     assert [(r.provider_id, r.brand_name) for r in got] == [("llrp", "A"), ("System", "RFID Reader"), ("zebra", None)]
     status = df.select("seq", "reader_id")
-    got = status_with_provider(status, registry(spark), max_rows=max_rows).orderBy("seq").collect()
+    got = status_with_provider(status, registry(spark), salts=salts).orderBy("seq").collect()
     assert [r.provider_id for r in got] == ["llrp", "Unknown", "zebra"]
 
 
@@ -95,6 +95,6 @@ def test_large_dimension_is_joined_with_salt(spark):
     facts = spark.range(5000).select(F.col("id").alias("seq"), F.when(F.col("id") % 3 == 0, 7).otherwise(
         F.col("id") % 50).alias("k"))
     dimension = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    joined = lookup(facts, dimension, "k", spread="seq", max_rows=10, salts=4)
-    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().optimizedPlan().toString()
+    joined = lookup(facts, dimension, "k", spread="seq", salts=4)
+    assert "_salt" in joined._jdf.queryExecution().optimizedPlan().toString()
     assert joined.count() == 5000 and joined.where("v <> k * 2 OR v IS NULL").count() == 0

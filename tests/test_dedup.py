@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tagloom.operators.dedup import (active_key_counts, daily_unique, live_sliding_keys, shift_rollovers,
                                      sliding_dedup)
-from tagloom.schema import DailyRule, SlidingRule
+from tagloom.operators.ordering import number_reads, with_first_flag
+from tagloom.operators.pipeline import plain_number
+from tagloom.schema import DailyRule, MetadataRule, SlidingRule
 
 
 def kept(df):
@@ -88,3 +90,34 @@ def test_registry_sizes(spark):
     assert sorted(counts.values()) == [1, 2]
     live = live_sliding_keys(df, SlidingRule(2, "global"), F.timestamp_micros(F.lit(1784516403000000)))
     assert live.first().active_keys == 1
+
+
+def test_several_tags_of_a_message_are_numbered_and_deduplicated(spark):
+    """Reads that share a message number get numbers of their own, and no operator makes more rows than it gets."""
+    rows = [(10**12, 0, "A"), (10**12, 1, "B"), (10**12, 2, "C"), (7, 0, "A")]
+    df = spark.createDataFrame(rows, "seq long, tag_no int, epc string").withColumns(
+        {"eval_ts": F.timestamp_micros(F.lit(0)), "reader_id": F.lit("r"), "antenna_port": F.lit(1)})
+    numbered = number_reads(df, ["seq", "tag_no"])
+    assert sorted((r.seq, r.epc) for r in numbered.collect()) == [(1, "A"), (2, "A"), (3, "B"), (4, "C")]
+    for rescan in (True, False):
+        assert sorted(r.epc for r in daily_unique(numbered, rescan=rescan).collect()) == ["A", "B", "C"]
+        assert with_first_flag(df, [F.col("epc")], "first", rescan=rescan).count() == len(rows)
+
+
+def test_sparse_numbers_give_the_same_verdicts(spark):
+    dense = random_reads(5, 400)
+    sparse = [(r[0] * 5_000_011 - 10**9, *r[1:]) for r in dense]
+    for rescan in (True, False):
+        a, b = ([r.seq for r in sliding_dedup(reads(spark, x), SlidingRule(3, "global"), rescan=rescan, slice_bits=7).collect()]
+                for x in (dense, sparse))
+        assert sorted(s * 5_000_011 - 10**9 for s in a) == sorted(b)
+
+
+def test_patterns_are_those_of_the_engine(spark):
+    assert MetadataRule(regex=r"^(?<t>E280)\p{XDigit}+\z")
+    with pytest.raises(ValueError):
+        MetadataRule(regex="(?P<t>E280)")
+
+
+def test_window_text_has_no_exponent():
+    assert [plain_number(x) for x in (1209600.0, 15, 0.5, 21600.0)] == ["1209600", "15", "0.5", "21600"]

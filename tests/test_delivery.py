@@ -4,6 +4,7 @@ from cases import random_reads, reads
 from pyspark.sql import functions as F
 
 from tagloom.operators.pipeline import default_pipeline, pipeline_counters
+from tagloom.operators.requests import dispatch_requests
 from tagloom.plans.delivery import Run, clean, deliver, pending, prepare, replay
 from tagloom.schema import DispatchConfig, FilterConfig
 
@@ -38,4 +39,40 @@ def test_outage_then_recovery(spark, tmp_path):
     still = replay(spark, lambda request: (503, "busy"), run, 1)
     assert still.count() == spilled.count() and still.agg(F.max("retry_count")).first()[0] == 1
     assert replay(spark, lambda request: (200, "ok"), run, 2).count() == 0
-    assert pending(spark, run, 2).count() == 0
+    assert pending(spark, run).count() == 0
+
+
+def test_a_second_run_on_a_folder_loses_nothing(spark, tmp_path):
+    registry = spark.createDataFrame([(1, "r1", "llrp", "North")],
+                                     "ordinal long, reader_id string, provider_id string, brand_name string")
+    dispatch = DispatchConfig(trigger_mode="count", max_batch_size=7)
+
+    def down(request):
+        raise ConnectionError("down")
+
+    counts = []
+    for name, seed in (("a", 31), ("b", 32)):
+        run = Run(str(tmp_path), name)
+        clean(reads(spark, random_reads(seed, 100)), CONFIG, run)
+        prepare(spark, registry, dispatch, run, keys=["reader_id"])
+        counts.append(deliver(spark, down, run).count())
+        if name == "a":
+            assert replay(spark, lambda request: (200, "ok"), run, 1).count() == 0
+    assert pending(spark, run).count() == counts[1] > 0
+    ids = [r.id for r in spark.read.parquet(run.outbox).orderBy("id").collect()]
+    assert ids == list(range(1, sum(counts) + 1))
+    assert replay(spark, lambda request: (200, "ok"), run, 2).count() == 0
+
+
+def test_a_sender_that_hangs_times_out(spark):
+    import time
+    rows = spark.createDataFrame([("t", "http://x", "POST", "http://x", {"a": "b"}, "text/plain", "b")],
+                                 "transaction_id string, target_url string, http_method string, url string, "
+                                 "request_headers map<string,string>, content_type string, body string")
+
+    def hang(request):
+        time.sleep(30)
+
+    started = time.time()
+    got = dispatch_requests(rows, hang, timeout_s=0.5).first()
+    assert not got.is_success and got.http_status == 0 and "0.5 s" in got.error_message and time.time() - started < 25

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tagloom.sources.frames import decode_identium_frames, decode_vendor_reports
 from tagloom.sources.llrp import (ReportCodes, capture_messages, decode_llrp_reports, report_tags, split_llrp_capture)
@@ -150,9 +151,31 @@ def test_capture_framing(spark):
     a, b = message(tlv(240, b"\x8d" + EPC)), message()
     noise = bytes([0, 61]) + (5).to_bytes(4, "big") + bytes(4)
     data = a + noise + b + a[:-3]
-    assert list(capture_messages(data)) == [a, b]
+    assert list(capture_messages(data)) == [(a, False), (b, False), (a[:-3], True)]
     df = spark.createDataFrame([("f", data), ("empty", b"")], "path string, content binary")
-    assert [(r.path, r.frame_no, bytes(r.message)) for r in split_llrp_capture(df).collect()] == [("f", 0, a), ("f", 1, b)]
+    assert [(r.path, r.frame_no, bytes(r.message), r.truncated) for r in split_llrp_capture(df).collect()] == [
+        ("f", 0, a, False), ("f", 1, b, False), ("f", 2, a[:-3], True)]
+
+
+def test_whole_tags_of_a_cut_message_are_decoded(spark):
+    tag = tlv(240, b"\x8d" + EPC)
+    cut = message(tag + tag)[:-4]
+    assert len(report_tags(cut, ReportCodes())) == 1
+    frames = split_llrp_capture(spark.createDataFrame([("f", cut)], "path string, content binary"))
+    assert [r.epc for r in decode_llrp_reports(frames).collect()] == [EPC.hex().upper()]
+
+
+def test_passengers_of_a_report_keep_their_values(spark):
+    """An instant in the hour that a zone repeats, and an integer that doubles cannot hold."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([(1, None, message(tlv(240, b"\x8d" + EPC))), (2, 9007199254740993, message(tlv(240, b"\x8d" + EPC)))],
+                                   "seq long, big long, message binary").withColumn("at", F.timestamp_micros(F.lit(1730610000000000)))
+        got = decode_llrp_reports(df).select("seq", "big", F.unix_micros("at").alias("us")).orderBy("seq").collect()
+        assert [tuple(r) for r in got] == [(1, None, 1730610000000000), (2, 9007199254740993, 1730610000000000)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
 
 
 def test_capture_files(spark, tmp_path):

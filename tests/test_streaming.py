@@ -136,3 +136,19 @@ def test_throughput_on_a_stream(spark, feed):
     stored(gauge, folder)
     got = {tuple(r) for r in spark.read.parquet(f"{folder}/out").collect()}
     assert got and got <= {tuple(r) for r in throughput_per_second(df).collect()}
+
+
+def test_late_reads_are_judged_as_in_one_batch(spark):
+    """A tag that comes back days late in an old shift, or after another tag went far ahead."""
+    from cases import read, reads
+    day = 86_400
+    daily = [read(1, 10 * day, "A"), read(2, 13 * day, "B"), read(3, 10 * day + 5, "A")]
+    sliding = [read(1, 0, "A"), read(2, 3 * day, "B"), read(3, 5, "A")]
+    for rule, rows_in in ((DailyRule(), daily), (SlidingRule(10, "global"), sliding)):
+        folder = shared_folder(spark, "late")
+        run = chain_stream([rule], f"{folder}/state", parquet_sink(f"{folder}/out"))
+        for n, row in enumerate(rows_in):
+            run(reads(spark, [row]), n)
+        got = spark.read.parquet(f"{folder}/out").select("seq", "drop_code")
+        assert rows(got) == rows(filter_pipeline(reads(spark, rows_in), [rule]).select("seq", "drop_code"))
+        assert got.where("drop_code IS NOT NULL").count() == 1
