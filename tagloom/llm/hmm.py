@@ -1,7 +1,8 @@
 """A hidden Markov language model over words.
 
-Latent states emit classes of words, and a class its words by their counts.  Baum-Welch runs over all training texts: every
-task adds up its expected counts, which Spark sums by class, and the parameters are a table of bounded size.  A text's
+Latent states emit classes of words, and a class its words by their counts.  Baum-Welch runs over all training texts, long
+ones in windows: every task adds up its expected counts, which Spark sums by class, and the parameters are a table of
+bounded size.  A text's
 likelihood is the scaled forward recursion over the whole text.  Word counts, which grow with the corpus, are never
 in one place: a block of documents asks for its own words.
 """
@@ -13,11 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import column_bytes, in_fold, worker_cache, written
+from .shared import column_bytes, in_fold, slices, word_hashes, written
 
 
 @dataclass(frozen=True)
@@ -28,26 +28,9 @@ class HmmSettings:
     stay: float = 0.95  # first guess of the share of words that keep the state
     prior: float = 500.0  # words' worth of the common distribution in that of each state
     seed_texts: int = 256  # training texts, in expectation, among which the first guess of emissions is sought
-    chunk_tokens: int = 1 << 20
-    block_bytes: int = 32 << 20
-
-
-WORDS_KNOWN = 500_000
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KNOWN:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def word_hashes(text: bytes) -> np.ndarray:
-    """64-bit hashes of the words, A-Z lower-cased, parted by ASCII white space."""
-    known = worker_cache().setdefault("hmm words", _WordHashes())
-    words = text.lower().split()
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    window: int = 1024  # training reads a text in windows of so many words; scoring goes over it whole
+    chunk_tokens: int = 1 << 19
+    block_bytes: int = 8 << 20
 
 
 def classes_of(hashes: np.ndarray, settings: HmmSettings) -> np.ndarray:
@@ -119,7 +102,7 @@ class Lattice:
 def _chunks(batches: Iterator[pa.RecordBatch], column: int, tokens: int) -> Iterator[list[np.ndarray]]:
     """Word hashes of texts, about so many tokens at a time."""
     held, size = [], 0
-    for batch in batches:
+    for batch in slices(batches):
         for text in column_bytes(batch.column(column)):
             held.append(word_hashes(text))
             size += len(held[-1]) + 1
@@ -133,7 +116,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: int, tokens: int) -> Iter
 def word_counts(texts: DataFrame, settings: HmmSettings) -> DataFrame:
     """``(word, c)``: how often each word hash occurs; a task sends a word once per some million tokens."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _chunks(batches, 0, 8 * settings.chunk_tokens):
+        for held in _chunks(batches, 0, 16 * settings.chunk_tokens):
             word, c = np.unique(np.concatenate(held), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(c, pa.int64())], ["word", "c"])
 
@@ -148,13 +131,16 @@ def _expectation(model: Hmm, settings: HmmSettings):
         moves, starts = np.zeros((states, states)), np.zeros(states)
         start, move, emit = (x.astype(np.float32) for x in (model.start, model.move, model.emit))
         for held in _chunks(batches, 0, settings.chunk_tokens):
-            lattice = Lattice([classes_of(h, settings) for h in held])
+            texts = [classes_of(h, settings) for h in held]
+            windows = [t[i:i + settings.window] for t in texts for i in range(0, len(t), settings.window)]
+            begins = np.array([i == 0 for t in texts for i in range(0, len(t), settings.window)])
+            lattice = Lattice(windows)
             seen = lattice.by_time(lattice.flat)
             weights = emit[seen]
             alpha, scale = lattice.forward(start, move, weights)
             share, moved = lattice.backward(move, weights, alpha, scale)
             moves += moved
-            starts += share[:len(held)].sum(axis=0)
+            starts += share[:len(windows)][begins[lattice.order]].sum(axis=0)
             for s in range(states):
                 emitted[s] += np.bincount(seen, share[:, s], settings.classes + 1)
         used = np.flatnonzero(emitted.any(axis=0))
@@ -263,7 +249,7 @@ def score_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", hel
             return pa.RecordBatch.from_arrays([pa.array(block), pa.array(np.concatenate(list(words.values())).view(np.int64))],
                                               ["block", "word"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for block, body in zip(batch.column("block").to_pylist(), column_bytes(batch.column("text"))):
                 own.setdefault(block, []).append(word_hashes(body))
                 size += len(own[block][-1])
@@ -286,7 +272,7 @@ def score_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", hel
         for i, body in enumerate(bodies):
             held.append(word_hashes(body))
             size += len(held[-1]) + 1
-            if size >= settings.chunk_tokens // 4 or i == len(bodies) - 1:
+            if size >= settings.chunk_tokens or i == len(bodies) - 1:
                 outs.append(scores(held, word, count))
                 held, size = [], 0
         merged = [np.concatenate(x) for x in zip(*outs)]
