@@ -113,6 +113,33 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: int, tokens: int) -> Iter
         yield held
 
 
+def _code(settings: HmmSettings):
+    """The classes of a text's words as unsigned integers of 32 or, where they fit, of 16 bits."""
+    kind = np.uint16 if settings.classes <= 1 << 16 else np.uint32
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            coded = [(word_hashes(x) % np.uint64(settings.classes)).astype(kind).tobytes() for x in column_bytes(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(coded, pa.binary())], ["coded"])
+
+    return run
+
+
+def _coded_chunks(batches: Iterator[pa.RecordBatch], settings: HmmSettings) -> Iterator[list[np.ndarray]]:
+    """Classes of texts with their ends, about so many tokens at a time."""
+    kind = np.uint16 if settings.classes <= 1 << 16 else np.uint32
+    held, size = [], 0
+    for batch in slices(batches):
+        for coded in batch.column(0).to_pylist():
+            held.append(np.append(np.frombuffer(coded, kind).astype(np.int32), np.int32(settings.classes)))
+            size += len(held[-1])
+            if size >= settings.chunk_tokens:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def word_counts(texts: DataFrame, settings: HmmSettings) -> DataFrame:
     """``(word, c)``: how often each word hash occurs; a task sends a word once per some million tokens."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,8 +157,7 @@ def _expectation(model: Hmm, settings: HmmSettings):
         emitted = np.zeros((states, settings.classes + 1))
         moves, starts = np.zeros((states, states)), np.zeros(states)
         start, move, emit = (x.astype(np.float32) for x in (model.start, model.move, model.emit))
-        for held in _chunks(batches, 0, settings.chunk_tokens):
-            texts = [classes_of(h, settings) for h in held]
+        for texts in _coded_chunks(batches, settings):
             windows = [t[i:i + settings.window] for t in texts for i in range(0, len(t), settings.window)]
             begins = np.array([i == 0 for t in texts for i in range(0, len(t), settings.window)])
             lattice = Lattice(windows)
@@ -191,8 +217,9 @@ def baum_welch(texts: DataFrame, class_counts: np.ndarray, settings: HmmSettings
     model = _first_guess(texts, common, int(class_counts[-1]), settings)
     sums = [F.sum(f"s{s}").alias(f"s{s}") for s in range(settings.states)]
     kind = "k int, " + ", ".join(f"s{s} float" for s in range(settings.states))
+    coded = written(texts.select("text").mapInArrow(_code(settings), "coded binary"), "word-classes")  # read once in each round
     for _ in range(settings.rounds):
-        told = texts.select("text").mapInArrow(_expectation(model, settings), kind).groupBy("k").agg(*sums).toArrow()
+        told = coded.mapInArrow(_expectation(model, settings), kind).groupBy("k").agg(*sums).toArrow()
         key = told.column(0).to_numpy()
         value = np.stack([told.column(1 + s).to_numpy() for s in range(settings.states)], axis=1)
         emitted = np.zeros((settings.classes + 1, settings.states))
