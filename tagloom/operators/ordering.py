@@ -28,7 +28,8 @@ _SLICE, _FIRST, _LAST, _PREV = "_ord_slice", "_ord_slice_first", "_ord_slice_las
 
 def slice_of(order: str, slice_bits: int = SLICE_BITS) -> Column:
     """Slice number of an integer order column (floor division by a power of two)."""
-    return F.shiftright(F.col(order).cast("bigint"), slice_bits)
+    # Never null, so that joins on it add no filter to one of two branches that share a shuffle.
+    return F.shiftright(F.coalesce(F.col(order).cast("bigint"), F.lit(0).cast("bigint")), slice_bits)
 
 
 def with_previous(df: DataFrame, keys: Sequence[Column], value: Column, out: str, *, order: str = "seq",
@@ -157,10 +158,9 @@ def with_first_flag(df: DataFrame, keys: Sequence[Column], out: str, *, order: s
     within = Window.partitionBy("_ord_active", *named, _SLICE).orderBy(order)
     staged = staged.withColumn(_FIRST, F.lag(order).over(within).isNull())
     candidate = F.col("_ord_active") & F.col(_FIRST)
-    least = staged.where(candidate).groupBy(*named).agg(F.min(order).alias(order)).withColumn("_ord_first", F.lit(True))
+    across = Window.partitionBy(*named).orderBy(order)
     others = staged.where(~candidate).withColumn(out, F.lit(False))
-    candidates = staged.where(candidate).join(least, [*named, order], "left").withColumn(
-        out, F.col("_ord_first").isNotNull()).drop("_ord_first")
+    candidates = staged.where(candidate).withColumn(out, F.lag(order).over(across).isNull())
     return others.unionByName(candidates).drop(*named, "_ord_active", _SLICE, _FIRST)
 
 
