@@ -44,7 +44,7 @@ def op7_differencing_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without their repeated passages, with the counts of chunks and of what was removed."""
-    done = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), "n")
+    done = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), "n", over_words=50)
     return done.select("doc_id", F.col("n.chunks").alias("n_chunks"), F.col("n.removed").alias("n_removed"), "text")
 
 

@@ -149,3 +149,47 @@ def test_chunks_survive_a_shift():
     body = b"".join(b"line %d\n" % i for i in range(200))
     cut = lambda t: {t[a:b] for a, b, _ in cut_lines(t, 2, 4, 64)}
     assert len(cut(body) & cut(b"new first line\n" + body)) >= len(cut(body)) - 2
+
+
+def _planted():
+    """Documents of own lines around passages of 2 to 5 lines; what an earlier document holds, by brute force."""
+    import random
+    draw = random.Random(11)
+    line = lambda n: " ".join(f"p{draw.randrange(10**6)}" for _ in range(n))
+    passages = [[line(12 + draw.randrange(60)) for _ in range(2 + i % 4)] for i in range(12)]
+    passages[3].insert(1, "")
+    docs = []
+    for i in range(40):
+        body = [line(20)]
+        for p in draw.sample(passages, 2):
+            body += p + [line(1 + draw.randrange(30))]
+        docs.append(body)
+    docs += [[line(20), *docs[0][1:4]], [line(80)], [line(80)]]
+    docs[-1] = docs[-2]  # one long line
+    want = []
+    for i, body in enumerate(docs):
+        gone = set()
+        for a in range(len(body)):
+            for b in range(a + 1, len(body) + 1):
+                run = body[a:b]
+                if sum(len(x.split()) for x in run) > 50 and body[a].split() and body[b - 1].split() and any(
+                        run == d[j:j + b - a] for d in docs[:i] for j in range(len(d))):
+                    gone |= set(range(a, b))
+        want.append("".join(x + "\n" for j, x in enumerate(body) if j not in gone))
+    return [(i, "".join(x + "\n" for x in body)) for i, body in enumerate(docs)], want
+
+
+@pytest.mark.parametrize("digest_bytes", [16, 1])
+def test_planted_passages_go_whole(spark, digest_bytes):
+    table, want = _planted()
+    got = remove_repeats(spark.createDataFrame(table, "doc_id long, text string"), "told", min_lines=99, over_words=50, digest_bytes=digest_bytes).collect()
+    assert [r.text for r in sorted(got)] == want
+    assert sum(x.count("\n") for _, x in table) - sum(x.count("\n") for x in want) > 100
+    assert all((r.told.removed == r.told.chunks) == (r.text == "") for r in got)
+
+
+def test_repeats_within_a_text_stay_once(spark):
+    passage = "".join(" ".join(f"v{i}x{j}" for j in range(30)) + "\n" for i in range(3))
+    table = [(1, "own\n" + passage + passage + "end\n"), (2, "same line of five words\n" * 100), (3, passage.removesuffix("\n"))]
+    got = {r.doc_id: r.text for r in remove_repeats(spark.createDataFrame(table, "doc_id long, text string"), "told", min_lines=99, over_words=50).collect()}
+    assert got == {1: "own\n" + passage + "end\n", 2: "same line of five words\n" * 11, 3: ""}
