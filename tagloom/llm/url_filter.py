@@ -2,16 +2,15 @@
 
 Two variable-order Markov models, of accepted and of rejected urls, are smoothed from order to order; their difference in
 log-likelihood per character is compared with a calibrated threshold.  All of it is DataFrame expressions: n-grams are
-counted in hashed cells, the cells become one array of bounded size, and a url is scored by looking its characters up
-in that array.
+counted as they are, each distinct longest n-gram of the urls is resolved once by joins with the tables of the orders,
+and the characters of the urls are joined with what was resolved.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
@@ -66,17 +65,13 @@ def match_rule(host: Column, path: Column, rules: tuple[UrlRule, ...]) -> tuple[
 
 @dataclass(frozen=True)
 class LmSettings:
-    """``order`` characters of context at most; ``cells`` per order bound the model whatever the urls hold."""
+    """``order`` characters of context at most.  ``cells`` is kept for callers that give it and changes nothing."""
     order: int = 4
     cells: int = 1 << 15
     strength: float = 2.0  # weight of the shorter context in the longer one's estimate
     alphabet: int = 256
     calibration_parts: int = 5  # one labelled url in so many is left for calibration
 
-    @property
-    def size(self) -> int:
-        return self.cells * (self.order + 1)
-
 
 def _modelled(url: Column, order: int) -> Column:
     """What the models read: the url without its scheme, A-Z lower-cased, between ``order`` blanks and one."""
@@ -84,11 +79,6 @@ def _modelled(url: Column, order: int) -> Column:
     return F.concat(F.lit(" " * order), F.translate(body, AZ, LOWER), F.lit(" "))
 
 
-def _cell(gram: Column, n: int, settings: LmSettings) -> Column:
-    """The cell of an n-gram: a hash within the cells of its order."""
-    return F.pmod(F.xxhash64(gram), F.lit(settings.cells)).cast("int") + settings.cells * (n - 1)
-
-
 def _ends(text: Column, order: int) -> Column:
     """The places of the characters that are predicted."""
     return F.sequence(F.lit(order + 1), F.char_length(text))
@@ -106,10 +96,10 @@ def _tallies(labelled: DataFrame, settings: LmSettings) -> DataFrame:
     return each.groupBy("n", "gram").agg(held(True).alias("c_good"), held(False).alias("c_bad"))
 
 
-def _smoothed(tallies: DataFrame, settings: LmSettings) -> list[DataFrame]:
-    """Per n-gram the log ratio of its last character, per context the log ratio of what it leaves to shorter ones.
+def _smoothed(tallies: DataFrame, settings: LmSettings) -> list[tuple[DataFrame, DataFrame]]:
+    """For each order, by ``gram`` the log ratio of its last character and by ``context`` that of what it leaves to shorter ones.
 
-    A table for each order; the estimates of an order are written, since the next one builds on them.
+    The estimates of an order are written, since the next one builds on them.
     """
     floor, out, lower = 1.0 / settings.alphabet, [], None
     for n in range(1, settings.order + 2):
@@ -126,44 +116,35 @@ def _smoothed(tallies: DataFrame, settings: LmSettings) -> list[DataFrame]:
                                    / (F.col(f"all_{c}") + settings.strength))
         here = written(here.select("gram", "context", "c_good", "c_bad", "all_good", "all_bad", "p_good", "p_bad"), "url-order")
         lower = here.select(F.col("gram").alias("suffix"), F.col("p_good").alias("low_good"), F.col("p_bad").alias("low_bad"))
-        ratio = here.select(_cell(F.col("gram"), n, settings).alias("cell"), (F.col("c_good") + F.col("c_bad")).alias("weight"),
-                            F.log(F.col("p_good") / F.col("p_bad")).alias("value"))
+        ratio = here.select("gram", F.log(F.col("p_good") / F.col("p_bad")).alias("value"))
         left = here.select("context", "all_good", "all_bad").distinct().select(
-            ((_cell(F.col("context"), n - 1, settings) if n > 1 else F.lit(settings.size)) + settings.size).alias("cell"),
-            (F.col("all_good") + F.col("all_bad")).alias("weight"),
-            F.log((F.col("all_bad") + settings.strength) / (F.col("all_good") + settings.strength)).alias("value"))
-        out.append(ratio.unionByName(left))
+            "context", F.log((F.col("all_bad") + settings.strength) / (F.col("all_good") + settings.strength)).alias("left"))
+        out.append((ratio, left))
     return out
 
 
-def _as_array(orders: list[DataFrame], spark: SparkSession, settings: LmSettings) -> DataFrame:
-    """One row with an array: the ratios by cell, then what contexts leave.  Where several share a cell it holds their
-    mean, weighted by occurrences; an empty cell is null."""
-    cells = reduce(DataFrame.unionByName, orders).groupBy("cell").agg(
-        (F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("value"))
-    every = spark.range(2 * settings.size + 1).select(F.col("id").cast("int").alias("cell"), F.lit(None).cast("double").alias("value"))
-    dense = cells.unionByName(every).groupBy("cell").agg(F.max("value").alias("value"))
-    return dense.agg(F.array_sort(F.collect_list(F.struct("cell", "value"))).alias("m")).select(
-        F.transform("m", lambda x: x["value"]).alias("model"))
+def _longest(text: Column, order: int) -> Column:
+    """The n-gram of each predicted character, in rows."""
+    return F.explode(F.transform(_ends(text, order), lambda at: F.substring(text, at - order, F.lit(order + 1))))
 
 
-def _scored(urls: DataFrame, model: Column, settings: LmSettings) -> DataFrame:
-    """``urls`` with ``score``, the log-likelihood ratio per predicted character of its column ``text``.
+def _resolved(grams: DataFrame, orders: list[tuple[DataFrame, DataFrame]], settings: LmSettings) -> DataFrame:
+    """The log ratio ``r`` of the last character of each ``gram``, all of the longest order.
 
-    A row per character looks itself up in the model: from the empty context to the longest, a context adds what it leaves
-    to the shorter one, and an n-gram that was seen replaces the estimate.  The characters of a url stand together, so they
-    are summed before the shuffle, which carries a row per url; equal rows are counted and restored.
+    From the empty context to the longest, a context adds what it leaves to the shorter one, and an n-gram that was seen
+    replaces the estimate.  Each order resolves the distinct ends of the n-grams, so a key meets as many rows as there
+    are characters; it is written, since the next one builds on it.
     """
-    told = F.lit(0.0)
-    for n in range(1, settings.order + 2):
-        gram = F.substring("text", F.col("at") - (n - 1), F.lit(n))
-        context = _cell(F.substring("text", F.col("at") - (n - 1), F.lit(n - 1)), n - 1, settings) if n > 1 else F.lit(settings.size)
-        left = F.coalesce(F.get(model, context + settings.size), F.lit(0.0))
-        told = F.coalesce(F.get(model, _cell(gram, n, settings)), left + told)
-    each = urls.select("*", F.explode(_ends(F.col("text"), settings.order)).alias("at")).select(*urls.columns, "at", told.alias("r"))
-    first = F.sum((F.col("at") == settings.order + 1).cast("int"))
-    sums = each.groupBy(*urls.columns).agg(F.avg("r").alias("score"), first.alias("copies"))
-    return sums.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies")
+    told = None
+    for n, (ratio, left) in enumerate(orders, 1):
+        here = grams.select(F.substring("gram", settings.order + 2 - n, n).alias("gram")).distinct().withColumns(
+            {"context": F.substring("gram", 1, n - 1), "suffix": F.substring("gram", 2, n - 1)})
+        here = here.join(ratio, "gram", "left").join(left, "context", "left")
+        lower = F.lit(0.0)
+        if told is not None:
+            here, lower = here.join(told.select(F.col("gram").alias("suffix"), F.col("r").alias("lower")), "suffix"), F.col("lower")
+        told = written(here.select("gram", F.coalesce("value", F.coalesce("left", F.lit(0.0)) + lower).alias("r")), "url-resolved")
+    return told
 
 
 def url_verdicts(pages: DataFrame, *, key: str = "page_id", url: str = "url", rules: tuple[UrlRule, ...] = RULES,
@@ -176,22 +157,25 @@ def url_verdicts(pages: DataFrame, *, key: str = "page_id", url: str = "url", ru
     has no url in one of the two parts, nothing is told from the score and they are allowed.  A null url is empty and
     judged by the score of its end; rows that repeat are judged each; other columns are not read.
     """
-    spark = pages.sparkSession
     host, path = url_host(F.col(url)), url_path(F.col(url))
     rule, told = match_rule(F.col("host"), F.col("path"), rules)
-    base = pages.select(F.col(key).alias("page"), host.alias("host"), path.alias("path"), F.col(url).alias("url")) \
+    rows = pages.select(F.col(key).alias("page"), host.alias("host"), path.alias("path"), F.col(url).alias("url")) \
         .withColumns({"rule": rule, "told": told}).withColumn("text", _modelled(F.col("url"), settings.order))
-    labelled = base.where(F.col("told").isNotNull()).select("text", (F.col("told") == "allow").alias("good"))
+    # Written with the numbers of the rows, which a second reading might deal out otherwise.
+    base = written(rows.drop("url").withColumn("row", F.monotonically_increasing_id()), "url-rows")
+    labelled = base.where(F.col("told").isNotNull()).select("row", "text", (F.col("told") == "allow").alias("good"))
     kept_back = F.pmod(F.xxhash64("text"), F.lit(settings.calibration_parts)) == 0
     tallies = written(_tallies(labelled.where(~kept_back), settings), "url-tallies")
-    model = written(_as_array(_smoothed(tallies, settings), spark, settings), "url-model").scalar()
-    scored = _scored(labelled.where(kept_back), model, settings)
+    each = base.select("row", _longest(F.col("text"), settings.order).alias("gram"))
+    resolved = _resolved(written(each.select("gram").distinct(), "url-grams"), _smoothed(tallies, settings), settings)
+    scores = written(each.join(resolved, "gram").groupBy("row").agg(F.avg("r").alias("score")), "url-scores")
+    scored = labelled.where(kept_back).join(scores, "row")
     of = lambda f, good: f(F.when(F.col("good") == good, F.col("score")))
     stats = scored.agg(of(F.mean, True).alias("m1"), of(F.mean, False).alias("m0"),
                        (of(F.stddev_pop, True) + 1e-6).alias("s1"), (of(F.stddev_pop, False) + 1e-6).alias("s0"))
     edge = written(stats.select(((F.col("m1") * F.col("s0") + F.col("m0") * F.col("s1")) / (F.col("s0") + F.col("s1"))).alias("edge")),
                    "url-threshold").select("edge").scalar()
-    judged = _scored(base.drop("url"), model, settings)
+    judged = base.drop("text").join(scores, "row")
     return judged.select(
         F.col("page").alias(key), "host", "path", "rule",
         F.coalesce("told", F.when(F.col("score") < edge, "block").otherwise("allow")).alias("verdict"), "score")

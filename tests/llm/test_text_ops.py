@@ -141,6 +141,42 @@ def test_url_verdicts(spark):
     assert {r.verdict for r in url_verdicts(pages.where("page_id < 3")).collect()} == {"allow"}
 
 
+def _brute_scores(train, texts, order=4, strength=2.0, alphabet=256):
+    """Log ratio per character with exact counts and contexts."""
+    counts = {True: {}, False: {}}
+    for text, good in train:
+        for at in range(order, len(text)):
+            for n in range(1, order + 2):
+                gram = text[at - n + 1:at + 1]
+                counts[good][gram] = counts[good].get(gram, 0) + 1
+    follow = {c: {} for c in counts}
+    for c, held in counts.items():
+        for gram, k in held.items():
+            follow[c][gram[:-1]] = follow[c].get(gram[:-1], 0) + k
+
+    def chance(c, gram):
+        low = chance(c, gram[1:]) if len(gram) > 1 else 1 / alphabet
+        return (counts[c].get(gram, 0) + strength * low) / (follow[c].get(gram[:-1], 0) + strength)
+
+    return [np.mean([np.log(chance(True, t[at - order:at + 1]) / chance(False, t[at - order:at + 1])) for at in range(order, len(t))]) for t in texts]
+
+
+def test_url_scores_against_exact_counts(spark):
+    """More n-grams than any fixed count of cells keeps apart; one that training lacks backs off."""
+    draw = np.random.default_rng(4)
+    name = lambda: "".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 30))
+    urls = [f"http://s.com/{name()}" for _ in range(900)] + [f"http://s.net/fr/{name()}" for _ in range(900)] + [f"http://q.org/{name()}" for _ in range(60)]
+    urls += [urls[-1], urls[0], None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    text = lambda u: "    " + (u or "").removeprefix("http://") + " "
+    back = spark.createDataFrame([(i, text(u)) for i, u in enumerate(urls)], "i long, t string").where("pmod(xxhash64(t), 5) = 0")
+    kept_back = {r.i for r in back.collect()}
+    train = [(text(u), ".com/" in u) for i, u in enumerate(urls) if u and "q.org" not in u and i not in kept_back]
+    got = {r.page_id: r.score for r in url_verdicts(pages).collect()}
+    assert len(got) == len(urls)
+    assert np.allclose([got[i] for i in range(len(urls))], _brute_scores(train, [text(u) for u in urls]), rtol=0, atol=1e-9)
+
+
 def _digest(x):
     return base64.b32encode(hashlib.sha1(x).digest()).decode()
 
