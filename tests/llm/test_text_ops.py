@@ -51,6 +51,18 @@ def test_far_text_is_rejected(spark):
     assert got[1000].rejected and not any(r.rejected for d, r in got.items() if d != 1000)
 
 
+@pytest.mark.parametrize("size", [5, 80])
+def test_short_far_text_is_rejected(spark, size):
+    """Where labelled texts are as short, by the floor of their length; elsewhere by its letters."""
+    draw = np.random.default_rng(0)
+    docs = [(i, " ".join(draw.choice(["the", "and", "thing", "other", "weather"], size)), "en") for i in range(60)]
+    docs += [(100 + i, " ".join(draw.choice(["das", "ist", "schön", "nicht", "wetter"], size)), "de") for i in range(60)]
+    docs += [(1000, "жук лиса ёлка жук лиса ёлка", None), (1001, "the other thing", None), (1002, "nicht schön", None)]
+    docs += [(1003, "aksu okka uska koak sukka", None)] if size == 5 else []
+    got = {r.doc_id: r for r in identify(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    assert {d for d, r in got.items() if r.rejected} == {1000, 1003} & set(got)
+
+
 def test_letters():
     assert bytes(letters("A1b--É").astype("uint8")).decode("latin1") == " a b é "
     assert letters("").tolist() == letters(" 1").tolist() == [32]
