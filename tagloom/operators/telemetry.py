@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lookup import first_registration
-from .ordering import SLICE_BITS, carried, slice_of, with_running_total
+from .ordering import SLICE_BITS, carried, slice_of, with_previous, with_running_total
 from .pipeline import ALIVE
 
 
@@ -39,10 +39,19 @@ def health_summary(statuses: DataFrame, counters: DataFrame, pending: DataFrame,
              depth.alias("queued_batches"), "readers")
 
 
-def distinct_events(status: DataFrame, *, order: str = "seq") -> DataFrame:
-    """Status events without repeated arrivals: of rows alike in all but ``order`` the first."""
-    same = [c for c in status.columns if c != order]
-    return status.groupBy(*same).agg(F.min(order).alias(order)).select(*status.columns)
+def distinct_events(status: DataFrame, *, order: str = "seq", clock: str = "ts", slice_bits: int = SLICE_BITS) -> DataFrame:
+    """Status events without those that only arrive again.
+
+    An event is a repeat when the one directly before it of the same reader has the same instant and is alike in all
+    else but ``order``.  Where the table or an event has no instant nothing tells a repeat from a new event, so
+    it stays.
+    """
+    if clock not in status.columns:
+        return status
+    same = F.struct(*[c for c in status.columns if c != order])
+    staged = with_previous(status, [F.struct("reader_id")], same, "_before", order=order, slice_bits=slice_bits)
+    repeat = F.col(clock).isNotNull() & same.eqNullSafe(F.col("_before"))
+    return staged.where(~repeat).select(*status.columns)
 
 
 def backoff_ms(attempt: Column, jitter: Column | None = None, *, base_ms: float = 1000.0,
@@ -57,15 +66,16 @@ def backoff_ms(attempt: Column, jitter: Column | None = None, *, base_ms: float
 
 
 def reconnect_plan(status: DataFrame, *, jitter: Column | None = None, base_ms: float = 1000.0,
-                   max_ms: float = 60000.0, order: str = "seq", slice_bits: int = SLICE_BITS) -> DataFrame:
+                   max_ms: float = 60000.0, order: str = "seq", clock: str = "ts",
+                   slice_bits: int = SLICE_BITS) -> DataFrame:
     """Reconnecting events with their ``attempt`` since the reader was last connected and the ``delay_ms``.
 
     Attempts are counted inside slices of the event order; one summary row per
-    (reader, slice) carries the count across slices.  Events that arrive again,
-    alike in all but ``order``, count once.
+    (reader, slice) carries the count across slices.  An event that arrives
+    again right after itself counts once.
     """
     trying = F.col("new_state") == "Reconnecting"
-    status = distinct_events(status, order=order)
+    status = distinct_events(status, order=order, clock=clock, slice_bits=slice_bits)
     staged = status.withColumn("_slice", slice_of(order, slice_bits))
     within = Window.partitionBy("reader_id", "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     counted = staged.withColumn("_tries", F.count_if(trying).over(within)).withColumn(

@@ -290,10 +290,15 @@ SELECT (SELECT count(*) FROM last WHERE new_state = 'Connected') AS connected_re
     (SELECT count(*) FROM (SELECT DISTINCT CAST(batch_id AS BIGINT) + 1 AS id FROM batched)
      WHERE id % 4 = 0 OR id % 3 = 0) AS queued_batches,
     CAST((SELECT count(*) FROM known) AS INTEGER) AS listed_readers"""
-RECONNECTS = f"""WITH {STATUS}, n AS (SELECT s.seq, s.reader_id, (SELECT count(*) FROM status p
+RECONNECTS = f"""WITH {STATUS},
+coarse AS (SELECT seq * 2 AS seq, CAST(floor(epoch(ts) / 43200) AS BIGINT) AS half, reader_id, new_state FROM status),
+doubled AS (SELECT * FROM coarse UNION ALL SELECT seq + 1 AS seq, half, reader_id, new_state FROM coarse WHERE seq % 6 = 0),
+events_once AS (SELECT seq, reader_id, new_state FROM doubled
+    QUALIFY row(half, new_state) IS DISTINCT FROM lag(row(half, new_state)) OVER (PARTITION BY reader_id ORDER BY seq)),
+n AS (SELECT s.seq, s.reader_id, (SELECT count(*) FROM events_once p
     WHERE p.reader_id = s.reader_id AND p.new_state = 'Reconnecting' AND p.seq <= s.seq AND p.seq > coalesce(
-        (SELECT max(c.seq) FROM status c WHERE c.reader_id = s.reader_id AND c.new_state = 'Connected' AND c.seq < s.seq), -1))
-    AS attempt FROM status s WHERE s.new_state = 'Reconnecting')
+        (SELECT max(c.seq) FROM events_once c WHERE c.reader_id = s.reader_id AND c.new_state = 'Connected' AND c.seq < s.seq), -1))
+    AS attempt FROM events_once s WHERE s.new_state = 'Reconnecting')
 SELECT seq, reader_id, attempt, CAST(least(1000 * pow(2, least(attempt - 1, 10)), 60000) AS DOUBLE) AS delay_ms FROM n"""
 FEED = f"WITH {CHAIN} SELECT seq, 'raw' AS feed FROM reads UNION ALL SELECT seq, 'filtered' AS feed FROM survivors"
 LATEST = f"""WITH {READS} SELECT seq, epc, reader_id, epoch_us(eval_ts) AS eval_ts FROM reads ORDER BY seq DESC LIMIT 50"""

@@ -415,7 +415,11 @@ def health_summary(spark, sf):
 
 
 def reconnect_plan(spark, sf):
-    return M.reconnect_plan(T.status(spark, sf)).select("seq", "reader_id", "attempt", "delay_ms")
+    """Events of a reader clock that counts half days; every third one arrives twice."""
+    status = T.status(spark, sf).withColumns({
+        "ts": F.timestamp_seconds(F.floor(F.unix_timestamp("ts") / (12 * HOUR)) * (12 * HOUR)), "seq": F.col("seq") * 2})
+    again = status.where(F.col("seq") % 6 == 0).withColumn("seq", F.col("seq") + 1)
+    return M.reconnect_plan(status.unionByName(again)).select("seq", "reader_id", "attempt", "delay_ms")
 
 
 def telemetry_feed(spark, sf):

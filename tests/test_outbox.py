@@ -130,6 +130,25 @@ def test_attempts_since_last_connection(spark, slice_bits):
     assert {r.seq: r.attempt for r in reconnect_plan(df, slice_bits=slice_bits).collect()} == expected
 
 
+def _events(spark, states, at=AT):
+    return spark.createDataFrame([(n, at, "a", s) for n, s in enumerate(states, 1)],
+                                 "seq long, ts timestamp, reader_id string, new_state string")
+
+
+@pytest.mark.parametrize("slice_bits", [22, 1])
+def test_events_of_one_instant_are_all_told_apart(spark, slice_bits):
+    df = _events(spark, ["Reconnecting", "Faulted", "Reconnecting", "Connected", "Reconnecting"])
+    assert {r.seq: r.attempt for r in reconnect_plan(df, slice_bits=slice_bits).collect()} == {1: 1, 3: 2, 5: 1}
+
+
+@pytest.mark.parametrize("slice_bits", [22, 1])
+def test_events_that_arrive_twice_count_once(spark, slice_bits):
+    df = _events(spark, ["Reconnecting", "Reconnecting", "Faulted", "Faulted", "Reconnecting", "Reconnecting", "Connected"])
+    assert {r.seq: r.attempt for r in reconnect_plan(df, slice_bits=slice_bits).collect()} == {1: 1, 5: 2}
+    unknown = df.withColumn("ts", F.lit(None).cast("timestamp"))
+    assert {r.seq: r.attempt for r in reconnect_plan(unknown, slice_bits=slice_bits).collect()} == {1: 1, 2: 2, 5: 3, 6: 4}
+
+
 def test_health(spark):
     registry = spark.createDataFrame([(1, "a", "llrp"), (2, "b", "zebra")], "ordinal long, reader_id string, provider_id string")
     status = spark.createDataFrame([(1, AT, "a", "Faulted"), (2, AT, "a", "Connected"), (3, AT, "x", "Connected")],
