@@ -56,3 +56,61 @@ r(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, e.y FROM r JOIN e ON
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x) c USING (doc_id)
 """
+
+# crc32 of a text of ASCII characters: the table of its 256 remainders, then a step for each character.
+_CRC_TABLE = """SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i::UBIGINT], list_transform(range(8), lambda z: 0::UBIGINT)),
+                lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS t"""
+
+
+def _crc(codes: str) -> str:
+    """SQL of the crc32 of a list of byte values, with the table as ``t``."""
+    return (f"xor(list_reduce(list_concat([4294967295::UBIGINT], {codes}), "
+            "lambda c, b: xor(t[(xor(c, b) & 255::UBIGINT)::BIGINT + 1], c >> 8)), 4294967295::UBIGINT)")
+
+
+def _merkle_tree(name: str, leaves: str) -> str:
+    """CTEs of the nodes ``name`` of trees and their siblings, from leaves (k, idx, n, d)."""
+    return f"""
+{name}(k, lvl, idx, n, d) AS (
+  SELECT k, 0, idx, n, d FROM {leaves}
+  UNION ALL SELECT k, lvl + 1, idx // 8, (n + 7) // 8, sha256(string_agg(d, '' ORDER BY idx)) FROM {name} WHERE n > 1
+  GROUP BY k, lvl, idx // 8, n),
+{name}_sib AS (
+  SELECT a.k, a.lvl, a.idx, coalesce(string_agg(b.d, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l,
+         coalesce(string_agg(b.d, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM {name} a JOIN {name} b ON a.k = b.k AND a.lvl = b.lvl AND a.idx // 8 = b.idx // 8 WHERE a.n > 1 GROUP BY ALL)"""
+
+
+def _merkle_fold(name: str, tree: str, start: str) -> str:
+    """CTEs that fold the rows of ``start`` (id, k, idx, acc, sibs) up to the one node of their tree."""
+    return f"""
+{name}_steps(id, k, lvl, idx, acc, sibs) AS (
+  SELECT id, k, 0, idx, acc, sibs FROM {start}
+  UNION ALL SELECT f.id, f.k, f.lvl + 1, f.idx // 8, sha256(s.l || f.acc || s.r), f.sibs || s.l || s.r
+  FROM {name}_steps f JOIN {tree}_sib s ON s.k = f.k AND s.lvl = f.lvl AND s.idx = f.idx),
+{name} AS (SELECT id, k, max_by(acc, lvl) AS acc, max_by(sibs, lvl) AS sibs FROM {name}_steps GROUP BY id, k)"""
+
+
+def _field(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR) || ':' || {column}::VARCHAR, '-')"
+
+
+_LEAF = " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", "text")))
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CRC_ID = _crc("list_transform(range(length(doc_id::VARCHAR)), lambda i: ord(substr(doc_id::VARCHAR, i + 1, 1))::UBIGINT)")
+
+ORACLES["op11_merkle_manifest"] = f"""
+WITH RECURSIVE tab AS ({_CRC_TABLE}),
+docs AS (SELECT doc_id, coalesce('=' || lang, '') AS k, sha256({_LEAF}) AS d,
+                CASE WHEN {_CRC_ID} % 3 = 0 THEN sha256({_LEAF.replace(_field("text"), _field(_LOWER))}) END AS found FROM documents, tab),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, d) - 1 AS idx, count(*) OVER (PARTITION BY k) AS n FROM docs),
+{_merkle_tree("nodes", "leaves").strip()},
+subs AS (SELECT '' AS k, k AS name, row_number() OVER (ORDER BY k) - 1 AS idx, count(*) OVER () AS n, d FROM nodes WHERE n = 1),
+{_merkle_tree("tops", "subs").strip()},
+low AS (SELECT doc_id AS id, k, idx, coalesce(found, d) AS acc, '' AS sibs FROM leaves),
+{_merkle_fold("inner_fold", "nodes", "low").strip()},
+high AS (SELECT f.id, '' AS k, s.idx, f.acc, f.sibs FROM inner_fold f JOIN subs s ON s.name = f.k),
+{_merkle_fold("outer_fold", "tops", "high").strip()}
+SELECT doc_id, leaves.d AS leaf, subs.d AS subroot, root, sha256(sibs) AS proof_sha256, acc AS folded_root, acc = root AS verified
+FROM leaves JOIN subs ON subs.name = leaves.k JOIN outer_fold f ON f.id = doc_id, (SELECT d AS root FROM tops WHERE n = 1)
+"""

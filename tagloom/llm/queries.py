@@ -14,6 +14,7 @@ from .hmm import score_texts
 from .id_codec import id_round_trip
 from .lang_id import identify
 from .line_chunks import remove_repeats
+from .merkle import manifest, tampered_third
 from .minhash import near_components
 from .packing import pack
 from .url_filter import url_verdicts
@@ -68,7 +69,12 @@ def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(_table(spark, sf_dir, "documents"), tampered_third())
+
+
 QUERIES: dict[str, Query] = {
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op4_hidden_markov_lm": op4_hidden_markov_lm,
     "op5_circulant_minhash": op5_circulant_minhash,
     "op3_line_chunks": op3_line_chunks,
