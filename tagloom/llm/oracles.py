@@ -114,3 +114,28 @@ high AS (SELECT f.id, '' AS k, s.idx, f.acc, f.sibs FROM inner_fold f JOIN subs
 SELECT doc_id, leaves.d AS leaf, subs.d AS subroot, root, sha256(sibs) AS proof_sha256, acc AS folded_root, acc = root AS verified
 FROM leaves JOIN subs ON subs.name = leaves.k JOIN outer_fold f ON f.id = doc_id, (SELECT d AS root FROM tops WHERE n = 1)
 """
+
+_BYTES = """list_transform(range(length(hx) // 2), lambda i: (16 * (strpos('0123456789ABCDEF', substr(hx, 2 * i + 1, 1)) - 1)
+                + strpos('0123456789ABCDEF', substr(hx, 2 * i + 2, 1)) - 1)::UBIGINT)"""
+
+ORACLES["op13_partenum_variants"] = f"""
+WITH RECURSIVE tab AS ({_CRC_TABLE}),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS r FROM documents),
+lowered AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM runs WHERE length(r) >= 6),
+tallied AS (SELECT r, hex(encode(doc_id || ':' || r)) AS hx, count(*) AS m FROM lowered GROUP BY ALL),
+hashed AS (SELECT r, m, {_crc(_BYTES)}::BIGINT AS h FROM tallied, tab),
+typed AS (SELECT CASE WHEN h % 199 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, m FROM hashed),
+words AS (SELECT word, sum(m)::BIGINT AS n FROM typed WHERE length(word) >= 6 GROUP BY word HAVING sum(m) >= 5),
+cuts AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS short FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+pairs AS (
+  SELECT a.word AS x, b.word AS y FROM cuts a JOIN cuts b USING (i, short) WHERE a.word <> b.word
+  UNION SELECT a.word, b.word FROM cuts a JOIN words b ON a.short = b.word
+  UNION SELECT b.word, a.word FROM cuts a JOIN words b ON a.short = b.word),
+best AS (SELECT x, count(*) AS n_near, arg_min(row(y, n), row(-n, y)) AS b FROM pairs JOIN words ON word = y GROUP BY x),
+told AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN b[2] >= 5 * n THEN b[1] END AS form, CASE WHEN b[2] >= 5 * n THEN b[2] END AS form_n
+         FROM words LEFT JOIN best ON x = word),
+ends(word, last, step) AS (
+  SELECT word, word, 0 FROM told
+  UNION ALL SELECT e.word, t.form, step + 1 FROM ends e JOIN told t ON t.word = e.last WHERE t.form IS NOT NULL)
+SELECT told.word, form, root, n, n_near, form_n FROM told JOIN (SELECT word, max_by(last, step) AS root FROM ends GROUP BY word) USING (word)
+"""

@@ -18,6 +18,7 @@ from .merkle import manifest, tampered_third
 from .minhash import near_components
 from .packing import pack
 from .url_filter import url_verdicts
+from .variants import spelling_variants
 from .warc import archive_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,7 +74,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(_table(spark, sf_dir, "documents"), tampered_third())
 
 
+def op13_partenum_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"), slip=199)
+
+
 QUERIES: dict[str, Query] = {
+    "op13_partenum_variants": op13_partenum_variants,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op4_hidden_markov_lm": op4_hidden_markov_lm,
     "op5_circulant_minhash": op5_circulant_minhash,
