@@ -17,6 +17,7 @@ from .line_chunks import remove_repeats
 from .merkle import manifest, tampered_third
 from .minhash import near_components
 from .packing import pack
+from .page_content import extract_main_text
 from .url_filter import url_verdicts
 from .variants import spelling_variants
 from .warc import archive_round_trip
@@ -78,7 +79,12 @@ def op13_partenum_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(_table(spark, sf_dir, "documents"), slip=199)
 
 
+def op12_tree_model_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
+    "op12_tree_model_extract": op12_tree_model_extract,
     "op13_partenum_variants": op13_partenum_variants,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op4_hidden_markov_lm": op4_hidden_markov_lm,
