@@ -181,7 +181,7 @@ class ContentModel:
 
     def marginals(self, trees: Forest) -> np.ndarray:
         """Probability that a node holds main text."""
-        score = np.bincount(trees.at, self.weights[trees.feature], len(trees.parent))
+        score = np.bincount(trees.at, self.weights[trees.feature], len(trees.parent)).astype(float)
         return sum_product(trees, np.stack([np.zeros_like(score), score], axis=1), self.edges[trees.kind])[0][:, 1]
 
 

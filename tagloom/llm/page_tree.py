@@ -23,6 +23,7 @@ UNSEEN = frozenset("script style noscript template title iframe object noembed n
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp
     small span strike strong sub sup time tt u var""".split())
+FRAME = frozenset("html head body".split())  # the root stands for them
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # An element of the first kind ends an open one of these kinds, unless one of the walls stands between.
 _CLOSES = {
@@ -93,7 +94,7 @@ def parse(source: str) -> Page:
                 in_link = False
             elif tag == "br":
                 end_block()
-            elif tag not in INLINE and tag not in ("html", "body"):
+            elif tag not in INLINE and tag not in FRAME:
                 end_block()
                 above = next((i for i in range(len(open_nodes) - 1, 0, -1) if page.tag[open_nodes[i]] == tag), None)
                 if above is not None:
@@ -113,6 +114,8 @@ def parse(source: str) -> Page:
                 end_block()
             continue
         end_block()
+        if tag in FRAME:
+            continue
         if page.tag[open_nodes[-1]] == "p" or (tag in HEADINGS and page.tag[open_nodes[-1]] in HEADINGS):
             open_nodes.pop()
         kinds, walls = _CLOSES.get(tag, (frozenset(), frozenset()))

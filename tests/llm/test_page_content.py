@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def model():
-    return C.train(labelled_pages(200, 7), rounds=120)
+    return C.train(labelled_pages(300, 7), rounds=200)
 
 
 def blocks(source):
