@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import MemoEncoder, batches_of, open_file, put_file, scratch, written
+from .shared import Encoder, column_bytes, open_file, put_file, scratch, written
 
 #: Ids per word and bits per id by selector; fixed values of the format.
 COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], dtype=np.int64)
@@ -172,17 +172,16 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, *, key: str = "doc_i
     ordered = base.repartitionByRange(parts, "id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = MemoEncoder.of_worker(tokenizer, keep_space)
-        end = int(end_id).to_bytes(4, "little")
+        coder = Encoder(tokenizer, keep_space)
         keys, none, lengths, blocks = [], [], [], []
         rest = np.empty(0, "<u4")
         for batch in batches:
-            for ids, texts in batches_of([c.to_pylist() for c in batch.columns], batch_bytes, 1):
-                coded = [c + end for c in coder.encode(texts)]
-                keys += [i or 0 for i in ids]
-                none += [i is None for i in ids]
-                lengths += [len(c) // 4 for c in coded]
-                rest = np.concatenate([rest, np.frombuffer(b"".join(coded), "<u4")])
+            own = batch.column(0).to_pylist()
+            keys += [i or 0 for i in own]
+            none += [i is None for i in own]
+            for _, _, ids, edges in coder.documents(column_bytes(batch.column(1)), end_id, batch_bytes):
+                lengths += np.diff(edges).tolist()
+                rest = np.concatenate([rest, ids.astype("<u4")])
                 whole = len(rest) // BLOCK_IDS * BLOCK_IDS
                 blocks += blocks_of(rest[:whole].astype(np.uint64))
                 rest = rest[whole:]

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import column_bytes, fresh, slices, word_hashes, written
@@ -72,21 +72,30 @@ def band_keys(coordinates: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
-_FEATURES = "id long, n long, node binary, bands array<long>"
+MARKS = 8
+
+
+def marks(shingles: np.ndarray) -> np.ndarray:
+    """512 bits, each the parity of the shingles that fall on it: two sets differ in at least as many shingles as their bits do."""
+    bits = np.bincount((shingles % np.uint64(64 * MARKS)).astype(np.int64), minlength=64 * MARKS).astype(np.uint64) & np.uint64(1)
+    return (bits.reshape(MARKS, 64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+_FEATURES = "id long, words long, n long, node binary, bands array<long>"
 
 
 def _features(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             counts, sets, keys = [], [], []
-            for text in column_bytes(batch.column(1)):
+            for text in column_bytes(batch.column(2)):
                 shingles = shingle_set(text, size)
                 counts.append(len(shingles))
                 sets.append(xxhash.xxh3_128_digest(shingles.tobytes()))
                 keys.append(band_keys(signature(shingles, bands * rows), bands, rows).view(np.int64) if len(shingles) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["id", "n", "node", "bands"])
+                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(sets, pa.binary()),
+                 pa.array(keys, pa.list_(pa.int64()))], ["id", "words", "n", "node", "bands"])
 
     return run
 
@@ -97,7 +106,8 @@ def _sets(size: int):
             sets = [shingle_set(text, size) for text in column_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()),
-                 pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "shingles"])
+                 pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())),
+                 pa.array([marks(x) for x in sets], pa.list_(pa.int64()))], ["node", "shingles", "marks"])
 
     return run
 
@@ -145,6 +155,10 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a binary, b binary")
 
 
+def _text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.octet_length(F.col(text)))
+
+
 def near_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 80,
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs``: key, ``n_shingles``, ``component_id``, ``kept``.
@@ -156,9 +170,15 @@ def near_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     exactly 80 hundredths shares no band with probability 3 in a million for the default bands, one at 85 with 2 in a
     hundred million.
     """
+    judged = _judged(docs, key, text, size, percent, bands, rows)
+    return judged.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
+
+
+def _judged(docs: DataFrame, key: str, text: str, size: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """One row per document: ``id``, ``words`` (a hash of its text), ``n``, ``component``, ``kept``."""
     spark = docs.sparkSession
-    base = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    features = written(base.mapInArrow(_features(size, bands, rows), _FEATURES), "minhash-features")
+    base = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), _text_hash(text).alias("words"))
+    features = written(base.select("id", "words", "text").mapInArrow(_features(size, bands, rows), _FEATURES), "minhash-features")
     usable = features.where(F.col("id").isNotNull() & (F.col("n") > 0))
     reps = written(usable.groupBy("node").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"),
                                               F.first("bands").alias("bands")), "minhash-classes")
@@ -174,7 +194,7 @@ def near_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     tested = placed.select(F.explode(F.array(pair("node", "hub"), pair("node", "other"))).alias("p")).select("p.*").where("a <> b").distinct()
     needed = placed.select("node").distinct().join(reps, "node").select(F.col("rep").alias("id")).distinct()
     sets = written(base.join(needed.hint("shuffle_hash"), "id", "left_semi").select("id", "text")
-                   .mapInArrow(_sets(size), "node binary, shingles array<long>").dropDuplicates(["node"]), "minhash-sets")
+                   .mapInArrow(_sets(size), "node binary, shingles array<long>, marks array<long>").dropDuplicates(["node"]), "minhash-sets")
     first = written(_linked(tested, sets, percent), "near-links")
     labels = components(spark, first)
     # Buckets in which more than one component is left, and who is in them.
@@ -187,17 +207,19 @@ def near_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     smallest = linked.groupBy("label").agg(F.min("rep").alias("component"))
     alone = reps.where("copies > 1").join(final, "node", "left_anti").select("node", F.col("rep").alias("component"))
     known = written(linked.join(smallest, "label").select("node", "component").unionByName(alone), "near-components")
-    out = features.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("node")).alias("node")).join(known, "node", "left")
+    out = features.select("id", "words", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("node")).alias("node")).join(known, "node", "left")
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return out.select("id", "words", "n", component.alias("component"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that their component keeps."""
-    other, = fresh(docs, "other")
-    gone = near_components(docs, key=key, text=text, **options).where(~F.col("kept")).select(F.col(key).alias(other)).distinct()
-    return docs.join(gone, F.col(key) == F.col(other), "left_anti")
+def keep_one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 80,
+                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The rows of ``docs`` that their component keeps.  Where a key is repeated, each row goes or stays by its own text."""
+    other, words, own = fresh(docs, "other", "words", "own")
+    gone = _judged(docs, key, text, size, percent, bands, rows).where(~F.col("kept")).select(
+        F.col("id").alias(other), F.col("words").alias(words)).distinct()
+    staged = docs.withColumn(own, _text_hash(text))
+    return staged.join(gone, (F.col(key) == F.col(other)) & (F.col(own) == F.col(words)), "left_anti").drop(own)
 
 
 def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
@@ -207,17 +229,24 @@ def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     one and j of the other.  What they share is then at most 1 + min(m - i, n - j), which sets that are similar enough
     must reach; so places beyond a short prefix need not be looked at, and a row that fails is no first shared shingle
     of a pair that counts.
+
+    Sets that are similar enough also differ in few shingles, and so in few of their ``marks``; the join asks for that
+    too, so that only pairs come out of it which mostly are links, however many rows share a shingle.
     """
     each = sets.select(F.col("node").alias("id"), "label", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     often = each.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
     ranked = each.join(often, "s").groupBy("id", "label", "n").agg(
         F.array_sort(F.collect_list(F.struct("df", "s"))).alias("r"))
     lead = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    prefix = ranked.select("id", "label", "n", F.posexplode(F.slice("r", F.lit(1), lead.cast("int"))).alias("at", "e")).where(
+    places = ranked.select("id", "label", "n", F.posexplode(F.slice("r", F.lit(1), lead.cast("int"))).alias("at", "e")).where(
         "e.df > 1").select("id", "label", "n", "at", F.col("e.s").alias("s"))
-    a = prefix.select("s", *[F.col(c).alias(f"{c}_a") for c in ("id", "label", "n", "at")])
-    b = prefix.select("s", *[F.col(c).alias(f"{c}_b") for c in ("id", "label", "n", "at")])
+    bits = [f"m{i}" for i in range(MARKS)]
+    prefix = places.join(sets.select(F.col("node").alias("id"), *[F.col("marks")[i].alias(m) for i, m in enumerate(bits)]), "id")
+    a = prefix.select("s", *[F.col(c).alias(f"{c}_a") for c in ("id", "label", "n", "at", *bits)])
+    b = prefix.select("s", *[F.col(c).alias(f"{c}_b") for c in ("id", "label", "n", "at", *bits)])
+    differ = sum((F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in bits), F.lit(0))
+    alike = differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
     most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))  # places count from 0
     enough = most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
-    return a.join(b, "s").where((F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b")) & enough).select(
+    return a.join(b, "s").where((F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b")) & enough & alike).select(
         F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import MemoEncoder, batches_of
+from .shared import Encoder, column_bytes
 
 _PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 SEQUENCES_PER_TASK = 1 << 40  # sequence ids of a task are its own
@@ -101,8 +101,7 @@ def pack(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "t
     base = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = MemoEncoder.of_worker(tokenizer, True)
-        end = int(end_id).to_bytes(4, "little")
+        coder = Encoder(tokenizer, True)
         free = TaskContext.get().partitionId() * SEQUENCES_PER_TASK
         whole: list[tuple] = []
         small: list[tuple] = []
@@ -129,10 +128,11 @@ def pack(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "t
             return page
 
         for batch in batches:
-            for ids, texts in batches_of([c.to_pylist() for c in batch.columns], batch_bytes, 1):
-                for doc, coded in zip(ids, coder.encode(texts)):
-                    coded += end
-                    n = len(coded) // 4
+            keys = batch.column(0).to_pylist()
+            for start, end, ids, edges in coder.documents(column_bytes(batch.column(1)), end_id, batch_bytes):
+                flat = memoryview(ids.astype("<u4").tobytes())
+                for doc, begin, n in zip(keys[start:end], edges[:-1].tolist(), np.diff(edges).tolist()):
+                    coded = flat[4 * begin:4 * (begin + n)]
                     for at in range(0, n // capacity * capacity, capacity):
                         whole.append((doc, at, capacity, zlib.crc32(coded[4 * at:4 * (at + capacity)]), n))
                     first, rest = n // capacity * capacity, n % capacity

@@ -105,29 +105,34 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return [next(n for i in range(10_000) if (n := f"_{w}{i or ''}").lower() not in taken) for w in wanted]
 
 
-# White space as the pre-tokenizers see it, letters and marks that they surely tell apart.
-_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-_MARK = r"!-/:-@\[-`{-~0-9"
+# White space beyond ASCII as the pre-tokenizers see it, in UTF-8.
+_WIDE_SPACE = re.compile(b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_OTHER, _SPACE, _MARK, _LETTER = range(4)
 
 
-class MemoEncoder:
-    """Token ids by the tokenizers library, each piece of text encoded once.
+def _byte_kinds() -> np.ndarray:
+    """What a byte is: white space, a letter, a mark that surely parts from a letter before it, or anything else."""
+    kinds = np.full(256, _OTHER, np.uint8)
+    kinds[[9, 10, 11, 12, 13, 32]] = _SPACE
+    kinds[0x21:0x7F] = _MARK
+    for first in b"Aa":
+        kinds[first:first + 26] = _LETTER
+    return kinds
 
-    A text is cut where every pre-tokenizer cuts it, whatever stands around: before white space and between a
-    letter and a mark.  So the ids of a text are those of its pieces in a row, and a piece that was met before costs a
-    lookup.  Two generations of pieces bound the memory.
+
+class Encoder:
+    """Token ids by the tokenizers library, each distinct piece of text in a batch encoded once.
+
+    A text is cut where every pre-tokenizer cuts it, whatever stands around: at white space, and after the first letters of
+    a word where a mark follows.  So the ids of a text are those of its pieces in a row.  Cuts are found on
+    the bytes of all texts at once, pieces are numbered by a dictionary of the batch, and their ids gathered.
     """
 
-    def __init__(self, path: str, keep_space: bool, limit: int = 250_000):
+    def __init__(self, path: str, keep_space: bool):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        lead = f"[{_SPACE}]*" if keep_space else ""
-        tail = f"|[{_SPACE}]+" if keep_space else ""
-        self.pieces = re.compile(f"{lead}[{_LETTER}]+(?=[{_MARK}{_SPACE}]|\\Z)|{lead}[^{_SPACE}]+{tail}").findall
-        self.limit, self.young, self.old = limit, {}, {}
-        self.word = re.compile(f"[{_LETTER}]+").fullmatch
+        self.tokenizer, self.keep_space, self.kinds = Tokenizer.from_file(path), keep_space, _byte_kinds()
+        self.word = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
         vocabulary = self.tokenizer.get_vocab()
         ends = [i for t, i in vocabulary.items() if t.endswith("</w>")]
         self.ends = None  # of a vocabulary that marks the ends of words: which ids do
@@ -135,56 +140,114 @@ class MemoEncoder:
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[ends] = True
 
-    @classmethod
-    def of_worker(cls, path: str, keep_space: bool) -> MemoEncoder:
-        cache = worker_cache()
-        if (path, keep_space) not in cache:
-            cache[path, keep_space] = cls(path, keep_space)
-        return cache[path, keep_space]
-
-    def _each(self, pieces: list[str]) -> Iterable[tuple[str, bytes]]:
-        for piece, coded in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
-            yield piece, array("I", coded.ids).tobytes()
-
-    def _encode_new(self, pieces: list[str]) -> Iterable[tuple[str, bytes]]:
+    def _cuts(self, blob: bytes, edges: np.ndarray) -> np.ndarray:
+        """Where pieces begin in the texts between ``edges``, all put together in ``blob``."""
+        data = np.frombuffer(blob, np.uint8)
+        kinds = self.kinds[data]
+        # À to ÿ but for the two signs among them: C3 and a byte from 80 on.
+        first = np.flatnonzero(data[:-1] == 0xC3)
+        first = first[(data[first + 1] != 0x97) & (data[first + 1] != 0xB7)]
+        kinds[first] = kinds[first + 1] = _LETTER
+        space = kinds == _SPACE
+        begin = np.empty(len(data), bool)
+        if self.keep_space:  # before white space, unless that only goes on
+            for wide in _WIDE_SPACE.finditer(blob):
+                space[wide.end() - 1] = True
+            begin[1:] = (kinds[1:] == _SPACE) & ~space[:-1]
+        else:
+            begin[1:] = space[1:] != space[:-1]
+        begin[edges[:-1][edges[:-1] < len(data)]] = True
+        # A mark right after letters, with nothing but letters since the white space in front of the piece.
+        marks = np.flatnonzero((kinds[1:] == _MARK) & (kinds[:-1] == _LETTER)) + 1
+        marks = marks[~begin[marks]]
+        at = np.flatnonzero(begin)
+        own = at[np.searchsorted(at, marks, side="right") - 1]
+        strange = np.cumsum((kinds != _LETTER) & (kinds != _SPACE), dtype=np.int32)
+        clear = strange[marks - 1] - strange[own] + ((kinds[own] != _LETTER) & (kinds[own] != _SPACE)) == 0
+        begin[marks[clear]] = True
+        return np.flatnonzero(begin)
+
+    def _each(self, pieces: list[str]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return [array("I", c.ids).tobytes() for c in coded]
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
         """Words in lines of many, which costs less than one by one; a token that ends a word tells them apart."""
         if self.ends is None:
-            yield from self._each(pieces)
-            return
-        words = [p for p in pieces if self.word(p)]
+            return self._each(pieces)
+        out: list[bytes] = [b""] * len(pieces)
+        words = [i for i, p in enumerate(pieces) if self.word(p)]
         lines = [words[i:i + 256] for i in range(0, len(words), 256)]
-        coded = self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)
+        coded = self.tokenizer.encode_batch_fast([" ".join([pieces[i] for i in x]) for x in lines], add_special_tokens=False)
+        others = [i for i, p in enumerate(pieces) if not self.word(p)]
         for line, ids in zip(lines, (np.array(c.ids, np.uint32) for c in coded)):
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(line) or ends[-1] != len(ids):
-                yield from self._each(line)
+                others += line
                 continue
             flat, at = ids.tobytes(), 0
-            for word, end in zip(line, (4 * ends).tolist()):
-                yield word, flat[at:end]
+            for i, end in zip(line, (4 * ends).tolist()):
+                out[i] = flat[at:end]
                 at = end
-        yield from self._each([p for p in pieces if not self.word(p)])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self.pieces(t) for t in texts]
-        young, old, missing = self.young, self.old, set()
-        for piece in set().union(*cut):
-            if piece not in young:
-                known = old.get(piece)
-                if known is None:
-                    missing.add(piece)
-                else:
-                    young[piece] = known
-        found = dict(young) if len(young) + len(missing) > self.limit else young
-        new = list(missing)
-        for at in range(0, len(new), 20_000):
-            found.update(self._encode_new(new[at:at + 20_000]))
-        out = [b"".join([found[p] for p in pieces]) for pieces in cut]
-        if len(found) > self.limit:
-            self.old, self.young = found if len(found) <= 2 * self.limit else young, {}
+        for i, ids in zip(others, self._each([pieces[i] for i in others])):
+            out[i] = ids
         return out
 
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (UTF-8) in a row, and where each text's begin and end."""
+        blob = b"".join(texts)
+        edges = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
+        if not blob:
+            return np.empty(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
+        cuts = self._cuts(blob, edges)
+        offsets = np.append(cuts, len(blob)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(blob)]).dictionary_encode()
+        number = pieces.indices.to_numpy()
+        known = self._pieces([p.decode() for p in pieces.dictionary.to_pylist()])
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        flat = np.frombuffer(b"".join(known), "<u4")
+        counts = sizes[number]
+        ends = np.cumsum(counts)
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[number] - (ends - counts), counts) + np.arange(ends[-1])]
+        return ids, np.concatenate([[0], ends])[np.searchsorted(cuts, edges)]
+
+    def documents(self, texts: list[bytes], end_id: int, max_bytes: int) -> Iterable[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Texts in batches of about ``max_bytes``: (from, to, ids with ``end_id`` after each text, where each begins and ends).
+
+        A text longer than that is encoded in parts, cut before a blank that follows a visible ASCII character, where every
+        pre-tokenizer cuts as well.
+        """
+        for start, end in ranges_of(texts, max_bytes):
+            if end - start == 1 and len(texts[start]) > 2 * max_bytes:
+                ids = np.concatenate([self.encode([part])[0] for part in _parts(texts[start], max_bytes)])
+                edges = np.array([0, len(ids)])
+            else:
+                ids, edges = self.encode(texts[start:end])
+            yield start, end, np.insert(ids, edges[1:], end_id), edges + np.arange(len(edges))
+
+
+_BLANK = re.compile(rb"(?<=[!-~])[ \t-\r]")
+
+
+def _parts(text: bytes, size: int) -> Iterable[bytes]:
+    at = 0
+    while blank := _BLANK.search(text, at + size):
+        yield text[at:blank.start()]
+        at = blank.start()
+    yield text[at:]
+
+
+def ranges_of(texts: list[bytes], max_bytes: int) -> Iterable[tuple[int, int]]:
+    """The numbers of texts in a row, of about ``max_bytes`` together, or one alone that is longer."""
+    start, size = 0, 0
+    for i, text in enumerate(texts):
+        if size and size + len(text) > max_bytes:
+            yield start, i
+            start, size = i, 0
+        size += len(text)
+    if start < len(texts):
+        yield start, len(texts)
+
 
 def batches_of(columns: list[list], max_bytes: int, text_at: int) -> Iterable[list[list]]:
     """The rows of equally long column lists in slices of about ``max_bytes`` of the text column."""

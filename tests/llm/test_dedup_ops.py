@@ -3,13 +3,14 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
-from messy import empty, messy, rows
+from messy import empty, messy, rows, words
 from pyspark.sql import functions as F
 
 from tagloom.llm.exact_dedup import exact_dedup, keep_first, merge_runs
 from tagloom.llm.line_chunks import cut_lines, remove_repeats, without
-from tagloom.llm.minhash import components, keep_one_of_each, near_components, shingle_set, signature
+from tagloom.llm.minhash import components, keep_one_of_each, marks, near_components, shingle_set, signature
 
 
 def _norm(text):
@@ -84,6 +85,22 @@ def test_near_components_of_messy_rows(spark, size):
     assert all(g.kept == (g.doc_id is None or g.doc_id == g.component_id) for g in got)
 
 
+def test_rows_of_one_id_go_or_stay_by_their_own_text(spark):
+    a, b = words(2, 60), words(99, 60)
+    docs = spark.createDataFrame([(8, a), (9, a), (9, b), (7, None), (None, a)], "doc_id long, text string")
+    left = sorted(((r.doc_id, r.text) for r in keep_one_of_each(docs, size=5).collect()), key=repr)
+    assert left == sorted([(8, a), (9, b), (7, None), (None, a)], key=repr)
+
+
+def test_marks_differ_no_more_than_sets():
+    numbers = np.random.default_rng(5)
+    for n in (0, 1, 40, 3000):
+        x = np.unique(numbers.integers(0, 2**64, n, np.uint64))
+        y = np.unique(np.concatenate([x[n // 5:], numbers.integers(0, 2**64, n // 7, np.uint64)]))
+        differ = sum(bin(int(v) & (2**64 - 1)).count("1") for v in marks(x) ^ marks(y))
+        assert differ <= len(np.setxor1d(x, y)) and (differ > 0) == (len(np.setxor1d(x, y)) > 0)
+
+
 def test_near_components_of_a_group_of_near_copies(spark):
     """Copies with edits of their own: hubs join most, the prefix filter finds what they leave."""
     import random

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from tagloom.llm.id_codec import COUNTS, WIDTHS, IdFile, decode, encode, id_round_trip, write_ids
 from tagloom.llm.packing import deal, difference, pack
-from tagloom.llm.shared import MemoEncoder
+from tagloom.llm.shared import Encoder
 
 WORD, BYTE = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 TRICKY = ["it's", "'s", "don't!x's", "a<|endoftext|>b", "<|startoftext|> x", "", " ", "  a  b  ", "\x1c!\x1cb", "é ́e", "a b c",
@@ -23,14 +23,33 @@ TRICKY = ["it's", "'s", "don't!x's", "a<|endoftext|>b", "<|startoftext|> x", "",
 @given(texts=st.lists(st.text(alphabet="ab 'st\n\t\x0b\x1c\x85\xa0.,!?09éßñ́中Σ😀<|_-", max_size=40), max_size=8))
 @settings(max_examples=60, deadline=None)
 def test_pieces_give_the_ids_of_the_whole_text(path, space, texts):
-    coder, plain = MemoEncoder.of_worker(path, space), _plain(path)
-    for got, text in zip(coder.encode(texts + TRICKY), texts + TRICKY):
-        assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    coder, plain = _coder(path, space), _plain(path)
+    ids, edges = coder.encode([t.encode() for t in texts + TRICKY])
+    for begin, end, text in zip(edges, edges[1:], texts + TRICKY):
+        assert ids[begin:end].tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize(("path", "space"), [(WORD, False), (BYTE, True)])
+@pytest.mark.parametrize("size", [1, 7, 40, 1000])
+def test_batches_and_parts_of_long_texts(path, space, size):
+    texts = ["x, y z\u2003 " * 30, "", "été\u00a0 l'an 2000", "a  b\n\n" * 20, *TRICKY, " "]
+    coder, plain = _coder(path, space), _plain(path)
+    seen = 0
+    for start, end, ids, edges in coder.documents([t.encode() for t in texts], 1, size):
+        assert start == seen
+        for begin, stop, text in zip(edges, edges[1:], texts[start:end]):
+            assert ids[begin:stop].tolist() == plain.encode(text, add_special_tokens=False).ids + [1]
+        seen = end
+    assert seen == len(texts)
 
 
 _known: dict = {}
 
 
+def _coder(path, space):
+    return _known.setdefault((path, space), Encoder(path, space))
+
+
 def _plain(path):
     return _known.setdefault(path, Tokenizer.from_file(path))
 
