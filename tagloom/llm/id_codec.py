@@ -160,7 +160,7 @@ class IdFile:
 
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, *, key: str = "doc_id", text: str = "text", end_id: int = 1,
-              keep_space: bool = False, batch_bytes: int = 4 << 20) -> DataFrame:
+              keep_space: bool = False, batch_bytes: int = 8 << 20) -> DataFrame:
     """Write files of ids in ascending order of the key and return ``(file, number, docs, ids)`` in file order.
 
     ``tokenizer`` is the path of a tokenizers file; ``end_id`` ends each document.  A null text is empty, a null key
