@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import column_bytes, fresh
+from .shared import column_bytes, fresh, tidy
 
 #: Fixed values of the contract: how many words are a window, and the pattern of a word.
 WINDOW = 10
@@ -260,7 +260,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, found: str, *, text: str =
     for block in range(blocks):
         rows = usable.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()
         items = [(r[0], r[1].encode()) for r in rows]
-        out = out.mapInArrow(_search(items, window, text, found, shard_words, shard_bytes), schema)
+        out = out.mapInArrow(tidy(_search(items, window, text, found, shard_words, shard_bytes)), schema)
     return out
 
 

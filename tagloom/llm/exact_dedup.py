@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ASCII_SPACE, fresh, written
+from .shared import ASCII_SPACE, fresh, tidy, written
 
 KEY_BYTES = 48  # SHA-256, then length and xxHash64 of the text as verification
 NO_ID = 2**63 - 1
@@ -157,7 +157,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", *, nor
     entries = base.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), F.concat(digest, check).alias("key"))
     rows = docs.select(F.count(F.lit(1))).first()[0]
     buckets = max(min_buckets, 1 << max(0, -(-rows // bucket_rows) - 1).bit_length())
-    runs = written(entries.mapInArrow(_runs(buckets, run_rows), _BLOCK), "digest-runs")
+    runs = written(entries.mapInArrow(tidy(_runs(buckets, run_rows)), _BLOCK), "digest-runs")
     last = runs.agg(F.max("run")).first()[0] or 0
     span, level = 1, runs.drop("ids")
     while span <= last or span == 1:

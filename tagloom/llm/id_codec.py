@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Encoder, column_bytes, open_file, put_file, scratch, written
+from .shared import Encoder, column_bytes, open_file, put_file, returned, scratch, slices, written
 
 #: Ids per word and bits per id by selector; fixed values of the format.
 COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], dtype=np.int64)
@@ -160,7 +160,7 @@ class IdFile:
 
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, *, key: str = "doc_id", text: str = "text", end_id: int = 1,
-              keep_space: bool = False, batch_bytes: int = 8 << 20) -> DataFrame:
+              keep_space: bool = False, batch_bytes: int = 4 << 20) -> DataFrame:
     """Write files of ids in ascending order of the key and return ``(file, number, docs, ids)`` in file order.
 
     ``tokenizer`` is the path of a tokenizers file; ``end_id`` ends each document.  A null text is empty, a null key
@@ -175,7 +175,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, *, key: str = "doc_i
         coder = Encoder(tokenizer, keep_space)
         keys, none, lengths, blocks = [], [], [], []
         rest = np.empty(0, "<u4")
-        for batch in batches:
+        for batch in slices(batches, 4000):
             own = batch.column(0).to_pylist()
             keys += [i or 0 for i in own]
             none += [i is None for i in own]
@@ -187,6 +187,8 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, *, key: str = "doc_i
                 rest = rest[whole:]
         if not keys:
             return
+        coder = None
+        returned()
         blocks += blocks_of(rest.astype(np.uint64))
         number = TaskContext.get().partitionId()
         name = f"{folder}/part-{number:06d}.s8b"

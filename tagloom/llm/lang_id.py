@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh, in_fold, written
+from .shared import fresh, in_fold, tidy, written
 
 UNDETERMINED = "und"
 
@@ -163,7 +163,7 @@ def train(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang:
     spark = labelled.sparkSession
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("draw"))
-    found = rows.select("text").mapInArrow(_document_frequency(settings), "cell long, docs long").groupBy("cell").agg(F.sum("docs"))
+    found = rows.select("text").mapInArrow(tidy(_document_frequency(settings)), "cell long, docs long").groupBy("cell").agg(F.sum("docs"))
     seen = {r[0]: r[1] for r in found.collect()}  # a row per cell
     total = seen.pop(-1, 0)
     known = frozenset(chr(-2 - cell) for cell in seen if cell < -1)
@@ -195,7 +195,7 @@ def train(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang:
         return pd.DataFrame({"lang": group["lang"].iloc[0], "centroid": [c.tobytes() for c in centre],
                              "low": [low.astype("<f8").tobytes()] * len(centre)})
 
-    sample = drawn.mapInArrow(vectorise, "lang string, draw long, vector binary, grams long")
+    sample = drawn.mapInArrow(tidy(vectorise), "lang string, draw long, vector binary, grams long")
     fitted = written(sample.groupBy("lang").applyInPandas(cluster, "lang string, centroid binary, low binary"), "lang-centroids")
     got = fitted.orderBy("lang", "centroid").collect()  # a few rows per language
     low = np.full(LENGTH_CLASSES, np.inf)
@@ -227,7 +227,7 @@ def with_language(docs: DataFrame, model: LangModel, verdict: str, *, text: str
             told = [{"lang": a, "score": s, "rejected": r} for a, s, r in held.value.judge(batch.column(text).to_pylist())]
             yield batch.set_column(batch.schema.get_field_index(verdict), verdict, pa.array(told, arrow))
 
-    return out.mapInArrow(judge, out.schema)
+    return out.mapInArrow(tidy(judge), out.schema)
 
 
 def identify(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", held_out: tuple[int, int] = (3, 1),

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import column_bytes, fresh, slices, word_hashes, written
+from .shared import column_bytes, fresh, slices, tidy, word_hashes, written
 
 BANDS, ROWS = 32, 5
 #: Odd multipliers that mix word hashes into shingle hashes.
@@ -152,7 +152,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a binary, b binary")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(tidy(compare), "a binary, b binary")
 
 
 def _text_hash(text: str) -> Column:
@@ -178,7 +178,7 @@ def _judged(docs: DataFrame, key: str, text: str, size: int, percent: int, bands
     """One row per document: ``id``, ``words`` (a hash of its text), ``n``, ``component``, ``kept``."""
     spark = docs.sparkSession
     base = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), _text_hash(text).alias("words"))
-    features = written(base.select("id", "words", "text").mapInArrow(_features(size, bands, rows), _FEATURES), "minhash-features")
+    features = written(base.select("id", "words", "text").mapInArrow(tidy(_features(size, bands, rows)), _FEATURES), "minhash-features")
     usable = features.where(F.col("id").isNotNull() & (F.col("n") > 0))
     reps = written(usable.groupBy("node").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"),
                                               F.first("bands").alias("bands")), "minhash-classes")
@@ -194,7 +194,7 @@ def _judged(docs: DataFrame, key: str, text: str, size: int, percent: int, bands
     tested = placed.select(F.explode(F.array(pair("node", "hub"), pair("node", "other"))).alias("p")).select("p.*").where("a <> b").distinct()
     needed = placed.select("node").distinct().join(reps, "node").select(F.col("rep").alias("id")).distinct()
     sets = written(base.join(needed.hint("shuffle_hash"), "id", "left_semi").select("id", "text")
-                   .mapInArrow(_sets(size), "node binary, shingles array<long>, marks array<long>").dropDuplicates(["node"]), "minhash-sets")
+                   .mapInArrow(tidy(_sets(size)), "node binary, shingles array<long>, marks array<long>").dropDuplicates(["node"]), "minhash-sets")
     first = written(_linked(tested, sets, percent), "near-links")
     labels = components(spark, first)
     # Buckets in which more than one component is left, and who is in them.

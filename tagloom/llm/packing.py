@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Encoder, column_bytes
+from .shared import Encoder, column_bytes, returned, slices
 
 _PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 SEQUENCES_PER_TASK = 1 << 40  # sequence ids of a task are its own
@@ -90,7 +90,7 @@ def _page(pieces: list[tuple], sequence: np.ndarray, offset: np.ndarray) -> pa.R
 
 
 def pack(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", capacity: int = 2048,
-         piece: int = 256, shard_pieces: int = 2048, end_id: int = 1, batch_bytes: int = 8 << 20) -> DataFrame:
+         piece: int = 256, shard_pieces: int = 2048, end_id: int = 1, batch_bytes: int = 4 << 20) -> DataFrame:
     """One row per piece: ``doc_id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``.
 
     A document's ids are those of its whole text (null: none) and ``end_id``.  Of its ids, whole windows go first;
@@ -127,7 +127,7 @@ def pack(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "t
             free += int(used[-1]) + 1
             return page
 
-        for batch in batches:
+        for batch in slices(batches, 4000):
             keys = batch.column(0).to_pylist()
             for start, end, ids, edges in coder.documents(column_bytes(batch.column(1)), end_id, batch_bytes):
                 flat = memoryview(ids.astype("<u4").tobytes())
@@ -147,5 +147,7 @@ def pack(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "t
             yield shard(len(small))
         if whole:
             yield whole_windows()
+        coder = None
+        returned()
 
     return base.mapInArrow(fill, _PIECES)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import sys
 import tempfile
 import uuid
 from array import array
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -79,12 +81,29 @@ class WordHashes(dict):
     """xxHash64 of each word met lately, by the word; bounded, and emptied when it is full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 150_000:
+        if len(self) >= 60_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
 
+def returned() -> None:
+    """Give memory that freed values leave behind back to the system; workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(function: Callable) -> Callable:
+    """A function over record batches that gives its memory back when its task ends."""
+    def run(batches):
+        yield from function(batches)
+        returned()
+    return run
+
+
 def word_hashes(text: bytes) -> np.ndarray:
     """64-bit hashes of the words, A-Z lower-cased, parted by ASCII white space."""
     known = worker_cache().setdefault("word hashes", WordHashes())
@@ -108,6 +127,7 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
 # White space beyond ASCII as the pre-tokenizers see it, in UTF-8.
 _WIDE_SPACE = re.compile(b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 _OTHER, _SPACE, _MARK, _LETTER = range(4)
+MET_PIECES = 120_000  # that an encoder remembers
 
 
 def _byte_kinds() -> np.ndarray:
@@ -132,6 +152,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep_space, self.kinds = Tokenizer.from_file(path), keep_space, _byte_kinds()
+        self.met: dict[str, bytes] = {}  # pieces of earlier batches
         self.word = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
         vocabulary = self.tokenizer.get_vocab()
         ends = [i for t, i in vocabulary.items() if t.endswith("</w>")]
@@ -165,11 +186,14 @@ class Encoder:
         strange = np.cumsum((kinds != _LETTER) & (kinds != _SPACE), dtype=np.int32)
         clear = strange[marks - 1] - strange[own] + ((kinds[own] != _LETTER) & (kinds[own] != _SPACE)) == 0
         begin[marks[clear]] = True
-        return np.flatnonzero(begin)
+        return np.flatnonzero(begin).astype(np.int32)
 
     def _each(self, pieces: list[str]) -> list[bytes]:
-        coded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [array("I", c.ids).tobytes() for c in coded]
+        out: list[bytes] = []
+        for at in range(0, len(pieces), 10_000):  # the library holds far more of a piece than its ids
+            coded = self.tokenizer.encode_batch_fast(pieces[at:at + 10_000], add_special_tokens=False)
+            out += [array("I", c.ids).tobytes() for c in coded]
+        return out
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """Words in lines of many, which costs less than one by one; a token that ends a word tells them apart."""
@@ -178,9 +202,9 @@ class Encoder:
         out: list[bytes] = [b""] * len(pieces)
         words = [i for i, p in enumerate(pieces) if self.word(p)]
         lines = [words[i:i + 256] for i in range(0, len(words), 256)]
-        coded = self.tokenizer.encode_batch_fast([" ".join([pieces[i] for i in x]) for x in lines], add_special_tokens=False)
+        coded = self._each([" ".join([pieces[i] for i in x]) for x in lines])
         others = [i for i, p in enumerate(pieces) if not self.word(p)]
-        for line, ids in zip(lines, (np.array(c.ids, np.uint32) for c in coded)):
+        for line, ids in zip(lines, (np.frombuffer(c, np.uint32) for c in coded)):
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(line) or ends[-1] != len(ids):
                 others += line
@@ -200,15 +224,24 @@ class Encoder:
         if not blob:
             return np.empty(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
         cuts = self._cuts(blob, edges)
-        offsets = np.append(cuts, len(blob)).astype(np.int32)
+        offsets = np.append(cuts, np.int32(len(blob)))
         pieces = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(blob)]).dictionary_encode()
         number = pieces.indices.to_numpy()
-        known = self._pieces([p.decode() for p in pieces.dictionary.to_pylist()])
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        words = pieces.dictionary.cast(pa.string()).to_pylist()
+        new = [w for w in words if w not in self.met]
+        coded_now = dict(zip(new, self._pieces(new)))
+        known = [coded_now[w] if w in coded_now else self.met[w] for w in words]
+        if len(self.met) + len(new) <= MET_PIECES:
+            self.met |= coded_now
+        elif len(words) <= MET_PIECES:
+            self.met = dict(zip(words, known))
+        sizes = np.fromiter(map(len, known), np.int32, len(known)) // 4
         flat = np.frombuffer(b"".join(known), "<u4")
         counts = sizes[number]
-        ends = np.cumsum(counts)
-        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[number] - (ends - counts), counts) + np.arange(ends[-1])]
+        ends = np.cumsum(counts, dtype=np.int32)
+        place = np.repeat((np.cumsum(sizes, dtype=np.int32) - sizes)[number] - (ends - counts), counts)
+        place += np.arange(ends[-1], dtype=np.int32)
+        ids = flat[place]
         return ids, np.concatenate([[0], ends])[np.searchsorted(cuts, edges)]
 
     def documents(self, texts: list[bytes], end_id: int, max_bytes: int) -> Iterable[tuple[int, int, np.ndarray, np.ndarray]]:
