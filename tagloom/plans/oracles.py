@@ -49,15 +49,20 @@ FROM reads WHERE seq % 11 <> 0"""
 DECODED_REPORTS = f"""WITH {READS}
 SELECT CAST(floor(seq / 4) AS BIGINT) AS message_no, CAST(seq % 4 AS INTEGER) AS tag_no, epc, {_WHOLE_RSSI} AS rssi,
        antenna_port FROM reads"""
-CAPTURE_FRAMES = f"""WITH {READS},
+def _frames_of(messages: int, more: str = "") -> str:
+    return f"""WITH {READS},
 parts AS (SELECT seq, CAST(floor(seq / 4) AS BIGINT) AS m,
                  (CASE WHEN seq % 5 = 0 THEN '00F0001B00F100120060' ELSE '00F000168D' END) || epc || 'DA'
                  || lpad(hex(256 - CAST(floor(CAST(-rssi AS DOUBLE)) AS BIGINT)), 2, '0') || 'DD'
                  || lpad(hex(antenna_port), 4, '0') AS part FROM reads),
 bodies AS (SELECT m, string_agg(part, '' ORDER BY seq) AS body FROM parts GROUP BY m)
-SELECT concat('capture-', CAST(floor(m / 16) AS BIGINT)) AS path, m % 16 AS frame_no,
-       '043D' || lpad(hex(CAST(length(body) / 2 + 10 AS BIGINT)), 8, '0') || lpad(hex(m), 8, '0') || body AS message_hex
+SELECT concat('capture-', CAST(floor(m / {messages}) AS BIGINT)) AS path, m % {messages} AS frame_no,
+       '043D' || lpad(hex(CAST(length(body) / 2 + 10 AS BIGINT)), 8, '0') || lpad(hex(m), 8, '0') || body AS message_hex{more}
 FROM bodies"""
+
+
+CAPTURE_FRAMES = _frames_of(16)
+CAPTURE_FILES = _frames_of(1024, ", false AS truncated")
 VENDOR = f"WITH {READS} SELECT seq, reader_id, epc, {R2} AS rssi, antenna_port, tid FROM reads"
 LINES = f"""WITH chunks AS ({CHUNKS_SQL}),
 texts AS (SELECT stream_id, string_split(string_agg(data, '' ORDER BY chunk_no), chr(10)) AS parts FROM chunks
@@ -315,6 +320,11 @@ REGEX = f"""WITH {READS} SELECT seq, epc, substr(epc, 22, 1) = '0' AND substr(ep
 
 # -- streams
 
+CLOSED_SECONDS = f"""WITH {READS}, s AS (SELECT epoch_us(date_trunc('second', eval_ts)) AS second, count(*) AS reads FROM reads GROUP BY 1)
+SELECT * FROM s WHERE second + 1000000 <= (SELECT floor(max(epoch_us(eval_ts)) / 1000) * 1000 FROM reads) - 10000000"""
+LAST_STATES = f"""WITH {STATUS} SELECT reader_id, new_state AS state, epoch_us(ts) AS last_seen FROM status
+QUALIFY row_number() OVER (PARTITION BY reader_id ORDER BY seq DESC) = 1"""
+ENDED_LINES = LINES.replace("trim(line) AS line", "trim(line) AS line, false AS quarantined").replace("line <> '' OR ", "")
 CLOSED = f"""WITH {READS}, n AS (SELECT seq, {TICK} AS tick, row_number() OVER (PARTITION BY {TICK} ORDER BY seq) AS i FROM reads)
 SELECT seq, concat(tick, '-', CAST(floor((i - 1) / 20) AS BIGINT)) AS batch_id, (i - 1) % 20 + 1 AS batch_pos FROM n"""
 
@@ -324,6 +334,7 @@ ORACLES: dict[str, str] = {
     "decode_identium_frames": DECODED_FRAMES,
     "decode_llrp_reports": DECODED_REPORTS,
     "split_llrp_capture": CAPTURE_FRAMES,
+    "split_capture_files": CAPTURE_FILES,
     "decode_vendor_reports": VENDOR,
     "split_lines": LINES,
     "route_by_provider": ROUTED,
@@ -391,4 +402,7 @@ ORACLES: dict[str, str] = {
     "daily_unique_stream": DAILY,
     "filter_pipeline_stream": DROPS,
     "batch_stream": CLOSED,
+    "throughput_stream": CLOSED_SECONDS,
+    "reader_status_stream": LAST_STATES,
+    "split_lines_stream": ENDED_LINES,
 }

@@ -20,12 +20,15 @@ from ..operators import requests as R
 from ..operators import telemetry as M
 from ..operators.ordering import number_reads
 from ..schema import DailyRule, DispatchConfig, FilterConfig, MetadataRule, ScheduleRule, SlidingRule
+from ..sources import captures as SP
 from ..sources import frames as SF
 from ..sources import llrp as SL
 from ..sources import routing as SR
 from ..sources import text as ST
+from ..streaming import batches as SB
 from ..streaming import carry as SC
 from ..streaming import dedup as SD
+from ..streaming import live as SV
 from . import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +84,14 @@ def split_llrp_capture(spark, sf):
     return SL.split_llrp_capture(T.captures(spark, sf)).select("path", "frame_no", F.hex("message").alias("message_hex"))
 
 
+def split_capture_files(spark, sf):
+    """Captures of a thousand messages as files, each framed in many blocks."""
+    folder = SC.shared_folder(spark, "captures")
+    SP.write_captures(T.captures(spark, sf, 1024), folder)
+    return SP.split_capture_files(spark, folder, block_bytes=16_384).select(
+        F.element_at(F.split("path", "/"), -1).alias("path"), "frame_no", F.hex("message").alias("message_hex"), "truncated")
+
+
 def decode_vendor_reports(spark, sf):
     return SF.decode_vendor_reports(T.vendor_reports(spark, sf)).select(
         "seq", "reader_id", "epc", rounded("rssi"), "antenna_port", "tid")
@@ -476,8 +487,22 @@ def sliding_dedup_stream(spark, sf):
 
 
 def daily_unique_stream(spark, sf):
-    kept = _stored(SD.daily_unique_stream(T.reads_stream(spark, sf), SHIFT))
-    return kept.select("seq", "epc", shift_id(F.col("eval_ts"), KOLKATA, time(6)).alias("shift_id"))
+    return _stored(SD.daily_unique_stream(T.reads_stream(spark, sf), SHIFT)).select("seq", "epc", "shift_id")
+
+
+def throughput_stream(spark, sf):
+    return _stored(SV.throughput_stream(T.reads_stream(spark, sf))).select(micros("second"), "reads")
+
+
+def reader_status_stream(spark, sf):
+    folder = SC.shared_folder(spark, "stream")
+    SV.reader_status_stream(T.status_stream(spark, sf)).writeStream.outputMode("update").foreachBatch(
+        SV.upserts(f"{folder}/out")).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return SV.upserted(spark, f"{folder}/out", ["reader_id"]).select("reader_id", "state", micros("last_seen"))
+
+
+def split_lines_stream(spark, sf):
+    return _stored(SV.split_lines_stream(T.chunks_stream(spark, sf), longest=1000)).select("stream_id", "line_no", "line", "quarantined")
 
 
 def filter_pipeline_stream(spark, sf):
@@ -487,14 +512,12 @@ def filter_pipeline_stream(spark, sf):
 
 
 def batch_stream(spark, sf):
-    """Batches as the trigger closes them, and those that a shutdown flushes when the source has ended."""
+    """Batches as later ticks close them, and the open one when its timer goes off."""
     config = DispatchConfig(trigger_mode="hybrid", max_batch_size=BATCH_SIZE, period_ms=PERIOD_MS)
-    folder = SC.shared_folder(spark, "stream")
-    run = SC.batch_stream(config, f"{folder}/state", SC.parquet_sink(f"{folder}/out"), origin_us=ORIGIN_US)
-    query = SC.run_available(T.reads_stream(spark, sf), run, f"{folder}/checkpoint")
-    closed = spark.read.parquet(f"{folder}/out").drop("micro_batch")
-    flushed = SC.waiting_reads(spark, f"{folder}/state", query.lastProgress["batchId"])
-    return closed.unionByName(flushed).select("seq", "batch_id", "batch_pos")
+    folder, wait_ms = SC.shared_folder(spark, "stream"), 2000
+    SB.run_until_drained(SB.batch_stream(T.reads_stream(spark, sf), config, origin_us=ORIGIN_US, wait_ms=wait_ms),
+                         f"{folder}/out", f"{folder}/checkpoint", wait_ms=wait_ms)
+    return spark.read.parquet(f"{folder}/out").select("seq", "batch_id", "batch_pos")
 
 
 QUERIES: dict[str, Query] = {
@@ -503,6 +526,7 @@ QUERIES: dict[str, Query] = {
     "decode_identium_frames": decode_identium_frames,
     "decode_llrp_reports": decode_llrp_reports,
     "split_llrp_capture": split_llrp_capture,
+    "split_capture_files": split_capture_files,
     "decode_vendor_reports": decode_vendor_reports,
     "split_lines": split_lines,
     "route_by_provider": route_by_provider,
@@ -570,4 +594,7 @@ QUERIES: dict[str, Query] = {
     "daily_unique_stream": daily_unique_stream,
     "filter_pipeline_stream": filter_pipeline_stream,
     "batch_stream": batch_stream,
+    "throughput_stream": throughput_stream,
+    "reader_status_stream": reader_status_stream,
+    "split_lines_stream": split_lines_stream,
 }

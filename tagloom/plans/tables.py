@@ -96,6 +96,10 @@ def status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derive(spark, sf_dir, STATUS_SQL, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derive(spark, sf_dir, STATUS_SQL, "events", source=table_stream).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derive(spark, sf_dir, LINES_SQL, "events")
 
@@ -158,10 +162,10 @@ def tag_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("struct<epc:string,rssi:float,antenna_port:int,tid:string>").alias("report"))
 
 
-def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captures of sixteen messages each, behind ten bytes of noise."""
+def captures(spark: SparkSession, sf_dir: str, messages: int = 16) -> DataFrame:
+    """Captures of so many messages each, behind ten bytes of noise."""
     part = F.struct("seq", F.hex("message").alias("part"))
-    grouped = report_messages(spark, sf_dir).groupBy(F.floor(F.col("seq") / 16).alias("n")).agg(
+    grouped = report_messages(spark, sf_dir).groupBy(F.floor(F.col("seq") / messages).alias("n")).agg(
         F.array_sort(F.collect_list(part)).alias("parts"))
     text = F.array_join(F.transform("parts", lambda p: p["part"]), "")
     return grouped.select(F.concat(F.lit("capture-"), F.col("n")).alias("path"),
@@ -181,6 +185,10 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derive(spark, sf_dir, CHUNKS_SQL, "events")
 
 
+def chunks_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derive(spark, sf_dir, CHUNKS_SQL, "events", source=table_stream)
+
+
 def mixed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw messages of several providers in one table, with ids in mixed case."""
     kind = F.col("seq") % 6

@@ -9,6 +9,7 @@ messages, and, once the entries on the chain from the file's start are known, th
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -188,3 +189,19 @@ def split_capture_files(spark: SparkSession, path: str, *, block_bytes: int = BL
     true = chains.groupBy("path").applyInPandas(_true_entries, "path string, size long, entry long, first long")
     return true.repartition(tasks, "path", "entry").mapInArrow(
         _frames(block_bytes), "path string, frame_no long, message binary, truncated boolean")
+
+
+def write_captures(captures: DataFrame, folder: str, *, path: str = "path", content: str = "content") -> None:
+    """Write each row of captures as a file of the folder; a repeated task leaves one whole file."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, data in zip(*(c.to_pylist() for c in batch.columns)):
+                draft = f"{root}/_{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(draft) as out:
+                    out.write(data or b"")
+                store.move(draft, f"{root}/{name}")
+            yield batch.select([0])
+
+    captures.select(path, content).mapInArrow(write, f"{path} string").count()

@@ -1,4 +1,4 @@
-"""Running the batch operators on micro-batches, with a small table carried from one to the next.
+"""Running the filter chain on micro-batches, with a small table carried from one to the next.
 
 Every micro-batch is judged by the batch operators, so hot keys are split by
 slices here as well.  What the next micro-batch must know is written to one of
@@ -13,17 +13,14 @@ import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clock import shift_id
-from ..operators.batching import batch_instant, place, queue_positions, tick_backlog, with_tick
 from ..operators.dedup import dedup_key, window_micros
-from ..operators.lookup import lookup
 from ..operators.ordering import SLICE_BITS
 from ..operators.pipeline import ALIVE, Rule, filter_pipeline, start
-from ..schema import DailyRule, DispatchConfig, SlidingRule
+from ..schema import DailyRule, SlidingRule
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -46,7 +43,7 @@ def parquet_sink(path: str) -> Sink:
 
 
 class _Slots:
-    """The state of one stage, by micro-batch."""
+    """The state of one stage, by micro-batch.  A missing or foreign slot of an earlier micro-batch is an error, never no state."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -54,13 +51,10 @@ class _Slots:
     def read(self, batch_id: int) -> DataFrame | None:
         if batch_id <= 0:
             return None
-        try:
-            state = self.spark.read.parquet(f"{self.path}/slot={(batch_id - 1) % 2}")
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                return None
-            raise
-        return state.where(F.col("_batch") == batch_id - 1).drop("_batch")
+        state = self.spark.read.parquet(f"{self.path}/slot={(batch_id - 1) % 2}")
+        if state.where(F.col("_batch") == batch_id - 1).isEmpty() and not state.isEmpty():
+            raise ValueError(f"{self.path} does not hold the state of micro-batch {batch_id - 1}")
+        return state.drop("_batch")
 
     def write(self, state: DataFrame, batch_id: int) -> None:
         state.withColumn("_batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(
@@ -128,96 +122,6 @@ def chain_stream(rules: Sequence[Rule], state_path: str, sink: Sink, *, keep_shi
     return run
 
 
-def batch_stream(config: DispatchConfig, state_path: str, sink: Sink, *, origin_us: int = 0,
-                 gateway: str | None = None, slice_bits: int = SLICE_BITS) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that emits dispatch batches as the trigger closes them.
-
-    A read gets its batch and position once, when it arrives.  The sink receives
-    the reads of closed batches; the others wait in a carried table.  The clock
-    is the tick of the latest ``eval_ts``; earlier ticks are closed, and a read
-    that arrives for a closed tick joins the current one.
-    """
-    size, mode, keys = config.max_batch_size, config.mode, [gateway] if gateway else []
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        if mode == "instant":
-            sink(batch_instant(batch), batch_id)
-            return
-        if batch.isEmpty():
-            _pass_on(batch.sparkSession, state_path, batch_id)
-            return
-        spark = batch.sparkSession
-        waiting, queues = _Slots(spark, f"{state_path}/waiting"), _Slots(spark, f"{state_path}/queues")
-        carried, taken = waiting.read(batch_id), queues.read(batch_id)
-        arrived = with_tick(batch, mode, config.period_ms, origin_us).persist()
-        open_tick = arrived.agg(F.max("tick").alias("tick")).first()["tick"]
-        if taken is not None:
-            floor = taken.agg(F.max("tick").alias("tick")).first()["tick"]
-            open_tick = max(open_tick, floor)
-            arrived = arrived.withColumn("tick", F.greatest("tick", F.lit(floor)))
-        counts = arrived.groupBy(*keys, "tick").agg(F.count(F.lit(1)).alias("arrived"))
-        base = _bases(counts, taken, mode, size, keys, open_tick, slice_bits)
-        placed = place(queue_positions(arrived, keys, base=base, slice_bits=slice_bits), mode, size)
-        if carried is not None:
-            placed = placed.unionByName(carried)
-        totals = base.join(counts, [*keys, "tick"], "full_outer").select(
-            *keys, "tick", (F.coalesce("before", F.lit(0)) + F.coalesce("arrived", F.lit(0))).alias("taken"))
-        queues.write(totals.where(F.col("tick") == open_tick), batch_id)
-        known = queues.read(batch_id + 1)
-        full = known.select(*keys, (F.col("taken") - F.col("taken") % size).alias("_full"))
-        if keys:
-            judged = lookup(placed, full, gateway, spread="seq")
-        else:
-            judged = placed.withColumn("_full", full.select("_full").scalar())
-        if mode == "periodic":
-            closed = F.col("batch_id").cast("bigint") < open_tick
-        else:
-            closed = (F.col("tick") < open_tick) | (F.col("_at") <= F.coalesce("_full", F.lit(0)))
-        judged = judged.withColumn("_closed", closed).drop("_full").persist()
-        waiting.write(judged.where("NOT _closed").drop("_closed"), batch_id)
-        sink(judged.where("_closed").drop("_closed", "_at", "tick"), batch_id)
-        judged.unpersist()
-        arrived.unpersist()
-    return run
-
-
-def _bases(counts: DataFrame, taken: DataFrame | None, mode: str, size: int, keys: list[str], open_tick: int,
-           slice_bits: int) -> DataFrame:
-    """Reads in front of the new ones per gateway and tick, given the queues of the previous micro-batch.
-
-    For the periodic trigger the old queue counts as arrivals of its tick, and
-    every gateway gets an entry for the open tick.
-    """
-    before = None if taken is None else taken.select(*keys, "tick", F.col("taken").alias("before"))
-    empty = counts.select(*keys, F.lit(open_tick).alias("tick"), F.lit(0).cast("bigint").alias("before"))
-    if mode != "periodic":
-        return empty.distinct() if before is None else before.unionByName(empty).groupBy(*keys, "tick").agg(
-            F.max("before").alias("before"))
-    old = empty.distinct() if before is None else before.unionByName(
-        before.select(*keys, F.lit(open_tick).alias("tick"), F.lit(0).cast("bigint").alias("before"))
-    ).unionByName(empty).groupBy(*keys, "tick").agg(F.max("before").alias("before"))
-    arrivals = counts.unionByName(old.withColumnRenamed("before", "arrived")).groupBy(*keys, "tick").agg(
-        F.sum("arrived").alias("arrived"))
-    backlog = tick_backlog(arrivals, size, keys=keys, slice_bits=slice_bits)
-    joined = backlog.join(old.withColumnRenamed("before", "_old"), [*keys, "tick"], "left")
-    return joined.select(*keys, "tick", (F.col("before") + F.coalesce("_old", F.lit(0))).alias("before"))
-
-
-def _pass_on(spark: SparkSession, state_path: str, batch_id: int) -> None:
-    """Hand the state of the previous micro-batch to the next one unchanged."""
-    for name in ("waiting", "queues"):
-        slots = _Slots(spark, f"{state_path}/{name}")
-        state = slots.read(batch_id)
-        if state is not None:
-            slots.write(state, batch_id)
-
-
-def waiting_reads(spark: SparkSession, state_path: str, last_batch_id: int) -> DataFrame:
-    """Reads that still wait after a micro-batch, placed in their batches: what a shutdown flushes."""
-    waiting = _Slots(spark, f"{state_path}/waiting").read(last_batch_id + 1)
-    return waiting.drop("_at", "tick")
-
-
 def run_available(stream: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str):
     """Process what the source holds now and stop; returns the finished query."""
     query = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint) \

@@ -10,14 +10,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.clock import shift_id
-from ..operators.dedup import window_micros
+from ..functions.clock import shift_date, shift_id
+from ..operators.dedup import dedup_key, window_micros
 from ..schema import DailyRule, SlidingRule
 
 # Keyed state with several variables per key needs this store; the stream switches it on in its session.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+# Reads pass through Python as text, so that their columns come out as they went in: instants with their microseconds,
+# whatever zone the session has.
+BODY = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timeZone": "UTC"}
+DAY_MS = 26 * 3600 * 1000  # the longest shift, with a change of the clock and an hour to spare
+
+
 def scope_text(scope: str) -> Column:
     """What separates the dedup keys of one EPC, as one unambiguous text."""
     reader = F.upper("reader_id")
@@ -29,77 +35,95 @@ def scope_text(scope: str) -> Column:
 class DedupProcessor(StatefulProcessor):
     """Judges the reads of one EPC in arrival order.
 
-    The state holds the time of the last read per sliding scope, and the
-    (daily scope, shift) pairs seen.
+    The state holds the time of the last read per sliding scope, and the (daily scope, shift) pairs seen.  With
+    ``expire`` a timer clears it once the watermark shows that no read to come can meet it.
     """
 
-    def __init__(self, window_us: int | None, daily: bool, columns: list[str], ttl_ms: int | None):
-        self.window_us, self.daily, self.columns, self.ttl_ms = window_us, daily, columns, ttl_ms
+    def __init__(self, window_us: int | None, daily: bool, expire: bool):
+        self.window_us, self.daily, self.expire = window_us, daily, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        def text(*names: str) -> T.StructType:
-            return T.StructType([T.StructField(n, T.StringType()) for n in names])
+        def record(**columns: T.DataType) -> T.StructType:
+            return T.StructType([T.StructField(n, t) for n, t in columns.items()])
 
-        last = T.StructType([T.StructField("last_us", T.LongType())])
-        self.last = handle.getMapState("last", text("scope"), last, ttlDurationMs=self.ttl_ms)
-        self.seen = handle.getMapState("seen", text("scope", "shift_id"), text("mark"), ttlDurationMs=self.ttl_ms)
+        self.handle = handle
+        self.last = handle.getMapState("last", record(scope=T.StringType()), record(last_us=T.LongType()))
+        self.seen = handle.getMapState("seen", record(scope=T.StringType(), shift_id=T.StringType()), record(mark=T.StringType()))
+        self.ends = handle.getValueState("ends", record(at_ms=T.LongType()))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # Names that begin with an underscore do not reach the processor, so they are set by position.
-        names = [*self.columns, "_order", "_us", "_scope", "_daily_scope", "_shift", "_key"]
+        names = ["key", "order", "us", "event", "scope", "daily_scope", "shift", "body"]
         reads = pd.concat([r.set_axis(names, axis=1) for r in rows], ignore_index=True)
-        reads = reads.sort_values("_order", kind="stable")
-        last: dict[str, int] = {}
-        stages = []
-        for scope, at, daily_scope, shift in zip(reads["_scope"], reads["_us"], reads["_daily_scope"], reads["_shift"]):
-            stage = None
-            if self.window_us is not None:
-                if scope not in last:
-                    stored = self.last.getValue((scope,)) if self.last.containsKey((scope,)) else None
-                    last[scope] = stored[0] if stored else None
-                before, last[scope] = last[scope], int(at)
-                if before is not None and 0 <= at - before < self.window_us:
-                    stage = "sliding"
-            if stage is None and self.daily:
-                if self.seen.containsKey((daily_scope, shift)):
-                    stage = "daily"
+        reads = reads.sort_values("order", kind="stable", ignore_index=True)
+        stage = pd.Series([None] * len(reads), dtype=object)
+        if self.window_us is not None:
+            before = reads.groupby("scope", sort=False)["us"].shift().astype("Int64")
+            firsts = reads.index[before.isna()]
+            for i in firsts:  # one for each scope of the micro-batch
+                scope = (reads.at[i, "scope"],)
+                if self.last.containsKey(scope):
+                    before[i] = self.last.getValue(scope)[0]
+            gap = reads["us"] - before
+            stage[((gap >= 0) & (gap < self.window_us)).fillna(False).astype(bool)] = "sliding"
+            for scope, at in reads.groupby("scope", sort=False)["us"].last().items():
+                self.last.updateValue((scope,), (int(at),))
+        if self.daily:
+            alive = reads[stage.isna()]
+            again = alive.duplicated(["daily_scope", "shift"])
+            stage[again.index[again]] = "daily"
+            for i, scope, shift in alive.loc[~again, ["daily_scope", "shift"]].itertuples():
+                if self.seen.containsKey((scope, shift)):
+                    stage[i] = "daily"
                 else:
-                    self.seen.updateValue((daily_scope, shift), ("",))
-            stages.append(stage)
-        for scope, at in last.items():
-            self.last.updateValue((scope,), (at,))
-        yield reads[self.columns].assign(dedup_stage=stages)
+                    self.seen.updateValue((scope, shift), ("",))
+        if self.expire:
+            self._set_timer(int(reads["us"].max()) // 1000 + 1 + max((self.window_us or 0) // 1000, DAY_MS if self.daily else 0))
+        yield pd.DataFrame({"body": reads["body"], "dedup_stage": stage})
+
+    def _set_timer(self, at_ms: int) -> None:
+        known = self.ends.get()[0] if self.ends.exists() else None
+        if known is None or at_ms > known:
+            if known is not None:
+                self.handle.deleteTimer(known)
+            self.handle.registerTimer(at_ms)
+            self.ends.update((at_ms,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for state in (self.last, self.seen, self.ends):
+            state.clear()
+        yield pd.DataFrame({"body": pd.Series(dtype=str), "dedup_stage": pd.Series(dtype=str)})
 
     def close(self) -> None:
         pass
 
 
 def dedup_stream(reads: DataFrame, sliding: SlidingRule | None = None, daily: DailyRule | None = None, *,
-                 order: str = "seq", state_ttl_s: float | None = None) -> DataFrame:
+                 order: str = "seq", late_seconds: float | None = None) -> DataFrame:
     """Add ``dedup_stage`` (``sliding``, ``daily`` or NULL) to a stream of reads.
 
     Both rules run in one stateful step keyed by the EPC, the coarsest part of
     every scope, in the order window, then shift.  Reads of one EPC in a
     micro-batch are sorted by ``order``; the source's rate limit
     (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) bounds how many those are.
-    ``state_ttl_s`` evicts keys that were idle that long by the wall clock; it
-    must exceed the window and any delay of the stream, and asks for a running
-    trigger: with a time to live an ``availableNow`` query would not end.
+    The state is asked once for each scope of a key in a micro-batch, not for each read.
+
+    Without ``late_seconds`` every key is kept and the verdicts are those of the batch form.  With it, reads that come
+    so much later than the newest one are left out, as any watermark does, and a key's state goes when its window and shift
+    are over by the watermark; the verdicts of the others stay the same.
     """
     reads.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    columns = reads.columns
-    staged = reads.withColumns({
-        "_order": F.col(order), "_us": F.unix_micros("eval_ts"),
-        "_scope": scope_text(sliding.scope) if sliding else F.lit(""),
-        "_daily_scope": scope_text(daily.scope) if daily else F.lit(""),
-        "_shift": shift_id(F.col("eval_ts"), daily.tz, daily.shift_start) if daily else F.lit(""),
-        "_key": F.upper("epc")})
-    processor = DedupProcessor(window_micros(sliding.window_seconds) if sliding else None, daily is not None, columns,
-                               int(state_ttl_s * 1000) if state_ttl_s else None)
-    schema = T.StructType([*reads.schema.fields, T.StructField("dedup_stage", T.StringType())])
-    return staged.groupBy("_key").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append",
-        timeMode="ProcessingTime" if state_ttl_s else "None")
+    marked = reads if late_seconds is None else reads.withWatermark("eval_ts", f"{int(late_seconds * 1000)} milliseconds")
+    staged = marked.select(
+        F.upper("epc").alias("key"), F.col(order).cast("long").alias("order"), F.unix_micros("eval_ts").alias("us"),
+        F.col("eval_ts").alias("event"), (scope_text(sliding.scope) if sliding else F.lit("")).alias("scope"),
+        (scope_text(daily.scope) if daily else F.lit("")).alias("daily_scope"),
+        (shift_id(F.col("eval_ts"), daily.tz, daily.shift_start) if daily else F.lit("")).alias("shift"),
+        F.to_json(F.struct(*reads.columns), BODY).alias("body"))
+    processor = DedupProcessor(window_micros(sliding.window_seconds) if sliding else None, daily is not None, late_seconds is not None)
+    judged = staged.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType="body string, dedup_stage string", outputMode="Append",
+        timeMode="None" if late_seconds is None else "EventTime")
+    return judged.select(F.from_json("body", reads.schema, BODY).alias("r"), "dedup_stage").select("r.*", "dedup_stage")
 
 
 def sliding_dedup_stream(reads: DataFrame, rule: SlidingRule | None = None, **options) -> DataFrame:
@@ -107,6 +131,21 @@ def sliding_dedup_stream(reads: DataFrame, rule: SlidingRule | None = None, **op
     return dedup_stream(reads, rule or SlidingRule(), **options).where("dedup_stage IS NULL").drop("dedup_stage")
 
 
-def daily_unique_stream(reads: DataFrame, rule: DailyRule | None = None, **options) -> DataFrame:
-    """First read of each key per shift in a stream."""
-    return dedup_stream(reads, None, rule or DailyRule(), **options).where("dedup_stage IS NULL").drop("dedup_stage")
+def daily_unique_stream(reads: DataFrame, rule: DailyRule | None = None, *, late: str = "1 day") -> DataFrame:
+    """First read of each key per shift in a stream, with its ``shift_id``, by the engine's own state.
+
+    A key of a shift is known until the watermark, which trails the newest shift's date by ``late``, has passed that date; a read of
+    an earlier shift is left out (``late_reads`` counts them).  Of reads of one key and shift in the same micro-batch, the one the
+    source delivers first stays.
+    """
+    rule = rule or DailyRule()
+    shift = shift_id(F.col("eval_ts"), rule.tz, rule.shift_start)
+    day = shift_date(F.col("eval_ts"), rule.tz, rule.shift_start).cast("timestamp")
+    names = [f"_key{i}" for i, _ in enumerate(dedup_key(rule.scope))]
+    staged = reads.withColumns({"shift_id": shift, "_day": day, **dict(zip(names, dedup_key(rule.scope)))})
+    return staged.withWatermark("_day", late).dropDuplicates([*names, "_day"]).drop(*names, "_day")
+
+
+def late_reads(query) -> int:
+    """Reads that a query's watermark left out so far, by the progress it still holds."""
+    return sum(int(o["numRowsDroppedByWatermark"]) for p in query.recentProgress for o in p["stateOperators"])

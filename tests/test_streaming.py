@@ -1,5 +1,7 @@
 import time
+from datetime import timedelta
 
+import pandas as pd
 import pytest
 from cases import START, random_reads, reads
 from pyspark.sql import functions as F
@@ -9,9 +11,13 @@ from tagloom.operators.outbox import first_deliveries
 from tagloom.operators.pipeline import filter_pipeline
 from tagloom.operators.telemetry import throughput_per_second
 from tagloom.schema import DailyRule, DispatchConfig, MetadataRule, SlidingRule
-from tagloom.streaming.carry import (batch_stream, chain_stream, parquet_sink, run_available, shared_folder,
-                                     waiting_reads)
-from tagloom.streaming.dedup import dedup_stream, sliding_dedup_stream
+from tagloom.operators.dedup import daily_unique
+from tagloom.operators.telemetry import latest_reader_status
+from tagloom.sources.text import split_lines
+from tagloom.streaming.batches import BatchProcessor, batch_stream, run_until_drained
+from tagloom.streaming.carry import _Slots, chain_stream, parquet_sink, run_available, shared_folder
+from tagloom.streaming.dedup import daily_unique_stream, dedup_stream, late_reads, sliding_dedup_stream
+from tagloom.streaming.live import reader_status_stream, split_lines_stream, throughput_stream, upserted, upserts
 
 ORIGIN_US = int(START.timestamp() * 1_000_000)
 CUTS = [0, 60, 61, 200, 320]
@@ -60,21 +66,92 @@ def test_a_repeated_micro_batch_gives_the_same_result(spark, feed):
     assert rows(got) == rows(filter_pipeline(df, rules).select("seq", "drop_code"))
 
 
+class _State:
+    """Keyed state of one group in memory."""
+
+    def __init__(self):
+        self.held = None
+
+    def exists(self):
+        return bool(self.held)
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+    put = update
+
+    def clear(self):
+        self.held = None
+
+
+class _Handle:
+    def __init__(self):
+        self.timers, self.now = set(), 0
+
+    def getListState(self, *_):
+        return _State()
+
+    getValueState = getListState
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
 @pytest.mark.parametrize("gateway", [None, "reader_id"])
-@pytest.mark.parametrize("mode", ["count", "hybrid", "periodic", "instant"])
+@pytest.mark.parametrize("mode", ["count", "hybrid", "periodic"])
 def test_batches_over_micro_batches_equal_one_batch(spark, feed, mode, gateway):
-    df, stream = feed
-    folder = shared_folder(spark, "batches")
+    from tagloom.operators.batching import with_tick
+    df, _ = feed
     config = DispatchConfig(trigger_mode=mode, max_batch_size=3, period_ms=7000)
-    run = batch_stream(config, f"{folder}/state", parquet_sink(f"{folder}/out"), origin_us=ORIGIN_US, gateway=gateway)
-    run_available(stream(), run, f"{folder}/checkpoint")
-    columns = ["seq", "batch_id", "batch_pos"]
-    got = spark.read.parquet(f"{folder}/out").select(*columns)
-    if mode != "instant":
-        assert got.groupBy("seq").count().where("count > 1").count() == 0
-        got = got.unionByName(waiting_reads(spark, f"{folder}/state", 3).select(*columns))
-    expected = batch(df, config, origin_us=ORIGIN_US, keys=[gateway] if gateway else [])
-    assert rows(got) == rows(expected.select(*columns))
+    expected = batch(df, config, origin_us=ORIGIN_US, keys=[gateway] if gateway else []).select("seq", "batch_id", "batch_pos")
+    staged = with_tick(df, mode, 7000, ORIGIN_US).selectExpr(f"{gateway or chr(39) + chr(39)} AS g", "seq", "tick", "CAST(seq AS string) AS body").toPandas()
+    got, waiting = [], 0
+    for name, own in staged.sort_values("seq").groupby("g"):
+        processor, handle = BatchProcessor(mode, 3, 50), _Handle()
+        processor.init(handle)
+        for low, high in zip(CUTS, CUTS[1:]):
+            part = own[own["seq"].between(low + 3, high + 2)].sample(frac=1, random_state=1)
+            if len(part):
+                got += [p for p in processor.handleInputRows((name,), iter([part[:5], part[5:]]), handle)]
+        while handle.timers:  # no more input: what waits leaves by timer
+            handle.now = min(handle.timers)
+            handle.timers.discard(handle.now)
+            got += list(processor.handleExpiredTimer((name,), handle, None))
+        waiting += len(processor.waiting.held or [])
+    out = pd.concat(got)
+    told = {(int(b), i, p) for b, i, p in zip(out["body"], out["batch_id"], out["batch_pos"])}
+    want = {tuple(r) for r in expected.collect()}
+    assert len(out) == len(told) and told <= want and len(want) - len(told) == waiting
+    assert waiting == 0 or mode == "count"
+
+
+def test_an_idle_gateway_sends_without_new_input(spark, feed):
+    """A batch that never fills leaves by its timer, with every column as it came."""
+    df, _ = feed
+    folder = shared_folder(spark, "idle")
+    few = df.where("seq < 10").withColumn("big", F.when(F.col("seq") % 2 == 0, F.lit(2**62 + 1)))
+    few.coalesce(1).write.parquet(f"{folder}/in")
+    config = DispatchConfig(trigger_mode="hybrid", max_batch_size=1000, period_ms=3_600_000)
+    stream = batch_stream(spark.readStream.schema(few.schema).parquet(f"{folder}/in"), config, gateway="reader_id", wait_ms=500)
+    run_until_drained(stream, f"{folder}/out", f"{folder}/checkpoint", wait_ms=500)
+    out = spark.read.parquet(f"{folder}/out")
+    assert rows(out.select(*few.columns)) == rows(few)
+    assert out.where("batch_pos = 1").count() == few.select("reader_id").distinct().count()
+
+
+def test_instant_batches_are_stateless(spark, feed):
+    _, stream = feed
+    plan = batch_stream(stream(), DispatchConfig(trigger_mode="instant"))
+    assert "TransformWithState" not in plan._jdf.queryExecution().analyzed().toString()
 
 
 def stored(stream, folder):
@@ -102,20 +179,65 @@ def test_keyed_state_survives_a_restart(spark, feed):
     assert rows(spark.read.parquet(f"{folder}/out").select("seq")) == rows(expected.select("seq"))
 
 
-def test_state_with_a_time_to_live(spark, feed):
-    """Needs a running trigger, so the query is stopped once its output is complete."""
+def test_state_goes_when_its_window_is_over(spark):
+    """With a bound on lateness the state of idle tags is cleared, and the verdicts stay those of the batch form."""
+    from cases import read, reads
+    table, folder = [], shared_folder(spark, "expire")
+    for minute in range(6):
+        table += [read(100 * minute + n, 600.0 * minute + n, f"T{minute}{n // 2}") for n in range(20)]
+    df = reads(spark, table)
+    for minute in range(6):
+        df.where(F.floor(F.col("seq") / 100) == minute).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        time.sleep(0.05)
+    source = lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    rule, held = SlidingRule(30, "global"), {}
+    for name, late in (("all", None), ("late", 60)):
+        query = dedup_stream(source(), rule, late_seconds=late).writeStream.format("parquet").option("path", f"{folder}/{name}").option(
+            "checkpointLocation", f"{folder}/cp-{name}").trigger(availableNow=True).start()
+        query.awaitTermination()
+        got = spark.read.parquet(f"{folder}/{name}").select("seq", "dedup_stage")
+        assert rows(got) == rows(filter_pipeline(df, [rule]).select("seq", "drop_code"))
+        held[name] = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    assert held["late"] < held["all"] / 2
+
+
+def test_daily_unique_by_the_engines_state(spark, feed):
     df, stream = feed
-    folder = shared_folder(spark, "ttl")
-    expected = rows(filter_pipeline(df, [SlidingRule(4, "global")]).where("drop_stage IS NULL").select("seq"))
-    query = sliding_dedup_stream(stream(), SlidingRule(4, "global"), state_ttl_s=3600).writeStream.format(
-        "memory").queryName("ttl_out").option("checkpointLocation", folder).trigger(processingTime="1 second").start()
-    try:
-        deadline = time.time() + 60
-        while time.time() < deadline and spark.table("ttl_out").count() < len(expected):
-            time.sleep(1)
-        assert rows(spark.table("ttl_out").select("seq")) == expected
-    finally:
-        query.stop()
+    folder = shared_folder(spark, "daily")
+    rule = DailyRule(scope="reader")
+    live = daily_unique_stream(stream(), rule)
+    plan = live._jdf.queryExecution().analyzed().toString()
+    assert "Deduplicate" in plan and "Python" not in plan and "TransformWithState" not in plan
+    stored(live, folder)
+    got = spark.read.parquet(f"{folder}/out").select("seq", "shift_id")
+    assert rows(got) == rows(daily_unique(df, rule).select("seq", "shift_id"))
+
+
+def test_reads_of_a_closed_shift_are_left_out_and_counted(spark):
+    from cases import read, reads
+    folder, day = shared_folder(spark, "closed"), 86_400
+    for n, at in enumerate([0, 10 * day, 10 * day + 1, 5, 10 * day + 5]):  # the watermark moves between micro-batches
+        reads(spark, [read(n, at, f"A{n}")]).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        time.sleep(0.05)
+    schema = reads(spark, [read(0, 0, "A")]).schema
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    query = daily_unique_stream(source).writeStream.format("parquet").option("path", f"{folder}/out").option(
+        "checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(r.seq for r in spark.read.parquet(f"{folder}/out").collect()) == [0, 1, 2, 4]
+    assert late_reads(query) == 1 and query.lastProgress["stateOperators"][0]["numRowsTotal"] == 3
+
+
+def test_lost_state_is_an_error(spark):
+    folder = shared_folder(spark, "slots")
+    slots = _Slots(spark, folder)
+    assert slots.read(0) is None
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        slots.read(7)
+    slots.write(spark.range(3), 4)
+    assert slots.read(5).count() == 3
+    with pytest.raises(ValueError):
+        slots.read(7)
 
 
 def test_retries_are_left_out_of_a_stream(spark):
@@ -130,12 +252,72 @@ def test_retries_are_left_out_of_a_stream(spark):
 
 
 def test_throughput_on_a_stream(spark, feed):
+    """Appended seconds are final; updated ones end as those of the whole table."""
     df, stream = feed
     folder = shared_folder(spark, "gauge")
-    gauge = throughput_per_second(stream().withWatermark("eval_ts", "1 second"))
-    stored(gauge, folder)
-    got = {tuple(r) for r in spark.read.parquet(f"{folder}/out").collect()}
-    assert got and got <= {tuple(r) for r in throughput_per_second(df).collect()}
+    whole = {tuple(r) for r in throughput_per_second(df).collect()}
+    stored(throughput_stream(stream(), late="1 second"), folder)
+    closed = {tuple(r) for r in spark.read.parquet(f"{folder}/out").collect()}
+    newest = max(second for second, _ in whole)
+    assert closed <= whole and {w for w in whole if w[0] < newest - timedelta(seconds=2)} <= closed
+    throughput_stream(stream(), late="1 hour").writeStream.outputMode("update").foreachBatch(upserts(f"{folder}/now")).option(
+        "checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
+    assert {tuple(r) for r in upserted(spark, f"{folder}/now", ["second"]).collect()} == whole
+
+
+def test_reader_states_on_a_stream(spark):
+    folder = shared_folder(spark, "states")
+    events = [(n, START + timedelta(seconds=n), f"r{n * n % 5}", ["Connected", "Faulted", "Reconnecting"][n % 3]) for n in range(60)]
+    schema = "seq long, ts timestamp, reader_id string, new_state string"
+    df = spark.createDataFrame(events, schema)
+    for part in range(4):
+        df.where(F.col("seq") % 4 == part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        time.sleep(0.05)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    sink = upserts(f"{folder}/out")
+
+    def twice(changes, batch_id):
+        sink(changes, batch_id)
+        sink(changes, batch_id)
+
+    reader_status_stream(source).writeStream.outputMode("update").foreachBatch(twice).option(
+        "checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
+    registry = spark.createDataFrame([], "ordinal long, reader_id string, provider_id string")
+    assert rows(upserted(spark, f"{folder}/out", ["reader_id"])) == rows(
+        latest_reader_status(df, registry).select("reader_id", "state", "last_seen"))
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_lines_however_chunks_are_cut(spark, files):
+    folder = shared_folder(spark, "lines")
+    texts = ["one\ntw", "o", "", "\n\n  three \nfour", None, "\r\nfi", "ve\n", "tail"]
+    chunks = [(f"s{k}", n, t) for k in range(3) for n, t in enumerate(texts[k:])] + [(None, n, t) for n, t in enumerate(texts)]
+    schema = "stream_id string, chunk_no long, data string"
+    df = spark.createDataFrame(chunks, schema)
+    for part in range(files):
+        df.where(F.floor(F.col("chunk_no") * files / 9) == part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        time.sleep(0.05)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    stored(split_lines_stream(source), folder)
+    got = spark.read.parquet(f"{folder}/out")
+    assert got.where("quarantined").count() == 0
+    named = df.where("stream_id IS NOT NULL").fillna("", ["data"])
+    assert rows(got.where("stream_id IS NOT NULL").select("stream_id", "line_no", "line")) == rows(split_lines(named, keep_tail=False))
+    assert got.where("stream_id IS NULL").count() == 6
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_a_line_without_end_is_bounded(spark, files):
+    folder = shared_folder(spark, "long")
+    chunks = [("s", 0, "abcdef"), ("s", 1, "ghij"), ("s", 2, "kl\nok\nmore than")]
+    df = spark.createDataFrame(chunks, "stream_id string, chunk_no long, data string")
+    for part in range(files):
+        df.where(F.floor(F.col("chunk_no") * files / 3) == part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        time.sleep(0.05)
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    stored(split_lines_stream(source, longest=4), folder)
+    got = spark.read.parquet(f"{folder}/out").select("line_no", "line", "quarantined")
+    assert rows(got) == [(0, "abcd", True), (1, "ok", False)]
 
 
 def test_late_reads_are_judged_as_in_one_batch(spark):
