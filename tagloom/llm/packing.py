@@ -90,7 +90,7 @@ def _page(pieces: list[tuple], sequence: np.ndarray, offset: np.ndarray) -> pa.R
 
 
 def pack(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", capacity: int = 2048,
-         piece: int = 256, shard_pieces: int = 2048, end_id: int = 1, batch_bytes: int = 4 << 20) -> DataFrame:
+         piece: int = 256, shard_pieces: int = 2048, end_id: int = 1, batch_bytes: int = 3 << 20) -> DataFrame:
     """One row per piece: ``doc_id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``.
 
     A document's ids are those of its whole text (null: none) and ``end_id``.  Of its ids, whole windows go first;

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import os
 import re
 import sys
 import tempfile
@@ -149,17 +150,23 @@ class Encoder:
     """
 
     def __init__(self, path: str, keep_space: bool):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # every core has a task of its own
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep_space, self.kinds = Tokenizer.from_file(path), keep_space, _byte_kinds()
         self.met: dict[str, bytes] = {}  # pieces of earlier batches
         self.word = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+        wide = re.compile(_WIDE_SPACE.pattern.decode("latin-1"))
+        self.wide = lambda piece: not piece.isascii() and wide.search(piece.encode().decode("latin-1"))
         vocabulary = self.tokenizer.get_vocab()
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # of a token, in vocabularies that spell bytes by letters
+        self.last = None  # whether a token ends a word, in vocabularies that mark it
+        for token, number in vocabulary.items():
+            self.bytes[number] = len(token)
         ends = [i for t, i in vocabulary.items() if t.endswith("</w>")]
-        self.ends = None  # of a vocabulary that marks the ends of words: which ids do
-        if ends and not keep_space:
-            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-            self.ends[ends] = True
+        if ends:
+            self.last = np.zeros(len(self.bytes), bool)
+            self.last[ends] = True
 
     def _cuts(self, blob: bytes, edges: np.ndarray) -> np.ndarray:
         """Where pieces begin in the texts between ``edges``, all put together in ``blob``."""
@@ -196,20 +203,22 @@ class Encoder:
         return out
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Words in lines of many, which costs less than one by one; a token that ends a word tells them apart."""
-        if self.ends is None:
-            return self._each(pieces)
+        """The ids of each piece.  Many go as one line, which costs far less than one by one, where its ids tell them apart."""
         out: list[bytes] = [b""] * len(pieces)
-        words = [i for i, p in enumerate(pieces) if self.word(p)]
-        lines = [words[i:i + 256] for i in range(0, len(words), 256)]
-        coded = self._each([" ".join([pieces[i] for i in x]) for x in lines])
-        others = [i for i, p in enumerate(pieces) if not self.word(p)]
-        for line, ids in zip(lines, (np.frombuffer(c, np.uint32) for c in coded)):
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(line) or ends[-1] != len(ids):
+        if self.keep_space:  # white space in front, and none that could go on in the next one at the end
+            joins = [p[0] in " \t\n\r\v\f" and p[-1] not in " \t\n\r\v\f" and not self.wide(p) for p in pieces]
+        else:
+            joins = list(map(self.word, pieces))
+        joined = [i for i, j in enumerate(joins) if j]
+        lines = [joined[i:i + 256] for i in range(0, len(joined), 256)]
+        others = [i for i, j in enumerate(joins) if not j]
+        texts = [("" if self.keep_space else " ").join([pieces[i] for i in x]) for x in lines]
+        for line, flat in zip(lines, self._each(texts)):
+            ends = self._ends([pieces[i] for i in line], np.frombuffer(flat, np.uint32))
+            if ends is None:
                 others += line
                 continue
-            flat, at = ids.tobytes(), 0
+            at = 0
             for i, end in zip(line, (4 * ends).tolist()):
                 out[i] = flat[at:end]
                 at = end
@@ -217,6 +226,17 @@ class Encoder:
             out[i] = ids
         return out
 
+    def _ends(self, pieces: list[str], ids: np.ndarray) -> np.ndarray | None:
+        """Where in the ids of a line each piece ends: by the tokens that end words, or by how many bytes tokens stand for."""
+        if not self.keep_space:
+            ends = np.flatnonzero(self.last[ids]) + 1 if self.last is not None else []
+            return ends if len(ends) == len(pieces) and ends[-1] == len(ids) else None
+        upto = np.cumsum(self.bytes[ids])
+        wanted = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in pieces])
+        ends = np.searchsorted(upto, wanted)
+        fits = len(upto) and ends[-1] == len(upto) - 1 and (upto[ends] == wanted).all()
+        return ends + 1 if fits else None
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (UTF-8) in a row, and where each text's begin and end."""
         blob = b"".join(texts)
