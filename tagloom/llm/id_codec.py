@@ -32,15 +32,17 @@ BLOCK_IDS = 4096
 _MANIFEST = "file string, number long, docs long, ids long"
 
 
-def _selectors(values: np.ndarray) -> np.ndarray:
-    """Per position the selector of a word that begins there: the one with most ids, all of which must fit."""
-    n = len(values)
+def _selectors(rows: np.ndarray) -> np.ndarray:
+    """Per position of each row the selector of a word that begins there: the one with most ids, all of which must fit."""
+    n = rows.shape[1]
     # bit length: of the upper half where it has bits, else of the lower; floats of 32 bits are exact
-    high, low = values >> np.uint64(32), values & np.uint64(0xFFFFFFFF)
-    bits = np.where(high > 0, 32 + np.frexp(high.astype(np.float64))[1], np.frexp(low.astype(np.float64))[1]).astype(np.int8)
-    choice = np.full(n, 14, dtype=np.int8)
+    bits = np.frexp((rows & np.uint64(0xFFFFFFFF)).astype(np.float64))[1].astype(np.int8)
+    if rows.max() >> np.uint64(32):
+        high = rows >> np.uint64(32)
+        bits = np.where(high > 0, 32 + np.frexp(high.astype(np.float64))[1], bits).astype(np.int8)
+    choice = np.full(rows.shape, 14, dtype=np.int8)
     choice[bits > 60] = 0
-    reach = {1: bits}  # reach[c][i]: most bits among the c values from i on
+    reach = {1: bits}  # reach[c][:, i]: most bits among the c values of a row from i on
     for selector in range(13, 0, -1):
         count = int(COUNTS[selector])
         if count > n or not (bits <= WIDTHS[selector]).any():
@@ -48,40 +50,67 @@ def _selectors(values: np.ndarray) -> np.ndarray:
         half = max(c for c in reach if c <= count)
         while half * 2 <= count:
             base = reach[half]
-            reach[half * 2] = np.maximum(base[:-half], base[half:])
+            reach[half * 2] = np.maximum(base[:, :-half], base[:, half:])
             half *= 2
         base = reach[half]
-        most = np.maximum(base[:n - count + 1], base[count - half:count - half + n - count + 1])
-        choice[:n - count + 1][most <= WIDTHS[selector]] = selector
+        most = np.maximum(base[:, :n - count + 1], base[:, count - half:count - half + n - count + 1])
+        choice[:, :n - count + 1][most <= WIDTHS[selector]] = selector
     return choice
 
 
-def encode(values: np.ndarray) -> np.ndarray:
-    """The words of unsigned 64-bit values."""
-    n = len(values)
-    if not n:
-        return np.empty(0, "<u8")
-    choice = _selectors(values)
-    step = np.maximum(COUNTS[choice], 1)
-    jump, at, starts = (np.arange(n) + step).tolist(), 0, []
-    while at < n:
-        starts.append(at)
-        at = jump[at]
-    starts = np.array(starts)
-    chosen = choice[starts].astype(np.int64)
-    place = np.cumsum(1 + (chosen == 0)) - (1 + (chosen == 0))
-    words = np.zeros(int(place[-1]) + 1 + int(chosen[-1] == 0), dtype=np.uint64)
+def _word_starts(jump: np.ndarray) -> np.ndarray:
+    """Which positions begin a word, where a word at a position of a row ends before position ``jump``; rows go side by side."""
+    count, n = jump.shape
+    begins = np.zeros((count, n + 1), bool)
+    if count < 16:  # few rows are followed one by one
+        for row, steps in zip(begins, jump.tolist()):
+            at, starts = 0, []
+            while at < n:
+                starts.append(at)
+                at = steps[at]
+            row[starts] = True
+        return begins[:, :n]
+    flat, base = np.append(jump, np.full((count, 1), n, jump.dtype), axis=1).ravel(), np.arange(count) * (n + 1)
+    at, marks = base.copy(), begins.ravel()
+    while True:  # a row at its end stays there
+        marks[at] = True
+        step = flat[at]
+        if step.min() == n:
+            return begins[:, :n]
+        at = base + step
+
+
+def encode_rows(rows: np.ndarray) -> list[np.ndarray]:
+    """The words of each row of unsigned 64-bit values."""
+    count, n = rows.shape
+    if not n or not count:
+        return [np.empty(0, "<u8")] * count
+    choice = _selectors(rows)
+    begins = _word_starts(np.arange(n, dtype=np.int32) + np.maximum(COUNTS[choice], 1).astype(np.int32))
+    starts = np.flatnonzero(begins)
+    values, chosen = rows.ravel(), choice.ravel()[starts]
+    size = 1 + (chosen == 0)
+    ends = np.cumsum(size)
+    place = ends - size
+    words = np.zeros(int(ends[-1]), dtype=np.uint64)
     for selector in np.unique(chosen).tolist():
-        own = chosen == selector
+        own = np.flatnonzero(chosen == selector)
+        at = starts[own]
         if selector == 0:
-            words[place[own] + 1] = values[starts[own]]
+            words[place[own] + 1] = values[at]
             continue
-        count, width = int(COUNTS[selector]), int(WIDTHS[selector])
-        word = np.full(int(own.sum()), np.uint64(selector) << np.uint64(60))
-        for k in range(count):
-            word |= values[starts[own] + k] << np.uint64(k * width)
+        width = int(WIDTHS[selector])
+        word = np.full(len(own), np.uint64(selector) << np.uint64(60))
+        for k in range(int(COUNTS[selector])):
+            word |= values[at + k] << np.uint64(k * width)
         words[place[own]] = word
-    return words.astype("<u8")
+    last = np.cumsum(begins.sum(axis=1)) - 1  # every row begins a word
+    return np.split(words.astype("<u8"), ends[last[:-1]])
+
+
+def encode(values: np.ndarray) -> np.ndarray:
+    """The words of unsigned 64-bit values."""
+    return encode_rows(values.reshape(1, -1))[0]
 
 
 def decode(words: np.ndarray) -> np.ndarray:
@@ -120,7 +149,9 @@ def _unzigzag(x: np.ndarray) -> np.ndarray:
 
 
 def blocks_of(ids: np.ndarray) -> list[np.ndarray]:
-    return [encode(ids[at:at + BLOCK_IDS]) for at in range(0, len(ids), BLOCK_IDS)]
+    whole = len(ids) // BLOCK_IDS * BLOCK_IDS
+    blocks = encode_rows(ids[:whole].reshape(-1, BLOCK_IDS))
+    return blocks + [encode(ids[whole:])] if whole < len(ids) else blocks
 
 
 def file_chunks(doc_ids: np.ndarray, no_id: np.ndarray, lengths: np.ndarray, blocks: list[np.ndarray]) -> Iterator[bytes]:
@@ -160,7 +191,7 @@ class IdFile:
 
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, *, key: str = "doc_id", text: str = "text", end_id: int = 1,
-              keep_space: bool = False, batch_bytes: int = 4 << 20) -> DataFrame:
+              keep_space: bool = False, batch_bytes: int = 2 << 20) -> DataFrame:
     """Write files of ids in ascending order of the key and return ``(file, number, docs, ids)`` in file order.
 
     ``tokenizer`` is the path of a tokenizers file; ``end_id`` ends each document.  A null text is empty, a null key

@@ -154,7 +154,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep_space, self.kinds = Tokenizer.from_file(path), keep_space, _byte_kinds()
-        self.met: dict[str, bytes] = {}  # pieces of earlier batches
+        self.met: dict[str, bytes] = {}  # pieces that came more than once in an earlier batch, the recent ones
+        self.old: dict[str, bytes] = {}  # and those before them
         self.word = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
         wide = re.compile(_WIDE_SPACE.pattern.decode("latin-1"))
         self.wide = lambda piece: not piece.isascii() and wide.search(piece.encode().decode("latin-1"))
@@ -168,8 +169,11 @@ class Encoder:
             self.last = np.zeros(len(self.bytes), bool)
             self.last[ends] = True
 
-    def _cuts(self, blob: bytes, edges: np.ndarray) -> np.ndarray:
-        """Where pieces begin in the texts between ``edges``, all put together in ``blob``."""
+    def _cuts(self, blob: bytes, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
+        """Where pieces begin in ``blob``, which holds the texts between ``edges``; and again, in the bytes of pieces alone.
+
+        Vocabularies that keep no white space give it no ids, so it is in no piece.
+        """
         data = np.frombuffer(blob, np.uint8)
         kinds = self.kinds[data]
         # À to ÿ but for the two signs among them: C3 and a byte from 80 on.
@@ -183,8 +187,9 @@ class Encoder:
                 space[wide.end() - 1] = True
             begin[1:] = (kinds[1:] == _SPACE) & ~space[:-1]
         else:
-            begin[1:] = space[1:] != space[:-1]
-        begin[edges[:-1][edges[:-1] < len(data)]] = True
+            begin[1:] = space[:-1] & ~space[1:]
+        first = edges[:-1][edges[:-1] < len(data)]
+        begin[first] = True if self.keep_space else ~space[first]
         # A mark right after letters, with nothing but letters since the white space in front of the piece.
         marks = np.flatnonzero((kinds[1:] == _MARK) & (kinds[:-1] == _LETTER)) + 1
         marks = marks[~begin[marks]]
@@ -193,7 +198,11 @@ class Encoder:
         strange = np.cumsum((kinds != _LETTER) & (kinds != _SPACE), dtype=np.int32)
         clear = strange[marks - 1] - strange[own] + ((kinds[own] != _LETTER) & (kinds[own] != _SPACE)) == 0
         begin[marks[clear]] = True
-        return np.flatnonzero(begin).astype(np.int32)
+        cuts = np.flatnonzero(begin).astype(np.int32)
+        if self.keep_space:
+            return cuts, cuts, blob
+        solid = kinds != _SPACE
+        return cuts, np.cumsum(solid, dtype=np.int32)[cuts] - 1, data[solid].tobytes()
 
     def _each(self, pieces: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -243,26 +252,29 @@ class Encoder:
         edges = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
         if not blob:
             return np.empty(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
-        cuts = self._cuts(blob, edges)
-        offsets = np.append(cuts, np.int32(len(blob)))
-        pieces = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(blob)]).dictionary_encode()
-        number = pieces.indices.to_numpy()
-        words = pieces.dictionary.cast(pa.string()).to_pylist()
-        new = [w for w in words if w not in self.met]
-        coded_now = dict(zip(new, self._pieces(new)))
-        known = [coded_now[w] if w in coded_now else self.met[w] for w in words]
-        if len(self.met) + len(new) <= MET_PIECES:
-            self.met |= coded_now
-        elif len(words) <= MET_PIECES:
-            self.met = dict(zip(words, known))
-        sizes = np.fromiter(map(len, known), np.int32, len(known)) // 4
-        flat = np.frombuffer(b"".join(known), "<u4")
-        counts = sizes[number]
-        ends = np.cumsum(counts, dtype=np.int32)
-        place = np.repeat((np.cumsum(sizes, dtype=np.int32) - sizes)[number] - (ends - counts), counts)
-        place += np.arange(ends[-1], dtype=np.int32)
-        ids = flat[place]
-        return ids, np.concatenate([[0], ends])[np.searchsorted(cuts, edges)]
+        cuts, own, solid = self._cuts(blob, edges)
+        offsets = np.append(own, np.int32(len(solid)))
+        pieces = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets), pa.py_buffer(solid)]).dictionary_encode()
+        often = np.bincount(pieces.indices.to_numpy(), minlength=len(pieces.dictionary)) > 1
+        coded = self._known(pieces.dictionary.cast(pa.string()).to_pylist(), often.tolist())
+        taken = pa.array(coded, pa.binary()).take(pieces.indices)  # their ids in a row
+        ends = np.frombuffer(taken.buffers()[1], np.int32, len(own) + 1) // 4
+        ids = np.frombuffer(taken.buffers()[2] or b"", "<u4", int(ends[-1]))
+        return ids, ends[np.searchsorted(cuts, edges)].astype(np.int64)
+
+    def _known(self, pieces: list[str], often: list[bool]) -> list[bytes]:
+        """The ids of distinct pieces, remembered ones first; a piece that came only once is not worth its place."""
+        coded = list(map(self.met.get, pieces))
+        missing = [i for i, ids in enumerate(coded) if ids is None]
+        before = [self.old.get(pieces[i]) for i in missing]
+        new = iter(self._pieces([pieces[i] for i, ids in zip(missing, before) if ids is None]))
+        for i, ids in zip(missing, before):
+            coded[i] = next(new) if ids is None else ids
+            if often[i] or ids is not None:
+                self.met[pieces[i]] = coded[i]
+        if len(self.met) > MET_PIECES // 2:
+            self.met, self.old = {}, self.met
+        return coded
 
     def documents(self, texts: list[bytes], end_id: int, max_bytes: int) -> Iterable[tuple[int, int, np.ndarray, np.ndarray]]:
         """Texts in batches of about ``max_bytes``: (from, to, ids with ``end_id`` after each text, where each begins and ends).
