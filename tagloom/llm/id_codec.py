@@ -28,6 +28,7 @@ COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], dtype=np.
 WIDTHS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], dtype=np.int64)
 MAGIC, VERSION = 0x4238534B4F54, 1
 BLOCK_IDS = 4096
+SHORT_BITS = np.frexp(np.arange(1 << 16))[1].astype(np.int8)  # bit length of a value
 
 _MANIFEST = "file string, number long, docs long, ids long"
 
@@ -35,11 +36,11 @@ _MANIFEST = "file string, number long, docs long, ids long"
 def _selectors(rows: np.ndarray) -> np.ndarray:
     """Per position of each row the selector of a word that begins there: the one with most ids, all of which must fit."""
     n = rows.shape[1]
-    # bit length: of the upper half where it has bits, else of the lower; floats of 32 bits are exact
-    bits = np.frexp((rows & np.uint64(0xFFFFFFFF)).astype(np.float64))[1].astype(np.int8)
-    if rows.max() >> np.uint64(32):
-        high = rows >> np.uint64(32)
-        bits = np.where(high > 0, 32 + np.frexp(high.astype(np.float64))[1], bits).astype(np.int8)
+    if rows.max() < len(SHORT_BITS):
+        bits = SHORT_BITS[rows]
+    else:  # bit length: of the upper half where it has bits, else of the lower; floats of 32 bits are exact
+        high, low = rows >> np.uint64(32), rows & np.uint64(0xFFFFFFFF)
+        bits = np.where(high > 0, 32 + np.frexp(high.astype(np.float64))[1], np.frexp(low.astype(np.float64))[1]).astype(np.int8)
     choice = np.full(rows.shape, 14, dtype=np.int8)
     choice[bits > 60] = 0
     reach = {1: bits}  # reach[c][:, i]: most bits among the c values of a row from i on

@@ -256,7 +256,7 @@ class Encoder:
         offsets = np.append(own, np.int32(len(solid)))
         pieces = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets), pa.py_buffer(solid)]).dictionary_encode()
         often = np.bincount(pieces.indices.to_numpy(), minlength=len(pieces.dictionary)) > 1
-        coded = self._known(pieces.dictionary.cast(pa.string()).to_pylist(), often.tolist())
+        coded = self._known(pieces.dictionary.cast(pa.string()).to_numpy(zero_copy_only=False).tolist(), often.tolist())
         taken = pa.array(coded, pa.binary()).take(pieces.indices)  # their ids in a row
         ends = np.frombuffer(taken.buffers()[1], np.int32, len(own) + 1) // 4
         ids = np.frombuffer(taken.buffers()[2] or b"", "<u4", int(ends[-1]))
