@@ -114,6 +114,61 @@ def replay_send(requests: DataFrame, send: Sender) -> DataFrame:
     return ordered.mapInPandas(run, ATTEMPT_SCHEMA)
 
 
+def replay_waves(requests: DataFrame, send: Sender, folder: str, *, growth: int = 8, largest: int = 1 << 17,
+                 partitions: int | None = None, slice_bits: int = SLICE_BITS) -> DataFrame:
+    """As ``replay_send``, with all cores on each target: its rows go in waves of 1, ``growth``, ... at most ``largest`` rows.
+
+    The rows of a wave are sent side by side, and a target with a failure has no further wave.  What counts is each target's
+    rows up to its first failure; what the last wave sent beyond it stays pending, is sent again by a later replay with
+    the same transaction id, and is recognized by the receiver.  A dead target costs one attempt.  ``folder`` takes the numbered rows
+    and a table per wave, so a lost executor repeats a part of one wave; a repeated call replaces them.
+    """
+    if growth < 2 or largest < 1:
+        raise ValueError("growth must be at least 2 and largest at least 1")
+    spark = requests.sparkSession
+    names = ["id", "transaction_id", "target_url", "http_method", "url", "request_headers", "content_type", "body"]
+    ends, size = [1], 1
+    while size < largest:
+        size = min(size * growth, largest)
+        ends.append(ends[-1] + size)
+    at = F.col("_at")
+    beyond = F.greatest(F.lit(0), F.call_function("div", at - (ends[-1] + 1), F.lit(largest)) + 1)
+    wave = sum(((at > end).cast("long") for end in ends[:-1]), F.when(at > ends[-1], beyond).otherwise(0))
+    numbered = with_row_number(requests.select(*names), ["target_url"], "_at", order="id", slice_bits=slice_bits)
+    numbered.withColumn("wave", wave).drop("_at").write.mode("overwrite").partitionBy("wave").parquet(f"{folder}/rows")
+    rows = spark.read.schema(T.StructType([*requests.select(*names).schema, T.StructField("wave", T.LongType())])) \
+        .parquet(f"{folder}/rows")
+    last = rows.agg(F.max("wave")).first()[0]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            sent = []
+            for request in frame.to_dict("records"):
+                _, target, success, status, _, error, elapsed = _attempt(send, request)
+                sent.append((request["id"], success, status, error, elapsed, target))
+            yield pd.DataFrame(sent, columns=schema.names)
+
+    schema = T.StructType([*ATTEMPT_SCHEMA, T.StructField("target_url", T.StringType())])
+    spread = partitions or spark.sparkContext.defaultParallelism
+    done: list[str] = []
+    for number in range(-1 if last is None else last + 1):
+        due = rows.where(F.col("wave") == number)
+        if done:
+            failed = spark.read.schema(schema).parquet(*done).where("NOT is_success").select("target_url").distinct()
+            due = due.join(failed, due.target_url.eqNullSafe(failed.target_url), "left_anti")
+        path = f"{folder}/attempts/wave={number}"
+        due.select(*names).repartition(spread, "id").mapInPandas(run, schema).write.mode("overwrite").parquet(path)
+        done.append(path)
+        if spark.read.schema(schema).parquet(path).isEmpty():
+            break
+    if not done:
+        return spark.createDataFrame([], ATTEMPT_SCHEMA)
+    attempts = spark.read.schema(schema).parquet(*done)
+    stops = attempts.where("NOT is_success").groupBy(F.col("target_url").alias("_target")).agg(F.min("id").alias("_stop"))
+    counted = attempts.join(stops, F.col("target_url").eqNullSafe(F.col("_target")), "left")
+    return counted.where(F.col("_stop").isNull() | (F.col("id") <= F.col("_stop"))).select(*ATTEMPT_SCHEMA.names)
+
+
 def idempotent_upsert(received: DataFrame, incoming: DataFrame, key: str = "transaction_id",
                       order: str = "id") -> DataFrame:
     """Incoming rows to append at the receiver: the first of each key that was not received before."""

@@ -270,6 +270,11 @@ DRAIN = f"""WITH {OUTBOX}, f AS (SELECT min(id) AS id FROM outbox WHERE id % 97
 {_DRAIN.format(extra='', on='true')}"""
 DRAIN_TARGET = f"""WITH {OUTBOX}, f AS (SELECT target_url, min(id) AS id FROM outbox WHERE id % 97 = 0 AND id >= 120
     GROUP BY target_url) {_DRAIN.format(extra=', o.target_url', on='o.target_url = f.target_url')}"""
+WAVES = f"""WITH {OUTBOX}, f AS (SELECT target_url, min(id) AS id FROM outbox WHERE id % 97 = 0 AND id >= 120
+    GROUP BY target_url) SELECT o.id, o.id IS DISTINCT FROM f.id AS is_success,
+    CAST(CASE WHEN o.id = f.id THEN 503 ELSE 200 END AS INTEGER) AS http_status,
+    CASE WHEN o.id = f.id THEN 'HTTP 503' END AS error_message
+FROM outbox o LEFT JOIN f ON o.target_url = f.target_url WHERE f.id IS NULL OR o.id <= f.id"""
 SLOTS = f"""WITH {OUTBOX} SELECT id, CAST(floor((row_number() OVER (ORDER BY id) - 1) / 50) AS BIGINT) AS send_slot FROM pending"""
 DISPATCHED = f"""WITH {BATCHES} SELECT transaction_id, transaction_id[1] NOT IN ('0', '1') AS is_success,
     CAST(CASE transaction_id[1] WHEN '0' THEN 503 WHEN '1' THEN 0 ELSE 200 END AS INTEGER) AS http_status,
@@ -385,6 +390,7 @@ ORACLES: dict[str, str] = {
     "spill_failed": SPILLED,
     "replay_drain": DRAIN,
     "replay_drain_target": DRAIN_TARGET,
+    "replay_waves": WAVES,
     "replay_schedule": SLOTS,
     "dispatch_requests": DISPATCHED,
     "idempotent_upsert": UPSERT,

@@ -380,6 +380,18 @@ def replay_drain_target(spark, sf):
     return O.replay_drain(outbox, _outcomes(outbox), order_scope="target").select("id", "target_url", "replay_state")
 
 
+def lossy_server(request: dict) -> tuple[int, str]:
+    """In-process receiver that is busy for every 97th row from row 120 on."""
+    return (503, "busy") if request["id"] % 97 == 0 and request["id"] >= 120 else (200, "ok")
+
+
+def replay_waves(spark, sf):
+    rows = _outbox(spark, sf).withColumnsRenamed({"created_at": "rendered_at"}).withColumns({
+        "http_method": F.lit("POST"), "payload": F.lit("{}"), "headers": F.create_map().cast("map<string,string>")})
+    attempts = O.replay_waves(R.requests_for(rows), lossy_server, SC.shared_folder(spark, "waves"))
+    return attempts.select("id", "is_success", "http_status", "error_message")
+
+
 def replay_schedule(spark, sf):
     outbox = _outbox(spark, sf)
     pending = O.outbox_pending(outbox, _delivery_log(outbox))
@@ -577,6 +589,7 @@ QUERIES: dict[str, Query] = {
     "spill_failed": spill_failed,
     "replay_drain": replay_drain,
     "replay_drain_target": replay_drain_target,
+    "replay_waves": replay_waves,
     "replay_schedule": replay_schedule,
     "dispatch_requests": dispatch_requests,
     "idempotent_upsert": idempotent_upsert,

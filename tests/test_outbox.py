@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tagloom.operators.batching import batch_count
 from tagloom.operators.outbox import (acknowledge, idempotent_upsert, outbox_pending, peek, replay_drain, replay_schedule,
-                                      replay_send, spill_failed)
+                                      replay_send, replay_waves, spill_failed)
 from tagloom.operators.payload import collect_batches, render_form_payload
 from tagloom.operators.pipeline import filter_pipeline, pipeline_counters
 from tagloom.operators.requests import build_requests, dispatch_requests, requests_for
@@ -99,6 +99,53 @@ def test_sending_stops_per_target(spark):
     assert [a.id for a in attempts if not a.is_success] == [7]
 
 
+def _waiting(spark, n, targets):
+    return requests_for(queue(spark, n, targets).withColumns({"headers": F.create_map().cast("map<string,string>"),
+                                                             "rendered_at": F.lit(AT)}))
+
+
+@pytest.mark.parametrize("largest", [5, 1 << 17])
+def test_waves_count_what_one_task_would_have_sent(spark, tmp_path, largest):
+    rows = _waiting(spark, 60, 3)
+
+    def send(request):
+        if request["id"] in (7, 10, 30, 33):  # 7 and 10 go to one target, 30 and 33 to another, none to the third
+            raise ConnectionError("down")
+        return 200, "ok"
+
+    def told(attempts):
+        return sorted((a.id, a.is_success, a.http_status, a.error_message) for a in attempts.collect())
+
+    expected = told(replay_send(rows, send))
+    assert told(replay_waves(rows, send, str(tmp_path), growth=2, largest=largest, slice_bits=3)) == expected
+    assert [x[0] for x in expected if not x[1]] == [7, 30]
+
+
+def test_a_dead_target_costs_one_attempt_and_a_live_one_all_cores(spark, tmp_path):
+    rows = _waiting(spark, 2000, 1)
+
+    def dead(request):
+        raise ConnectionError("down")
+
+    attempts = replay_waves(rows, dead, f"{tmp_path}/dead")
+    assert [(a.id, a.is_success) for a in attempts.collect()] == [(1, False)]
+    assert spark.read.parquet(f"{tmp_path}/dead/attempts").count() == 1
+
+    def served(request):
+        import os
+        return 200 + os.getpid() % 100, "ok"  # tells the worker
+
+    attempts = replay_waves(rows, served, f"{tmp_path}/live", partitions=8).collect()
+    assert sorted(a.id for a in attempts) == list(range(1, 2001))
+    assert len({a.http_status for a in attempts}) > 1
+
+
+def test_waves_of_an_empty_queue(spark, tmp_path):
+    assert replay_waves(_waiting(spark, 0, 1), lambda r: (200, ""), str(tmp_path)).collect() == []
+    with pytest.raises(ValueError):
+        replay_waves(_waiting(spark, 1, 1), lambda r: (200, ""), str(tmp_path), growth=1)
+
+
 def test_upsert_takes_the_first_of_each_new_key(spark):
     incoming = spark.createDataFrame([(5, "a"), (3, "a"), (4, "b"), (6, "c")], "id long, transaction_id string")
     received = spark.createDataFrame([("b",)], "transaction_id string")
