@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import column_bytes, in_fold, slices, tidy, written
+from .shared import column_bytes, in_fold, returned, slices, tidy, written
 
 
 @dataclass(frozen=True)
@@ -33,7 +33,7 @@ class HmmSettings:
     stay: float = 0.95  # first guess of the share of words that keep the state
     prior: float = 500.0  # words' worth of the common distribution in that of each state
     chunk_tokens: int = 1 << 19  # read side by side, and between the borders that a longer text is cut at
-    block_bytes: int = 16 << 20
+    block_bytes: int = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -194,6 +194,23 @@ def coded_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return hashes, coded.indices.to_numpy(), np.diff(np.searchsorted(begins, borders), prepend=0).astype(np.int32)
 
 
+def _width(words: int) -> int:
+    """Bytes that tell so many words apart."""
+    return max(1, -(-(words - 1).bit_length() // 8)) if words else 1
+
+
+def packed(codes: np.ndarray, words: int) -> bytes:
+    """The lowest bytes of all codes, then the next ones; the high ones are mostly equal, which compresses well."""
+    return codes.astype("<i4", copy=False).view(np.uint8).reshape(-1, 4)[:, :_width(words)].T.tobytes()
+
+
+def unpacked(data: memoryview | pa.Buffer, words: int) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(_width(words), -1)
+    codes = np.zeros(planes.shape[1], "<i4")
+    codes.view(np.uint8).reshape(-1, 4)[:, :len(planes)] = planes.T
+    return codes
+
+
 def _to_blocks(settings: HmmSettings):
     """Rows of key, fold and text as blocks of coded texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +221,7 @@ def _to_blocks(settings: HmmSettings):
             hashes, codes, lengths = coded_words(texts)
             return pa.RecordBatch.from_arrays(
                 [pa.array([number]), pa.array([docs], pa.list_(kind)), pa.array([held], pa.list_(pa.bool_())),
-                 pa.array([lengths.tolist()], pa.list_(pa.int32())), pa.array([codes.tobytes()], pa.binary()),
+                 pa.array([lengths.tolist()], pa.list_(pa.int32())), pa.array([packed(codes, len(hashes))], pa.binary()),
                  pa.array([hashes.tobytes()], pa.binary())], ["block", "docs", "held", "lengths", "codes", "words"])
 
         for batch in slices(batches):
@@ -247,8 +264,9 @@ class Block:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Block]]:
     for row in slices(batches, 1):
         value = lambda name: row.column(name)[0]
+        words = np.frombuffer(value("words").as_buffer(), np.uint64)
         yield row, Block(value("held").values.to_numpy(zero_copy_only=False), value("lengths").values.to_numpy(),
-                         np.frombuffer(value("codes").as_buffer(), np.int32), np.frombuffer(value("words").as_buffer(), np.uint64))
+                         unpacked(value("codes").as_buffer(), len(words)), words)
 
 
 def _train_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,7 +435,8 @@ def score_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", hel
         for part, texts in b.chunks(np.arange(n), seen[:-1], int(seen[-1]), settings.chunk_tokens):
             lattice = Lattice(texts)
             by_time = lattice.by_time(lattice.flat)
-            total[part] += lattice.log10_scales(model, lambda lo, hi: emit[by_time[lo:hi]], 2 * settings.chunk_tokens)
+            total[part] += lattice.log10_scales(model, lambda lo, hi: emit[by_time[lo:hi]], settings.chunk_tokens // 2)
+        returned()
         return pa.table([row.column("docs").flatten(), row.column("held").flatten(), pa.array(b.lengths.astype(np.int64) + 1),
                          pa.array(np.rint(summed(known.astype(float))).astype(np.int64)), pa.array(np.full(n, tokens, np.int64)),
                          pa.array(summed(plain)), pa.array(total)], names=names)

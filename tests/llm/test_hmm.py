@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from messy import rows
 from tagloom.llm.hmm import (Classes, Hmm, HmmSettings, Lattice, _blocks, _expectation, _summed, baum_welch, coded_blocks, coded_words, improved,
-                             score_texts)
+                             packed, score_texts, unpacked)
 
 
 
@@ -45,6 +45,13 @@ def test_words_of_blocks():
     assert [len(x) for x in coded_words([b"", b" "])] == [0, 0, 2]
 
 
+@pytest.mark.parametrize("words", [0, 1, 2, 256, 257, 65_536, 65_537, 1 << 24, (1 << 24) + 1])
+def test_codes_are_unpacked(words):
+    codes = np.random.default_rng(1).integers(0, max(words, 1), 100 if words else 0).astype(np.int32)
+    codes[:1] = max(words - 1, 0)
+    assert unpacked(packed(codes, words), words).tolist() == codes.tolist()
+
+
 @pytest.mark.parametrize("items", [1, 2, 5, 100])
 def test_expected_counts_over_borders(items):
     """Wherever the recursions are cut, their counts are those of whole sequences."""
