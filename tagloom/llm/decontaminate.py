@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import column_bytes, fresh, tidy
+from .shared import column_bytes, fresh, open_file, put_file, scratch, tidy
 
 #: Fixed values of the contract: how many words are a window, and the pattern of a word.
 WINDOW = 10
@@ -187,11 +187,53 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[new], ends[np.append(new[1:], True)]
 
 
-def _search(items: list[tuple[str, bytes]], window: int, text_name: str, found_name: str, shard_words: int,
-            shard_bytes: int):
-    """Takes rows of text, spans and items found so far; gives count of words, spans and items with what it finds."""
+def _block_uri(folder: str, block: int) -> str:
+    return f"{folder}/{block:08d}.arrow"
+
+
+def write_blocks(items: DataFrame, folder: str, block_bytes: int) -> list[int]:
+    """Rows of item and words as a file per block of about ``block_bytes``, an item in one block; the numbers of the blocks."""
+    size = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+
+    def write(block: pa.Table) -> pa.Table:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, block.schema) as out:
+            out.write_table(block)
+        number = block.column("block")[0].as_py()
+        put_file(_block_uri(folder, number), [sink.getvalue().to_pybytes()])
+        return pa.table({"block": pa.array([number], pa.int64())})
+
+    placed = items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
+    return sorted(r.block for r in placed.groupBy("block").applyInArrow(write, "block long").collect())
+
+
+def read_block(folder: str, block: int) -> list[tuple[str, bytes]]:
+    with open_file(_block_uri(folder, block)) as source:
+        table = pa.ipc.open_stream(source).read_all()
+    return list(zip(table.column("item").to_pylist(), column_bytes(table.column("words").combine_chunks())))
+
+
+def _search(folder: str, blocks: list[int], window: int, text_name: str, found_name: str, shard_words: int, shard_bytes: int):
+    """Gives rows of text their count of words, and the spans and items that all blocks of phrases find in them.
+
+    A task holds one block at a time; batches take the blocks in turns up and down, so one that was read last comes first.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = Phrases(items, window)
+        order, last, phrases = list(blocks), None, None if blocks else Phrases([], window)
+        for batch in batches:
+            found = [([], [])] * batch.num_rows
+            for block in order or [None]:
+                if block != last:
+                    phrases = None
+                    last, phrases = block, Phrases(read_block(folder, block), window)
+                told = passed(batch, found, phrases)
+                found = [(x["spans"], x["items"]) for x in told]
+            order.reverse()
+            at = batch.schema.get_field_index(found_name)
+            yield batch.set_column(at, found_name, pa.array(told, _FOUND_ARROW))
+
+    def passed(batch: pa.RecordBatch, before: list, phrases: Phrases) -> list[dict]:
         get = phrases.numbers.get
 
         def shard(held: list, coded: list[np.ndarray]) -> list[dict]:
@@ -217,22 +259,17 @@ def _search(items: list[tuple[str, bytes]], window: int, text_name: str, found_n
                 out.append({"n": n, "spans": spans, "items": found})
             return out
 
-        for batch in batches:
-            before = batch.column(found_name).to_pylist()
-            held, coded, out, words, size = [], [], [], 0, 0
-            for text, old in zip(column_bytes(batch.column(text_name)), before):
-                row = np.array([get(w, 1) for w in words_of(text)], np.int64)
-                held.append(([], []) if old is None else (old["spans"], old["items"]))
-                coded.append(row)
-                words += len(row)
-                size += len(text)
-                if words >= shard_words or size >= shard_bytes:
-                    out += shard(held, coded)
-                    held, coded, words, size = [], [], 0, 0
-            if coded:
+        held, coded, out, words, size = [], [], [], 0, 0
+        for text, old in zip(column_bytes(batch.column(text_name)), before):
+            row = np.array([get(w, 1) for w in words_of(text)], np.int64)
+            held.append(old)
+            coded.append(row)
+            words += len(row)
+            size += len(text)
+            if words >= shard_words or size >= shard_bytes:
                 out += shard(held, coded)
-            at = batch.schema.get_field_index(found_name)
-            yield batch.set_column(at, found_name, pa.array(out, _FOUND_ARROW))
+                held, coded, words, size = [], [], 0, 0
+        return out + shard(held, coded) if coded else out
 
     return run
 
@@ -247,21 +284,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, found: str, *, text: str =
                shard_bytes: int = 16 << 20) -> DataFrame:
     """``docs`` with a struct column ``found``: ``n`` words, merged ``spans`` of words that are hit, ``items``.
 
-    The benchmark goes to the tasks in blocks of about ``block_bytes`` of text, each a pass over the rows in place; an item
-    stands in one block.  Null texts have no words; items without an id or words match nothing; an item id in several
-    rows has the windows of all.  Rows are judged each, repeated or not; an empty table gives no rows.
+    The benchmark goes to the tasks as files of about ``block_bytes`` of text in the shared folder, and a task holds one of
+    them at a time; an item stands in one block.  Null texts have no words; items without an id or words match nothing; an
+    item id in several rows has the windows of all.  Rows are judged each, repeated or not; an empty table gives no rows.
+    A text of any length is one shard.
     """
     usable = benchmark.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(
         F.col(item).cast("string").alias("item"), F.col(item_text).alias("words"))
-    size = usable.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
+    folder = scratch(docs.sparkSession, "phrases")
+    blocks = write_blocks(usable, folder, block_bytes)
     out = docs.withColumn(found, F.lit(None).cast(_FOUND))
-    schema = out.schema
-    for block in range(blocks):
-        rows = usable.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()
-        items = [(r[0], r[1].encode()) for r in rows]
-        out = out.mapInArrow(tidy(_search(items, window, text, found, shard_words, shard_bytes)), schema)
-    return out
+    return out.mapInArrow(tidy(_search(folder, blocks, window, text, found, shard_words, shard_bytes)), out.schema)
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

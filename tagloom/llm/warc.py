@@ -22,6 +22,7 @@ from .shared import open_file, put_file, scratch, written
 
 MAGIC = b"\x1f\x8b\x08"
 READ_BYTES = 1 << 20
+DAMAGED = "damaged"  # type of rows for bytes that are no member
 DATE = "2024-01-01T00:00:00Z"  # archives of equal tables are equal
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -124,32 +125,43 @@ def _member(source: pa.NativeFile, at: int, size: int, probe: bool) -> tuple[byt
     return None
 
 
-def members_from(source: pa.NativeFile, start: int, end: int, size: int) -> Iterator[tuple[int, bytes]]:
-    """The members that start in ``[start, end)``, each with its place.
+def pieces_from(source: pa.NativeFile, start: int, end: int, size: int) -> Iterator[tuple[int, int, bytes | None]]:
+    """What starts in ``[start, end)``: where, where it ends, and the decoded member, or None for bytes that are no member.
 
-    Behind a member the next one is expected at once; else every magic is a candidate.  Bytes that are no member,
-    such as a damaged one, are passed over.
+    Behind a member the next one is expected at once; bytes up to the next that decodes, or to the end of the range, are
+    told as damaged.  Ahead of the first member of a range lies the end of one that another range owns, so they are not
+    told there, but at the beginning of the file.
     """
     at, window, base = start, b"", start
+    good = 0 if start == 0 else None  # where the next member is due
     while at < end:
         if not base <= at < base + len(window) - len(MAGIC):
             source.seek(at)
             base, window = at, source.read(min(READ_BYTES, size - at))
             if len(window) < len(MAGIC):
-                return
+                break
         found = window.find(MAGIC, at - base)
         if found < 0:
             at = base + len(window) - (len(MAGIC) - 1) if base + len(window) < size else end
             continue
         at = base + found
         if at >= end:
-            return
+            break
         member = _member(source, at, size, probe=True)
         if member is None:
             at += 1
             continue
-        yield at, member[0]
-        at = member[1]
+        if good is not None and good < at:
+            yield good, at, None
+        yield at, member[1], member[0]
+        at = good = member[1]
+    if good is not None and good < end:
+        yield good, end, None
+
+
+def members_from(source: pa.NativeFile, start: int, end: int, size: int) -> Iterator[tuple[int, bytes]]:
+    """The members that start in ``[start, end)``, each with its place; ``pieces_from`` also tells what is damaged."""
+    return ((at, data) for at, _, data in pieces_from(source, start, end, size) if data is not None)
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -175,7 +187,9 @@ def parse_record(data: bytes) -> tuple:
 def read_warc(archives: DataFrame, *, split_bytes: int = 64 << 20, with_payload: bool = True) -> DataFrame:
     """The records of the archives in a table ``(archive, bytes)``, one row each.
 
-    Digest and length of a response come from its payload as read, those of a revisit from its headers.
+    Digest and length of a response come from its payload as read, those of a revisit from its headers.  Bytes behind a
+    member that are none are a row of type ``damaged`` with their number as ``payload_bytes``; ``checked`` refuses them.
+    A member is decoded whole, so a task needs room for the longest payload.
     """
     ranges = archives.select("archive", "bytes", F.explode(
         F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
@@ -186,10 +200,10 @@ def read_warc(archives: DataFrame, *, split_bytes: int = 64 << 20, with_payload:
                 page: list[tuple] = []
                 held = 0
                 with open_file(archive) as source:
-                    for at, data in members_from(source, start, min(start + split_bytes, size), size):
-                        row = parse_record(data)
+                    for at, stop, data in pieces_from(source, start, min(start + split_bytes, size), size):
+                        row = (None, DAMAGED, None, None, None, stop - at, None) if data is None else parse_record(data)
                         page.append((archive, at, *(row if with_payload else (*row[:-1], None))))
-                        held += len(data) if with_payload else 200
+                        held += len(data) if with_payload and data is not None else 200
                         if held >= 8 << 20:
                             yield _page(page)
                             page, held = [], 0
@@ -208,10 +222,29 @@ def _page(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
 
+def checked(records: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``records`` of the archives of ``manifest``, or an error if one has damaged bytes or another number of records than told.
+
+    The comparison reads ``records`` once, so they should be a table.
+    """
+    bad = F.col("type") == DAMAGED
+    found = records.groupBy("archive").agg(F.sum((~bad).cast("long")).alias("found"), F.sum(F.when(bad, F.col("payload_bytes")).otherwise(0)).alias("lost"))
+    wrong = manifest.join(found, "archive", "left").select(
+        "archive", "records", F.coalesce("found", F.lit(0)).alias("found"), F.coalesce("lost", F.lit(0)).alias("lost")) \
+        .where("records != found OR lost > 0").orderBy("archive").limit(5).collect()
+    if wrong:
+        raise ValueError("damaged archives: " + "; ".join(f"{r.archive}: {r.found} of {r.records} records, {r.lost} bytes lost" for r in wrong))
+    return records
+
+
 def archive_round_trip(pages: DataFrame, *, split_bytes: int = 4 << 20, folder: str | None = None, **names) -> DataFrame:
-    """Write the pages as archives and read them back: ``page_id``, length and digest of the payload, type, target."""
+    """Write the pages as archives and read them back: ``page_id``, length and digest of the payload, type, target.
+
+    Archives that don't hold every record whole are an error.
+    """
     folder = folder or scratch(pages.sparkSession, "warc")
-    records = read_warc(write_warc(pages, folder, **names), split_bytes=split_bytes, with_payload=False)
+    manifest = write_warc(pages, folder, **names)
+    records = checked(written(read_warc(manifest, split_bytes=split_bytes, with_payload=False).drop("payload"), "warc-records"), manifest)
     return records.select(
         F.expr("try_cast(record_id AS long)").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"),
         F.col("type").alias("record_type"), F.expr("try_cast(refers_to AS long)").alias("refers_to"))

@@ -14,7 +14,7 @@ from tagloom.llm.decontaminate import FMIndex, Wavelet, drop_leaks, leak_report,
 from tagloom.llm.hmm import Hmm, HmmSettings, Lattice, score_texts
 from tagloom.llm.lang_id import drop_unidentified, identify, letters
 from tagloom.llm.url_filter import LmSettings, url_verdicts
-from tagloom.llm.warc import archive_round_trip, members_from, read_warc, record_bytes, write_warc
+from tagloom.llm.warc import archive_round_trip, checked, members_from, read_warc, record_bytes, write_warc
 
 SF = "/root/testdata/sf0.01"
 
@@ -220,6 +220,25 @@ def test_payloads_are_read_back_and_damage_is_passed_over(spark, tmp_path):
     assert len(list(members_from(pa.BufferReader(whole), 0, len(whole), len(whole)))) == 2
 
 
+def test_damaged_archives_are_refused(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 50) for i in range(3)], "page_id long, url string, html string").coalesce(1)
+    manifest = write_warc(pages, str(tmp_path))
+    name, = (r.archive for r in manifest.collect())
+    checked(read_warc(manifest), manifest)
+    body = bytearray(open(name, "rb").read())
+    placed = read_warc(manifest).orderBy("at").collect()
+    starts = [r.at for r in placed]
+    body[starts[1] + 40] ^= 0xFF
+    open(name, "wb").write(body)
+    for split in (64, 1 << 20):
+        got = read_warc(manifest, split_bytes=split)
+        assert sorted(r.record_id for r in got.where("type != 'damaged'").collect()) == sorted([placed[0].record_id, placed[2].record_id])
+        with pytest.raises(ValueError, match="2 of 3 records"):
+            checked(got, manifest)
+    lost, = read_warc(manifest).where("type = 'damaged'").collect()
+    assert (lost.at, lost.payload_bytes) == (starts[1], starts[2] - starts[1])
+
+
 def _leaks(text, items, window=10):
     find = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
     w, hit, names = find(text), set(), set()
