@@ -283,15 +283,22 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array(b.words.view(np.int64))], ["block", "i", "word"])
 
 
+RANGE = 512  # classes whose sums travel in one row
+
+
 def _by_class(emitted: np.ndarray, moves: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Sums by class and state; below them, as classes -1 and so on, the moves of each state and last the starts."""
-    states = len(starts)
-    used = np.flatnonzero(emitted.any(axis=0))
-    if len(used):
-        told = np.concatenate([emitted[:, used].T, moves, starts[None, :]])
-        keys = np.concatenate([used, -1 - np.arange(states + 1)]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(keys)] + [pa.array(told[:, s].astype(np.float32)) for s in range(states)],
-                                         ["k"] + [f"s{s}" for s in range(states)])
+    """Sums by state as rows of ``RANGE`` classes; the moves of each state, then the starts, as range -1."""
+    if not emitted.any():
+        return
+    sums = emitted.T.astype(np.float32)
+    rows = {i // RANGE: sums[i:i + RANGE].tobytes() for i in range(0, len(sums), RANGE)}
+    rows[-1] = np.concatenate([moves, starts[None, :]]).astype(np.float32).tobytes()
+    yield pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.int32()), pa.array(rows.values(), pa.binary())], ["k", "sums"])
+
+
+def _add_up(rows: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for x in rows.column("sums"))
+    return pa.table({"k": rows.column("k").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
 
 
 def _expectation(model: Hmm, classes: Classes, settings: HmmSettings):
@@ -333,14 +340,15 @@ def _leaning(pull: np.ndarray, mean: np.ndarray, classes: Classes, settings: Hmm
 
 def _summed(blocks: DataFrame, function, classes: Classes, settings: HmmSettings) -> tuple[np.ndarray, np.ndarray]:
     """Sums over all tasks: by class and state, and the moves and starts; as many rows as classes."""
-    kind = "k int, " + ", ".join(f"s{s} float" for s in range(settings.states))
-    sums = [F.sum(f"s{s}").alias(f"s{s}") for s in range(settings.states)]
-    told = blocks.select("held", "lengths", "codes", "words").mapInArrow(tidy(function), kind).groupBy("k").agg(*sums).toArrow()
-    key = told.column(0).to_numpy()
-    value = np.stack([told.column(1 + s).to_numpy() for s in range(settings.states)], axis=1)
+    told = blocks.select("held", "lengths", "codes", "words").mapInArrow(tidy(function), "k int, sums binary") \
+        .groupBy("k").applyInArrow(_add_up, "k int, sums binary").toArrow()
     emitted, small = np.zeros((classes.end + 1, settings.states)), np.zeros((settings.states + 1, settings.states))
-    emitted[key[key >= 0]] = value[key >= 0]
-    small[-1 - key[key < 0]] = value[key < 0]
+    for k, sums in zip(told.column("k").to_pylist(), told.column("sums").to_pylist()):
+        value = np.frombuffer(sums, np.float64).reshape(-1, settings.states)
+        if k < 0:
+            small[:] = value
+        else:
+            emitted[k * RANGE:k * RANGE + len(value)] = value
     return emitted, small
 
 
