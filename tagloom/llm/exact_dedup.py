@@ -109,15 +109,12 @@ def _merge(group: pd.DataFrame) -> pd.DataFrame:
                         columns=["bucket", "run", "piece", "keys", "least", "held", "counts"])
 
 
-def _open_final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries of groups of several rows."""
-    for batch in batches:
-        for keys, least, held, counts in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            n = _longs([counts])
-            many = n > 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_padded(_keys([keys])[many]), pa.binary()), pa.array(_longs([least])[many]),
-                 pa.array(_longs([held])[many]), pa.array(n[many])], ["key", "keep", "keep_run", "size"])
+def _merge_last(group: pd.DataFrame) -> pd.DataFrame:
+    """Entries of groups of several rows.  They are told apart here, since a task with a second Python step holds a second worker."""
+    group = group.sort_values(["run", "piece"])
+    key, least, held, n = merge_runs(*(list(group[c]) for c in ("keys", "least", "held", "counts")))
+    many = n > 1
+    return pd.DataFrame({"key": _padded(key[many]), "keep": least[many], "keep_run": held[many], "size": n[many]})
 
 
 def _padded(keys: np.ndarray) -> list[bytes]:
@@ -160,11 +157,10 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", *, nor
     runs = written(entries.mapInArrow(tidy(_runs(buckets, run_rows)), _BLOCK), "digest-runs")
     last = runs.agg(F.max("run")).first()[0] or 0
     span, level = 1, runs.drop("ids")
-    while span <= last or span == 1:
+    while span * fan_in <= last:
         span *= fan_in
         level = level.groupBy("bucket", (F.col("run") / span).cast("long").alias("_g")).applyInPandas(_merge, _MERGED)
-    final = level.select("keys", "least", "held", "counts").mapInArrow(
-        _open_final, "key binary, keep long, keep_run long, size long")
+    final = level.groupBy("bucket").applyInPandas(_merge_last, "key binary, keep long, keep_run long, size long")
     opened = runs.select("run", "piece", "keys", "counts", "ids").mapInArrow(
         _open_runs, "run long, head boolean, key binary, ids array<long>")
     placed = opened.join(final, "key", "left").select(

@@ -112,6 +112,17 @@ def word_hashes(text: bytes) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
+#: Of an Arrow batch; a task holds its rows several times over, in the JVM, in the worker and as Python values.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of about ``BATCH_BYTES``, a longer row alone.  A bound of the session's own stays."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if bound not in spark.conf.getAll:
+        spark.conf.set(bound, BATCH_BYTES)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterable[pa.RecordBatch]:
     """Record batches in parts, so that little more than a part is held as Python values."""
     for batch in batches:

@@ -46,6 +46,27 @@ def test_exact_dedup_stage_and_empty_table(spark):
     assert keep_first(empty(spark)).count() == 0
 
 
+def _workers_of_a_task(plan):
+    """The most Python steps that stand between two exchanges; a task holds a worker for each of them."""
+    path, most = [], 0
+    for line in plan.splitlines():
+        node = line.lstrip(" :+-")
+        del path[(len(line) - len(node)) // 3:]
+        path.append(node)
+        behind = next((i for i, n in enumerate(reversed(path)) if n.startswith("Exchange")), len(path))
+        most = max(most, sum("InArrow" in n.split()[0] or "InPandas" in n.split()[0] for n in path[len(path) - behind:]))
+    return most
+
+
+@pytest.mark.parametrize("options", [{}, {"fan_in": 2, "run_rows": 2, "min_buckets": 2}])
+def test_a_task_of_exact_dedup_holds_one_worker(spark, options):
+    docs = spark.createDataFrame([(i, f"text {i % 7}") for i in range(40)], "doc_id long, text string").repartition(9)
+    got = exact_dedup(docs, **options)
+    assert _workers_of_a_task(got._jdf.queryExecution().executedPlan().toString()) == 1
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got.collect()) == [
+        (i, i % 7, 6 if i % 7 < 5 else 5, i < 7) for i in range(40)]
+
+
 def test_merge_keeps_the_first_run_of_the_smallest_id():
     import numpy as np
     key = lambda x: np.array([x.ljust(48, b".")], "S48").tobytes()

@@ -3,11 +3,14 @@
 import re
 
 import corpus_pipeline
+import pyarrow as pa
+import pytest
 from messy import empty, messy
 from test_dedup_ops import _brute_components
+from pyspark.sql import functions as F
 from test_text_ops import _leaks
 
-from tagloom.llm.shared import written
+from tagloom.llm.shared import BATCH_BYTES, written
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,3 +51,27 @@ def test_stages_bear_messy_and_empty_tables(spark):
 
 def test_run_is_its_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0 and corpus_pipeline.ORACLE_SQL is None
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_a_stage_bounds_the_bytes_of_a_batch(spark, name):
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], ["bytes", "rows"])
+
+    def told():
+        wide = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("word "), 2000).alias("text"))
+        return wide.mapInArrow(sizes, "bytes long, rows long").collect()
+
+    try:
+        spark.conf.unset(bound)
+        dict(corpus_pipeline.STAGES)[name](spark, empty(spark), SF)
+        got = told()
+        assert sum(r.rows for r in got) == 4000 and max(r.bytes for r in got) < 2 * BATCH_BYTES
+        spark.conf.set(bound, "1m")  # a bound of the session's own stays
+        dict(corpus_pipeline.STAGES)[name](spark, empty(spark), SF)
+        assert max(r.bytes for r in told()) < 2 << 20
+    finally:
+        spark.conf.unset(bound)
