@@ -1,5 +1,6 @@
 import time
 from datetime import timedelta
+from functools import partial
 
 import pandas as pd
 import pytest
@@ -134,6 +135,129 @@ def test_batches_over_micro_batches_equal_one_batch(spark, feed, mode, gateway):
     assert waiting == 0 or mode == "count"
 
 
+def small():
+    """Sorts with little memory; workers do not see this module, so they get it with the class."""
+    from tagloom.streaming.sorting import SortedReads
+    return partial(SortedReads, 3000, 300, 3)
+
+
+@pytest.mark.parametrize("mode", ["count", "hybrid", "periodic"])
+def test_a_gateway_holds_a_part_of_its_reads(spark, monkeypatch, mode):
+    """Many pieces of one micro-batch: those taken are let go, the batches leave in small frames and are those of one batch."""
+    import random
+    import weakref
+    from tagloom.streaming import batches as module
+    monkeypatch.setattr(module, "SortedReads", small())
+    pieces, size = 30, 100
+    numbers = list(range(1, pieces * size + 1))
+    random.Random(5).shuffle(numbers)
+    given, most = [], 0
+
+    def feed():
+        nonlocal most
+        for at in range(0, len(numbers), size):
+            part = pd.DataFrame({"g": "", "seq": numbers[at:at + size]})
+            part["tick"] = 0 if mode == "count" else part["seq"] % 9 * 50 + 1
+            part["body"] = part["seq"].astype(str)
+            given.append(weakref.ref(part))
+            most = max(most, sum(g() is not None for g in given))
+            yield part
+            del part
+
+    processor, handle = BatchProcessor(mode, 7, 50), _Handle()
+    processor.init(handle)
+    frames = list(processor.handleInputRows(("",), feed(), handle))
+    while handle.timers:
+        handle.now = min(handle.timers)
+        handle.timers.discard(handle.now)
+        frames += list(processor.handleExpiredTimer(("",), handle, None))
+    assert most <= 4
+    got = [(int(b), i, p) for f in frames for b, i, p in zip(f["body"], f["batch_id"], f["batch_pos"])]
+    config = DispatchConfig(trigger_mode=mode, max_batch_size=7, period_ms=1000)
+    clock = (F.col("seq") % 9 * 50 + 1).cast("double") + ORIGIN_US / 1_000_000
+    table = spark.range(1, pieces * size + 1).withColumnRenamed("id", "seq").withColumn("eval_ts", F.timestamp_seconds(clock))
+    want = {tuple(r) for r in batch(table, config, origin_us=ORIGIN_US).select("seq", "batch_id", "batch_pos").collect()}
+    waiting = len(processor.waiting.held or [])
+    assert len(got) == len(set(got)) and set(got) <= want and len(want) - len(got) == waiting and waiting < 7
+
+
+def test_reads_are_sorted_outside_of_memory():
+    """Runs of runs; late ticks, numbers that tie, one long text."""
+    import random
+    import pyarrow as pa
+    from tagloom.streaming.sorting import READ
+    rng, queued, want = random.Random(3), small()(), []
+    for n in range(300):
+        part = [(rng.randint(1, 50), rng.randint(1, 3000), "x" * (4000 if n == 7 else rng.randint(0, 40))) for _ in range(rng.randint(1, 20))]
+        want += part
+        queued.add(pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), READ.types)], schema=READ))
+    assert len(queued.runs) > 2 and all(len(level) < 3 for level in queued.runs) and sum(t.nbytes for t in queued.held) < 3000
+    got = [tuple(r.values()) for piece in queued.sorted() for r in piece.to_pylist()]
+    assert [r[:2] for r in got] == sorted(r[:2] for r in want) and sorted(got) == sorted(want)
+    assert list(small()().sorted()) == []
+
+
+@pytest.mark.parametrize("mode", ["hybrid", "count"])
+def test_a_stream_of_many_reads_equals_one_batch(spark, monkeypatch, mode):
+    """Reads of gateways with and without a name, more than a run in a tick, sorted on disk; texts keep their line breaks."""
+    from tagloom.streaming import batches as module
+    monkeypatch.setattr(module, "SortedReads", small())
+    monkeypatch.setattr(module, "RUN", 16)
+    folder, rows_in = shared_folder(spark, "many"), 3000
+    df = spark.range(1, rows_in + 1).select(
+        F.col("id").alias("seq"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("r\n"), F.col("id") % 3)).alias("reader_id"),
+        F.timestamp_seconds(F.lit(ORIGIN_US / 1_000_000) + F.col("id") * 7 % 40).alias("eval_ts"))
+    df.orderBy(F.rand(1)).repartition(5).write.parquet(f"{folder}/in")
+    config = DispatchConfig(trigger_mode=mode, max_batch_size=7, period_ms=10_000)
+    stream = batch_stream(spark.readStream.schema(df.schema).parquet(f"{folder}/in"), config, origin_us=ORIGIN_US, gateway="reader_id", wait_ms=500)
+    if mode == "count":
+        stored(stream, folder)
+    else:
+        run_until_drained(stream, f"{folder}/out", f"{folder}/checkpoint", wait_ms=500)
+    got = [tuple(r) for r in spark.read.parquet(f"{folder}/out").select("seq", "reader_id", "eval_ts", "batch_id", "batch_pos").collect()]
+    named = df.withColumn("key", F.coalesce(F.concat(F.lit("="), "reader_id"), F.lit("")))
+    want = {tuple(r) for r in batch(named, config, origin_us=ORIGIN_US, keys=["key"]).select("seq", "reader_id", "eval_ts", "batch_id", "batch_pos").collect()}
+    assert len(got) == len(set(got)) and set(got) <= want
+    assert len(want) - len(got) == (0 if mode == "hybrid" else 3 * (rows_in // 3 % 7))
+
+
+def test_a_long_micro_batch_is_no_timeout():
+    """The wait for a stream ends for want of work, not for a lot of it."""
+    from datetime import datetime, timezone
+
+    class Query:
+        def __init__(self):
+            self.began, self.stopped = time.monotonic(), False
+
+        def exception(self):
+            return None
+
+        def stop(self):
+            self.stopped = True
+
+        @property
+        def status(self):
+            return {"isDataAvailable": time.monotonic() < self.began + 1.5}
+
+        @property
+        def recentProgress(self):
+            def step(n, rows_in, late):
+                return {"batchId": n, "numInputRows": rows_in, "durationMs": {"triggerExecution": 0}, "stateOperators": [],
+                        "timestamp": datetime.fromtimestamp(time.time() + late, timezone.utc).isoformat()}
+            return [step(0, 5, 0), step(1, 0, 10)] if time.monotonic() > self.began + 1.5 else []
+
+    class Stream:
+        query = Query()
+        writeStream = property(lambda self: self)
+        format = option = trigger = lambda self, *_, **__: self
+
+        def start(self):
+            return self.query
+
+    run_until_drained(Stream(), "out", "checkpoint", wait_ms=500, timeout_s=0.6)
+    assert Stream.query.stopped
+
+
 def test_an_idle_gateway_sends_without_new_input(spark, feed):
     """A batch that never fills leaves by its timer, with every column as it came."""
     df, _ = feed
