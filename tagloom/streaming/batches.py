@@ -25,36 +25,48 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..operators.batching import MIN_PERIOD_MS, batch_instant, place, with_tick
 from ..schema import DispatchConfig
 from .dedup import BODY, STATE_STORE
-from .sorting import READ, SortedReads, parts
+from .sorting import PIECE_BYTES, READ, SortedReads, gathered, parts
 
-_PACKED = "gateway_key string, reads binary"
+_PACKED = "gateway_key string, reads binary, size long"
 _ARROW_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
 _RUNS = "gateway_key string, tick long, first_at long, bodies string"
 RUN = 1024  # reads of a tick that leave a task as one row; JSON texts have no line breaks, so these part them
 LAST_NO = 2**63 - 1  # the place of reads without a number
 ARROW_BYTES = 8 << 20  # of a record batch; the task of a gateway holds one several times over
+LONG_BYTES = 64 << 10  # from which a binary is compressed; its size is then told, else it is 0
 _HELD = pa.schema([("tick", pa.int64()), ("at", pa.int64()), ("body", pa.string())])
 
 
 def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The reads of a gateway in a record batch as one binary."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(0).dictionary_encode()
+    """The reads of a gateway in some megabytes of a task's input as one binary: how many, ticks, numbers, lengths of texts, texts."""
+    for part in gathered((pa.Table.from_batches([b]) for b in batches if b.num_rows), ARROW_BYTES):
+        keys = part.column(0).combine_chunks().dictionary_encode()
         codes = keys.indices.to_numpy()
         by_key = np.argsort(codes, kind="stable")
-        reads = pa.Table.from_arrays([c.cast(t) for c, t in zip(batch.columns[1:], READ.types)], schema=READ)
-        if (by_key[1:] < by_key[:-1]).any():
-            reads = reads.take(pa.array(by_key))
-        ends = np.cumsum(np.bincount(codes)).tolist()
-        out = []
+        tick, read_no = (part.column(i).to_numpy()[by_key] for i in (1, 2))
+        _, offsets, texts = part.column(3).combine_chunks().cast(pa.string()).take(pa.array(by_key)).buffers()
+        offsets, texts = np.frombuffer(offsets, "<i4", len(by_key) + 1), memoryview(texts)
+        lengths, ends = np.diff(offsets), np.cumsum(np.bincount(codes)).tolist()
+        runs, sizes = [], []
         for low, high in zip([0, *ends], ends):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, READ, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_table(reads.slice(low, high - low))
-            out.append(sink.getvalue().to_pybytes())
-        yield pa.RecordBatch.from_arrays([keys.dictionary.cast(pa.string()), pa.array(out, pa.binary())], ["gateway_key", "reads"])
+            columns = (c[low:high].tobytes() for c in (tick, read_no, lengths))
+            run = b"".join(((high - low).to_bytes(8, "little"), *columns, texts[offsets[low]:offsets[high]]))
+            long = len(run) >= LONG_BYTES
+            runs.append(pa.compress(run, codec="zstd", asbytes=True) if long else run)
+            sizes.append(len(run) if long else 0)
+        yield pa.RecordBatch.from_arrays([keys.dictionary.cast(pa.string()), pa.array(runs, pa.binary()), pa.array(sizes, pa.int64())],
+                                         ["gateway_key", "reads", "size"])
+
+
+def _unpacked(runs: list[bytes]) -> pa.Table:
+    """The reads of some binaries, with the columns of ``READ``."""
+    counts = [int.from_bytes(run[:8], "little") for run in runs]
+    tick, read_no, lengths = (np.concatenate([np.frombuffer(run, kind, n, 8 + at * n) for run, n in zip(runs, counts)])
+                              for kind, at in (("<i8", 0), ("<i8", 8), ("<i4", 16)))
+    offsets = np.append(np.int32(0), np.cumsum(lengths, dtype=np.int32))
+    texts = b"".join(memoryview(run)[8 + 20 * n:] for run, n in zip(runs, counts))
+    bodies = pa.StringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(texts))
+    return pa.Table.from_arrays([pa.array(tick), pa.array(read_no), bodies], schema=READ)
 
 
 class BatchProcessor(StatefulProcessor):
@@ -181,8 +193,15 @@ class RunProcessor(BatchProcessor):
     """The same over packed reads.  What leaves are the texts of reads that follow each other in a tick, ``RUN`` at most."""
 
     def _reads(self, frame: pd.DataFrame) -> Iterator[pa.Table]:
-        for reads in frame.iloc[:, 1]:
-            yield pa.ipc.open_stream(reads).read_all()
+        runs, held = [], 0
+        for run, size in zip(frame.iloc[:, 1], frame.iloc[:, 2]):
+            runs.append(pa.decompress(run, int(size), codec="zstd", asbytes=True) if size else run)
+            held += len(runs[-1])
+            if held >= PIECE_BYTES:
+                yield _unpacked(runs)
+                runs, held = [], 0
+        if runs:
+            yield _unpacked(runs)
 
     def _rows(self, key, left: pa.Table) -> pd.DataFrame:
         tick, at = (left[c].to_numpy() for c in ("tick", "at"))
