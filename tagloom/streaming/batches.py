@@ -25,7 +25,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..operators.batching import MIN_PERIOD_MS, batch_instant, place, with_tick
 from ..schema import DispatchConfig
 from .dedup import BODY, STATE_STORE
-from .sorting import PIECE_BYTES, READ, SortedReads, gathered, parts
+from .sorting import PIECE_BYTES, READ, SortedReads, parts
 
 _PACKED = "gateway_key string, reads binary, size long"
 _ARROW_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -38,13 +38,13 @@ _HELD = pa.schema([("tick", pa.int64()), ("at", pa.int64()), ("body", pa.string(
 
 
 def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The reads of a gateway in some megabytes of a task's input as one binary: how many, ticks, numbers, lengths of texts, texts."""
-    for part in gathered((pa.Table.from_batches([b]) for b in batches if b.num_rows), ARROW_BYTES):
-        keys = part.column(0).combine_chunks().dictionary_encode()
+    """The reads of a gateway in a record batch as one binary: how many, ticks, numbers, lengths of texts, texts."""
+    for part in (b for b in batches if b.num_rows):
+        keys = part.column(0).dictionary_encode()
         codes = keys.indices.to_numpy()
         by_key = np.argsort(codes, kind="stable")
         tick, read_no = (part.column(i).to_numpy()[by_key] for i in (1, 2))
-        _, offsets, texts = part.column(3).combine_chunks().cast(pa.string()).take(pa.array(by_key)).buffers()
+        _, offsets, texts = part.column(3).cast(pa.string()).take(pa.array(by_key)).buffers()
         offsets, texts = np.frombuffer(offsets, "<i4", len(by_key) + 1), memoryview(texts)
         lengths, ends = np.diff(offsets), np.cumsum(np.bincount(codes)).tolist()
         runs, sizes = [], []
